@@ -5,16 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmill.llm._util import read
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.langid import held_out, identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = train(docs.where(~out))
+    return identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.sharding import shard_documents
 
     return shard_documents(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.langid import held_out
+    from quillmill.llm.quality import score_texts, train
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = train(docs, labels.where(~out))
+    return score_texts(docs.select("doc_id", "text"), model, threshold=0.3).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,7 +44,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
+    "op7_quality": op7_quality,
     "op9_token_counts": op9_token_counts,
 }
 
