@@ -31,7 +31,7 @@ def difference(text: str, sizer: Sizer) -> float:
     return (bad - good) / (n + DAMPING)
 
 
-def train(docs: DataFrame, labels: DataFrame, texts_per_label: int = 300, calibration_per_label: int = 600, dictionary_bytes: int = 110_000, text_chars: int = 1 << 14) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, texts_per_label: int = 450, calibration_per_label: int = 600, dictionary_bytes: int = 220_000, text_chars: int = 1 << 14) -> QualityModel:
     """Fits the model on ``labels`` (doc_id, quality 0 or 1) and the texts of those documents.
 
     The sample is bounded: of each label about ``texts_per_label`` documents make the dictionary and about
@@ -64,9 +64,11 @@ def train(docs: DataFrame, labels: DataFrame, texts_per_label: int = 300, calibr
         for text in parts[q][first[q] :] or parts[q]:
             x.append(difference(text, sizer))
             y.append(q)
-    y = np.array(y)
+    x, y = np.array(x), np.array(y)
+    # beyond the labels' own medians a difference is clear; a few odd texts out there mustn't flatten the slope
+    x = np.clip(x, *sorted((np.median(x[y == 0]), np.median(x[y == 1]))))
     weights = np.where(y == 1, base / max(1, (y == 1).sum()), (1 - base) / max(1, (y == 0).sum()))  # as the labels are mixed
-    slope, offset = _logistic(np.array(x), y, weights)
+    slope, offset = _logistic(x, y, weights)
     return QualityModel(contents, slope, offset)
 
 

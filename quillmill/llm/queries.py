@@ -25,6 +25,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.decontaminate import mark
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return mark(docs, read(spark, sf_dir, "benchmark"), words=10).drop("text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.langid import held_out
     from quillmill.llm.quality import score_texts, train
@@ -46,8 +53,34 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
+    "op4_decontamination": op4_decontamination,
     "op7_quality": op7_quality,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        sized AS (SELECT item, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+        item_windows AS (
+            SELECT DISTINCT item, n, array_to_string(w[s : s + n - 1], ' ') AS words
+            FROM (SELECT item, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM sized)),
+        doc_windows AS (
+            SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS words
+            FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s
+                  FROM d, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)),
+        found AS (SELECT doc_id, item, n, s FROM doc_windows JOIN item_windows USING (n, words)),
+        hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM found) GROUP BY doc_id),
+        named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+}
