@@ -32,6 +32,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(docs, read(spark, sf_dir, "benchmark"), words=10).drop("text")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.langid import held_out
     from quillmill.llm.quality import score_texts, train
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op4_decontamination": op4_decontamination,
+    "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op9_token_counts": op9_token_counts,
 }
