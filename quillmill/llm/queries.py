@@ -48,6 +48,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs.select("doc_id", "text"), model, threshold=0.3).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.mixing import mix
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, block_rows=32, period=256).drop("text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
 }
 

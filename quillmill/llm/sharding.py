@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,9 +96,16 @@ def shard_stored(docs: DataFrame, shards: int = 40, seed: int = 42) -> DataFrame
 
     The global row number is the row's place in the stored order (files by name, rows as they stand in each), which
     the file source tells for every row: no sort and no shuffle of rows, only a count for each file. Columns of the
-    table that are named like one of the added columns (row_number, position, shard, slot) give way to it.
+    table that are named like one of the added columns (row_number, position, shard, slot) give way to it. Rows that
+    come from no file are numbered by doc_id as in ``shard_documents``.
     """
     kept = [c for c in docs.columns if c not in {"row_number", "rows_total", "position", "shard", "slot", "_file", "_local"}]
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        rows = docs.select(*[f"`{c}`" for c in kept])
+        numbered = number_rows(rows, bucket_of([F.col("doc_id")], 16384), [F.col("doc_id"), F.xxhash64("text")])
+        return shard_rows(numbered, shards, seed).select(*[f"`{c}`" for c in kept], "row_number", "position", "shard", "slot")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_local"))
     sizes = docs.select(F.col("_metadata.file_name").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(

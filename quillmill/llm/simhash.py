@@ -114,3 +114,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     known = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(F.col("fp").alias("of_fp"), F.coalesce("root_id", "least_id").alias("component_id"))
     out = prints.join(known, prints["fp"] == known["of_fp"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` (all columns) that ``near_duplicates`` names: of each component the one of smallest doc_id.
+
+    Rows that repeat a doc_id with the same text count as one document, and one of them stays. Components in which no
+    row has a doc_id keep their rows.
+    """
+    found = near_duplicates(docs, words, radius)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    counted = cut(stays.groupBy("_id").agg(F.count(F.lit(1)).alias("n")))
+    out = docs.join(counted.select("_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    repeated = counted.where("n > 1 and _id is not null").limit(1).count() > 0
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
