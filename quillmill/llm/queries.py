@@ -25,6 +25,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.wrapper import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.decontaminate import mark
 
@@ -73,6 +79,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
+    "op3_main_text": op3_main_text,
     "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
