@@ -38,6 +38,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(docs, read(spark, sf_dir, "benchmark"), words=10).drop("text")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.suffixes import remove_repeats
+
+    out = remove_repeats(read(spark, sf_dir, "documents"), span=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.simhash import near_duplicates
 
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_main_text": op3_main_text,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
