@@ -121,10 +121,12 @@ def _covered(rows: DataFrame, span: int) -> DataFrame:
                     run = (first << 32) | count
                     yield pa.RecordBatch.from_arrays([pa.array(doc[at + owner]), pa.array(part[at + owner]), pa.array(run), _signed(name), _signed(unit)], ["doc", "part", "run", "name", "unit"])
 
-    sampled = rows.mapInArrow(sample, "doc long, part long, run long, name long, unit long").repartition("name")
-    classes = sampled.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("unit").alias("unit_a"), F.max("unit").alias("unit_b"))
-    classes = classes.where("first < last").select(F.col("name").alias("of_name"), "first", (F.col("unit_a") == F.col("unit_b")).alias("same"))
-    meeting = sampled.join(classes, F.col("name") == F.col("of_name")).where("not same or doc > first").select("doc", "part", "run", "same")
+    # Names are counted and looked up on one exchange: Spark shares it between the two sides of the join if both ask for
+    # the same columns of it, so the sides name them all, in conditions that always hold.
+    sampled = rows.mapInArrow(sample, "doc long, part long, run long, name long, unit long").where(" and ".join(f"{c} is not null" for c in ("doc", "part", "run", "name", "unit"))).repartition("name")
+    classes = sampled.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("unit").alias("unit_a"), F.max("unit").alias("unit_b"), F.max("run").alias("r"), F.max("part").alias("p"))
+    classes = classes.where("first < last and r is not null and p is not null").select(F.col("name").alias("of_name"), "first", "unit_a", (F.col("unit_a") == F.col("unit_b")).alias("same"))
+    meeting = sampled.join(classes, F.expr("name = of_name and (not same or doc > first) and unit >= unit_a")).select("doc", "part", "run", "same")
     lists = cut(meeting.groupBy("doc", "part").agg(F.collect_list(F.when(F.col("same"), F.col("run"))).alias("settled"), F.collect_list(F.when(~F.col("same"), F.col("run"))).alias("open")))
     release(rows)
 
@@ -148,9 +150,10 @@ def _covered(rows: DataFrame, span: int) -> DataFrame:
 
     still = lists.where(F.size("open") > 0).select(F.col("doc").alias("o_doc"), F.col("part").alias("o_part"), "open")
     ours = (F.col("doc") == F.col("o_doc")) & (F.col("part") == F.col("o_part"))
-    single = rows.join(still, ours).select("doc", "part", "data", "open").mapInArrow(strings, "doc long, part long, start long, name long").repartition("name")
-    firsts = single.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select(F.col("name").alias("of_name"), "first")
-    again = single.join(firsts, F.col("name") == F.col("of_name")).where("doc > first").select("doc", "part", F.shiftleft("start", 32).bitwiseOR(F.lit(1)).alias("run"))
+    single = rows.join(still, ours).select("doc", "part", "data", "open").mapInArrow(strings, "doc long, part long, start long, name long").where(" and ".join(f"{c} is not null" for c in ("doc", "part", "start", "name"))).repartition("name")
+    firsts = single.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("start").alias("s"), F.max("part").alias("p"))
+    firsts = firsts.where("first < last and s is not null and p is not null").select(F.col("name").alias("of_name"), "first")
+    again = single.join(firsts, F.expr("name = of_name and doc > first")).select("doc", "part", F.shiftleft("start", 32).bitwiseOR(F.lit(1)).alias("run"))
     more = again.groupBy("doc", "part").agg(F.collect_list("run").alias("more")).select(F.col("doc").alias("m_doc"), F.col("part").alias("m_part"), "more")
     found = lists.select("doc", "part", "settled").join(more, (F.col("doc") == F.col("m_doc")) & (F.col("part") == F.col("m_part")), "left")
     out = cut(found.select(F.col("doc").alias("c_doc"), F.col("part").alias("c_part"), F.concat("settled", F.coalesce("more", F.array().cast("array<long>"))).alias("runs")).where(F.size("runs") > 0))
