@@ -106,10 +106,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _covered(rows: DataFrame, span: int) -> DataFrame:
-    """(doc, part, starts, counts): the strings of each document that also start in a document of smaller ``doc``.
+def _meeting(rows: DataFrame, span: int) -> DataFrame:
+    """(doc, part, settled, open): runs of each document whose least name is in other documents too.
 
-    rows: doc, part and data (the bytes). A document is (doc, part).
+    rows: doc, part and data (the bytes). A document is (doc, part). A run is first string << 32 | strings. The strings
+    of settled runs all start in a document of smaller ``doc`` as well; open runs must be looked at string by string.
     """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +128,11 @@ def _covered(rows: DataFrame, span: int) -> DataFrame:
     classes = sampled.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("unit").alias("unit_a"), F.max("unit").alias("unit_b"), F.max("run").alias("r"), F.max("part").alias("p"))
     classes = classes.where("first < last and r is not null and p is not null").select(F.col("name").alias("of_name"), "first", "unit_a", (F.col("unit_a") == F.col("unit_b")).alias("same"))
     meeting = sampled.join(classes, F.expr("name = of_name and (not same or doc > first) and unit >= unit_a")).select("doc", "part", "run", "same")
-    lists = cut(meeting.groupBy("doc", "part").agg(F.collect_list(F.when(F.col("same"), F.col("run"))).alias("settled"), F.collect_list(F.when(~F.col("same"), F.col("run"))).alias("open")))
-    release(rows)
+    return cut(meeting.groupBy("doc", "part").agg(F.collect_list(F.when(F.col("same"), F.col("run"))).alias("settled"), F.collect_list(F.when(~F.col("same"), F.col("run"))).alias("open")))
+
+
+def _covered(rows: DataFrame, lists: DataFrame, span: int) -> DataFrame:
+    """(c_doc, c_part, runs): the strings of each document that also start in a document of smaller ``doc``."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,9 +160,7 @@ def _covered(rows: DataFrame, span: int) -> DataFrame:
     again = single.join(firsts, F.expr("name = of_name and doc > first")).select("doc", "part", F.shiftleft("start", 32).bitwiseOR(F.lit(1)).alias("run"))
     more = again.groupBy("doc", "part").agg(F.collect_list("run").alias("more")).select(F.col("doc").alias("m_doc"), F.col("part").alias("m_part"), "more")
     found = lists.select("doc", "part", "settled").join(more, (F.col("doc") == F.col("m_doc")) & (F.col("part") == F.col("m_part")), "left")
-    out = cut(found.select(F.col("doc").alias("c_doc"), F.col("part").alias("c_part"), F.concat("settled", F.coalesce("more", F.array().cast("array<long>"))).alias("runs")).where(F.size("runs") > 0))
-    release(rows)
-    return out
+    return cut(found.select(F.col("doc").alias("c_doc"), F.col("part").alias("c_part"), F.concat("settled", F.coalesce("more", F.array().cast("array<long>"))).alias("runs")).where(F.size("runs") > 0))
 
 
 def release(df: DataFrame) -> None:
@@ -190,7 +192,11 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     repeated = docs.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     part = F.xxhash64(text) if repeated else F.lit(0).cast("long")
     rows = docs.select(doc.alias("doc"), part.alias("part"), text.cast("binary").alias("data"))
-    covered = _covered(rows.where(F.octet_length("data") >= span), span)
+    long_enough = rows.where(F.octet_length("data") >= span)
+    lists = _meeting(long_enough, span)
+    release(docs)
+    covered = _covered(long_enough, lists, span)
+    release(docs)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
