@@ -1,5 +1,185 @@
-"""Queries."""
+"""Queries over blocks of pages and lines of documents."""
 
-from quillmill.plans.registry import Registry
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quillmill.operators import blocks as B
+from quillmill.plans.registry import Registry, derived, same, table
+from quillmill.plans.texts import ws
 
 registry = Registry()
+query = registry.add
+
+CUTS = ", ".join(f"'{t}'" for t in B.BLOCK_TAGS)
+BLOCKS = f"""
+    src AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+    arr AS (SELECT page_id, regexp_extract_all(h, '<[^>]+>|[^<]+') AS a FROM src),
+    tok AS (SELECT page_id, unnest(a) AS tok, unnest(generate_series(1, len(a))) AS pos FROM arr),
+    named AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM tok),
+    numbered AS (SELECT *, CAST(sum(CASE WHEN name IN ({CUTS}) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS block FROM named),
+    raw AS (SELECT page_id, block, coalesce(max(CASE WHEN name IN ({CUTS}) AND NOT prefix(tok, '</') THEN name END), '') AS tag,
+      string_agg(CASE WHEN name = 'br' THEN chr(10) WHEN prefix(tok, '<') THEN '' ELSE tok END, '' ORDER BY pos) AS raw FROM numbered GROUP BY page_id, block),
+    blocks AS (SELECT page_id, block, tag, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN CAST(substring(tag, 2, 1) AS INT) ELSE 0 END AS level,
+      {ws("regexp_replace(raw, '[ \\t\\r\\n]+', ' ', 'g')")} AS text FROM raw)"""
+TYPE = """CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'p' THEN 'paragraph' WHEN tag IN ('ul', 'ol', 'li') THEN 'list'
+    WHEN tag = 'blockquote' THEN 'quote' WHEN tag IN ('pre', 'code') THEN 'code' ELSE 'other' END"""
+
+
+@query("block_table", f"WITH {BLOCKS} SELECT * FROM blocks")
+def block_table(spark, sf_dir):
+    return B.block_table(table(spark, sf_dir, "pages"))
+
+
+@query("block_type", f"WITH {BLOCKS} SELECT page_id, block, {TYPE} AS kind FROM blocks")
+def block_type(spark, sf_dir):
+    return B.block_table(table(spark, sf_dir, "pages")).select("page_id", "block", B.block_type(F.col("tag")).alias("kind"))
+
+
+@query("structure_profile", f"""
+    WITH {BLOCKS}, t AS (SELECT page_id, block, text, {TYPE} AS kind FROM blocks)
+    SELECT page_id, count_if(text = '') AS empty_blocks, count(*) AS blocks, array_to_string(list(kind ORDER BY block)[1:20], ',') AS first_kinds FROM t GROUP BY page_id""")
+def structure_profile(spark, sf_dir):
+    rows = B.block_table(table(spark, sf_dir, "pages"))
+    kinds = F.transform(F.slice(F.array_sort(F.collect_list(F.struct(F.col("block"), B.block_type(F.col("tag")).alias("kind")))), 1, 20), lambda x: x["kind"])
+    return rows.groupBy("page_id").agg(F.count_if(F.col("text") == "").alias("empty_blocks"), F.count(F.lit(1)).alias("blocks"), F.array_join(kinds, ",").alias("first_kinds"))
+
+
+@query("blank_run_collapse", f"""
+    WITH {BLOCKS}, w AS (SELECT *, lag(text = '') OVER (PARTITION BY page_id ORDER BY block) AS was,
+      min(CASE WHEN text <> '' THEN block END) OVER (PARTITION BY page_id) AS lo, max(CASE WHEN text <> '' THEN block END) OVER (PARTITION BY page_id) AS hi FROM blocks)
+    SELECT page_id, block, tag, level, text FROM w WHERE block BETWEEN lo AND hi AND NOT (text = '' AND coalesce(was, false))""")
+def blank_run_collapse(spark, sf_dir):
+    return B.collapse_blank(B.block_table(table(spark, sf_dir, "pages")), "page_id", "block", "text")
+
+
+@query("spacer_insert", f"""
+    WITH {BLOCKS}, w AS (SELECT page_id, block, text, lag(text) OVER (PARTITION BY page_id ORDER BY block) AS b FROM blocks)
+    SELECT page_id, block, 1 AS half, text FROM w UNION ALL
+    SELECT page_id, block, 0 AS half, '' AS text FROM w WHERE b <> '' AND text <> '' AND NOT (regexp_matches(b, '^(•|\\d+[.、)])\\s*') AND regexp_matches(text, '^(•|\\d+[.、)])\\s*'))""")
+def spacer_insert(spark, sf_dir):
+    return B.insert_spacers(B.block_table(table(spark, sf_dir, "pages")), "page_id", "block", "text")
+
+
+KEY = r"lower(regexp_replace(coalesce({}, ''), '[\x{{200b}}\x{{200c}}\x{{200d}}\x{{2060}}\x{{feff}}\s.,;:!?。，；：！？、]', '', 'g'))"
+
+
+@query("leading_title_drop", f"""
+    WITH {BLOCKS}, t AS (SELECT page_id, {ws("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')")} AS title FROM pages),
+    w AS (SELECT b.*, title, min(CASE WHEN {KEY.format('text')} = {KEY.format('title')} OR text = '' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY block) AS lead FROM blocks b JOIN t USING (page_id))
+    SELECT page_id, block, text FROM w WHERE lead = 0""")
+def leading_title_drop(spark, sf_dir):
+    from quillmill.functions.text import trimmed
+
+    pages = table(spark, sf_dir, "pages")
+    titles = pages.select(F.col("page_id").alias("_id"), trimmed(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]+>", "")).alias("title"))
+    rows = B.block_table(pages).join(titles, F.col("page_id") == F.col("_id"))
+    return B.drop_leading_title(rows, "page_id", "block", "text", "title").select("page_id", "block", "text")
+
+
+@query("list_to_paragraphs", f"""
+    WITH l AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<[uo]l\\b.*?</[uo]l>') AS ls FROM pages),
+    e AS (SELECT page_id, unnest(ls) AS src, unnest(generate_series(0, len(ls) - 1)) AS list FROM l),
+    i AS (SELECT page_id, list, lower(substring(src, 2, 2)) AS kind, regexp_extract_all(src, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS its FROM e),
+    x AS (SELECT page_id, list, kind, unnest(its) AS item, unnest(generate_series(0, len(its) - 1)) AS pos FROM i),
+    c AS (SELECT page_id, list, kind, pos, {ws("regexp_replace(item, '<[^>]+>', '', 'g')")} AS item FROM x),
+    n AS (SELECT *, row_number() OVER (PARTITION BY page_id, list ORDER BY pos) AS n FROM c WHERE item <> '')
+    SELECT page_id, list, n, concat(CASE WHEN kind = 'ol' THEN concat(n, '. ') ELSE '• ' END, item) AS text FROM n""")
+def list_to_paragraphs(spark, sf_dir):
+    return B.list_paragraphs(table(spark, sf_dir, "pages"))
+
+
+@query("anchor_table", """
+    WITH l AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\b[^>]*?href="([^"]*)"', 1) AS hs FROM pages),
+    e AS (SELECT page_id, url, unnest(hs) AS href, unnest(generate_series(0, len(hs) - 1)) AS ord FROM l)
+    SELECT page_id, ord, CASE WHEN prefix(href, '/') THEN concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), href) ELSE href END AS url FROM e""")
+def anchor_table(spark, sf_dir):
+    return B.anchors(table(spark, sf_dir, "pages"))
+
+
+LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), lines AS (SELECT doc_id, unnest(a) AS line, unnest(generate_series(0, len(a) - 1)) AS line_no FROM l)"
+
+
+@query("md_line_blocks", f"""
+    WITH {LINES}, f AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*```') THEN 1 ELSE 0 END AS f FROM lines),
+    o AS (SELECT *, coalesce(sum(f) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS open FROM f),
+    k AS (SELECT *, CASE WHEN open OR f = 1 THEN 'code' WHEN regexp_matches(line, '^\\s*$') THEN 'blank' WHEN regexp_matches(line, '^#{{1,6}}\\s') THEN 'heading'
+      WHEN regexp_matches(line, '^>') THEN 'quote' WHEN regexp_matches(line, '^\\s*([-*+]|\\d+[.)])\\s') THEN 'list' WHEN contains(line, ' | ') THEN 'table' ELSE 'paragraph' END AS kind FROM o),
+    p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM k),
+    n AS (SELECT *, CAST(sum(CASE WHEN b IS NULL OR b <> kind OR kind = 'heading' OR (kind = 'code' AND f = 1 AND NOT open) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS block FROM p)
+    SELECT doc_id, block, kind, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS text FROM n WHERE kind <> 'blank' GROUP BY doc_id, block, kind""")
+def md_line_blocks(spark, sf_dir):
+    return B.markdown_blocks(table(spark, sf_dir, "documents"))
+
+
+@query("ordered_dedup", f"""
+    WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS n FROM lines) SELECT doc_id, line_no, line FROM r WHERE n = 1""")
+def ordered_dedup(spark, sf_dir):
+    from quillmill.operators.sequences import first_of_each
+
+    return first_of_each(B.lines(table(spark, sf_dir, "documents")), ["doc_id", "line"], ["line_no"])
+
+
+TWO_PARTS = "SELECT conv_id, turn, concat(role, chr(10), '  ', chr(10), text, chr(10), chr(10), chr(10), ' ', CAST(turn AS STRING)) AS text FROM {conversations}"
+
+
+@query("paragraph_split", f"""
+    WITH s AS (SELECT conv_id, turn, regexp_split_to_array(text, '\\n\\s*\\n+') AS a FROM ({same(TWO_PARTS)})),
+    e AS (SELECT conv_id, turn, unnest(a) AS p, unnest(generate_series(0, len(a) - 1)) AS pos FROM s)
+    SELECT conv_id, turn, pos, {ws('p')} AS paragraph FROM e WHERE {ws('p')} <> ''""")
+def paragraph_split(spark, sf_dir):
+    from quillmill.functions.text import trimmed
+
+    parts = derived(spark, sf_dir, TWO_PARTS).select("conv_id", "turn", F.posexplode(F.split("text", r"\n\s*\n+")).alias("pos", "p"))
+    return parts.select("conv_id", "turn", "pos", trimmed(F.col("p")).alias("paragraph")).where("paragraph <> ''")
+
+
+PROMPTS = "SELECT page_id, concat('Intro ', CAST(page_id AS STRING), ' 提示词：draw a cat 适用：all models') AS line FROM {pages}"
+
+
+@query("keyword_split", f"""
+    WITH s AS (SELECT page_id, string_split(regexp_replace(line, '(提示词：|适用：)', chr(1) || '\\1', 'g'), chr(1)) AS a FROM ({same(PROMPTS)})),
+    e AS (SELECT page_id, unnest(a) AS p, unnest(generate_series(0, len(a) - 1)) AS pos FROM s) SELECT page_id, pos, {ws('p')} AS part FROM e WHERE {ws('p')} <> ''""")
+def keyword_split(spark, sf_dir):
+    from quillmill.functions.text import trimmed
+
+    parts = derived(spark, sf_dir, PROMPTS).select("page_id", F.posexplode(F.split(F.regexp_replace("line", r"(提示词：|适用：)", "\x01$1"), "\x01")).alias("pos", "p"))
+    return parts.select("page_id", "pos", trimmed(F.col("p")).alias("part")).where("part <> ''")
+
+
+LINKED = "SELECT page_id, concat('See ', url, ' and (https://example.com/a?b=', CAST(page_id AS STRING), ') or ', url, '.') AS line FROM {pages}"
+
+
+@query("inline_links", f"""
+    WITH s AS (SELECT page_id, regexp_extract_all(line, 'https?://[^\\s<>"'')\\]]+') AS a FROM ({same(LINKED)}))
+    SELECT page_id, unnest(generate_series(0, len(a) - 1)) AS ord, unnest(a) AS url FROM s""")
+def inline_links(spark, sf_dir):
+    return derived(spark, sf_dir, LINKED).select("page_id", F.posexplode(F.regexp_extract_all("line", F.lit(r"(https?://[^\s<>\"')\]]+)"), F.lit(1))).alias("ord", "url"))
+
+
+FRONT = """SELECT page_id, concat('---', chr(10), 'title: Page ', CAST(page_id AS STRING), chr(10), 'tags: a, b', chr(10), CASE WHEN page_id % 2 = 0 THEN concat('draft: yes', chr(10)) ELSE '' END,
+  'date: 2024-01-01', chr(10), '---', chr(10), 'body') AS md FROM {pages}"""
+
+
+@query("front_matter", f"""
+    WITH h AS (SELECT page_id, regexp_extract(md, '(?s)^---\\n(.*?)\\n---', 1) AS head FROM ({same(FRONT)})), l AS (SELECT page_id, unnest(string_split(head, chr(10))) AS line FROM h),
+    k AS (SELECT page_id, regexp_extract(line, '^([A-Za-z_]+):\\s*(.*)$', 1) AS k, regexp_extract(line, '^([A-Za-z_]+):\\s*(.*)$', 2) AS v FROM l)
+    SELECT page_id, max(CASE WHEN k = 'title' THEN v END) AS title, max(CASE WHEN k = 'tags' THEN v END) AS tags, max(CASE WHEN k = 'date' THEN v END) AS date,
+      count_if(k <> '' AND k NOT IN ('title', 'tags', 'date')) AS ignored FROM k GROUP BY page_id""")
+def front_matter(spark, sf_dir):
+    head = F.regexp_extract("md", r"(?s)^---\n(.*?)\n---", 1)
+    rows = derived(spark, sf_dir, FRONT).select("page_id", F.explode(F.split(head, "\n")).alias("line"))
+    rows = rows.select("page_id", F.regexp_extract("line", r"^([A-Za-z_]+):\s*(.*)$", 1).alias("k"), F.regexp_extract("line", r"^([A-Za-z_]+):\s*(.*)$", 2).alias("v"))
+    used = [F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in ("title", "tags", "date")]
+    return rows.groupBy("page_id").agg(*used, F.count_if((F.col("k") != "") & ~F.col("k").isin("title", "tags", "date")).alias("ignored"))
+
+
+@query("warning_rollup", """
+    WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '!\\[')) AS images, len(regexp_extract_all(text, ' \\| ')) AS tables, len(regexp_extract_all(text, '[a-f0-9]{40}')) AS tokens FROM documents)
+    SELECT doc_id, 'IMAGE' AS code, 'warn' AS level, images AS n FROM c WHERE images > 0 UNION ALL SELECT doc_id, 'TABLE', 'info', tables FROM c WHERE tables > 0
+    UNION ALL SELECT doc_id, 'TOKEN', 'error', tokens FROM c WHERE tokens > 0""")
+def warning_rollup(spark, sf_dir):
+    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    rows = table(spark, sf_dir, "documents").select("doc_id", count(r"!\[").alias("images"), count(r" \| ").alias("tables"), count("[a-f0-9]{40}").alias("tokens"))
+    return rows.selectExpr("doc_id", "stack(3, 'IMAGE', 'warn', images, 'TABLE', 'info', tables, 'TOKEN', 'error', tokens) AS (code, level, n)").where("n > 0")
