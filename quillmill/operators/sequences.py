@@ -57,3 +57,26 @@ def retries(rows: DataFrame, key: list[str], order: list[str], outcome: str, mos
     rows = rows.where((F.col("_n") <= most) & (F.col("_stopped") == 0))
     waits = F.sum(F.when(~stop & (F.col("_n") < most), F.col("_n") * wait).otherwise(0))
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("attempts"), waits.alias("waited"), F.max_by(outcome, "_n").alias("outcome"))
+
+
+def throttle(rows: DataFrame, key: str, time: str, order: str, window: int) -> DataFrame:
+    """(key, opened, fires, absorbed): the first row of a key opens a window; rows inside it are absorbed; it fires at its end.
+
+    Whether a row opens a window depends on the window before it, so each key's ordered times are folded.
+    """
+    times = F.transform(F.array_sort(F.collect_list(F.struct(time, order))), lambda x: x[time])
+    fold = F.expr(
+        f"""aggregate(times, cast(array() as array<struct<opened:bigint,absorbed:bigint>>), (a, t) ->
+            if(size(a) = 0 or t > element_at(a, -1).opened + {window},
+               concat(a, array(named_struct('opened', t, 'absorbed', 0L))),
+               concat(slice(a, 1, size(a) - 1), array(named_struct('opened', element_at(a, -1).opened, 'absorbed', element_at(a, -1).absorbed + 1)))))"""
+    )
+    folded = rows.groupBy(key).agg(times.alias("times")).select(key, F.explode(fold).alias("w"))
+    return folded.select(key, F.col("w.opened").alias("opened"), (F.col("w.opened") + window).alias("fires"), F.col("w.absorbed").alias("absorbed"))
+
+
+def sessions(rows: DataFrame, key: str, time: str, order: list[str], gap: int) -> DataFrame:
+    """Adds session: a row joins the session of its key's row before it if no more than ``gap`` has passed, else opens the next."""
+    w = Window.partitionBy(key).orderBy(time, *order)
+    new = F.lag(time).over(w).isNull() | (F.col(time) - F.lag(time).over(w) > gap)
+    return rows.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(w)).drop("_new")
