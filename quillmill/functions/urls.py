@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,20 +57,68 @@ def file_name(url: Column, mime: Column) -> Column:
     return F.when(last.contains("."), last).otherwise(F.concat(F.lit("image."), ending))
 
 
+def then(value: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of a value that is worked out once, however often the step looks at it."""
+    return F.element_at(F.transform(F.array(value), step), 1)
+
+
+def without_params(url: Column, names: list[str]) -> Column:
+    """Without these query parameters, and without what separators they leave behind."""
+    url = F.regexp_replace(url, rf"([?&])(?:{'|'.join(names)})=[^&#]*", "$1")
+    url = F.regexp_replace(F.regexp_replace(url, r"&{2,}", "&"), r"\?&+", "?")
+    return F.regexp_replace(url, r"[?&]+(#|$)", "$1")
+
+
+def _origin(url: Column) -> Column:
+    return F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+
+
+def _substack(u: Column) -> Column:
+    inner = F.try_url_decode(F.regexp_extract(u, r"(?i)/image/fetch/[^/]+/(https?%3A%2F%2F[^?#]+)", 1))
+    plain = F.regexp_extract(u, r"(?i)/image/fetch/[^/]+/(https?://[^?#]+)", 1)
+    return F.when(u.contains("substackcdn.com/image/fetch"), F.coalesce(F.nullif(inner, F.lit("")), F.nullif(plain, F.lit("")), u)).otherwise(u)
+
+
+def _twimg(u: Column) -> Column:
+    small = u.contains("pbs.twimg.com") & ~F.regexp_extract(u, r"[?&]name=([^&#]*)", 1).isin("", "orig", "large")
+    return F.when(small, F.regexp_replace(u, r"([?&])name=[^&#]*", "$1name=large")).otherwise(u)
+
+
+def _next_image(u: Column) -> Column:
+    asked = F.coalesce(F.try_url_decode(F.regexp_extract(u, r"[?&]url=([^&#]+)", 1)), F.lit(""))
+    return F.when(u.contains("_next/image") & (asked != ""), F.when(asked.startswith("http"), asked).otherwise(F.concat(_origin(u), asked))).otherwise(u)
+
+
+def _cdn_cgi(u: Column) -> Column:
+    real = F.regexp_extract(u, r"/cdn-cgi/image/[^/]+/([^?#]+)", 1)
+    found = F.when(real.startswith("http"), F.coalesce(F.try_url_decode(real), real)).otherwise(F.concat(_origin(u), F.lit("/"), real))
+    return F.when(u.contains("/cdn-cgi/image/") & (real != ""), found).otherwise(u)
+
+
+def _imgix(u: Column) -> Column:
+    return F.when(u.contains(".imgix.net") | u.contains("imgix.com"), without_params(u, ["w", "h", "fit", "crop", "auto", "q", "dpr", "blur"])).otherwise(u)
+
+
+def _uploads(u: Column) -> Column:
+    return F.when(u.contains("/uploads/") | u.contains("wp-content/uploads"), F.regexp_replace(u, r"-\d+x\d+(\.[a-zA-Z]+)$", "$1")).otherwise(u)
+
+
+def _medium(u: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(u, r"/resize:[^/]+", ""), r"/format:[^/]+", ""), r"/v2/+", "/v2/")
+    return F.when(u.contains("miro.medium.com"), plain).otherwise(u)
+
+
+def _shopify(u: Column) -> Column:
+    plain = F.regexp_replace(without_params(u, ["width", "height", "crop"]), r"_\d+x(?:\d+)?(\.[a-zA-Z]+)($|[?#])", "$1$2")
+    return F.when(u.contains("cdn.shopify.com") | u.contains("shopify.com/s/files"), plain).otherwise(u)
+
+
 def image_url(url: Column) -> Column:
-    """One address for each image: wrappers of known delivery networks are taken off, sizes dropped."""
-    u = F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
-    inner = F.try_url_decode(F.regexp_extract(u, r"/image/fetch/[^/]*/(https?%3A.*)$", 1))
-    u = F.when(u.contains("substackcdn.com") & u.contains("/image/fetch/"), F.coalesce(F.nullif(inner, F.lit("")), u)).otherwise(u)
-    u = F.when(u.contains("pbs.twimg.com"), F.regexp_replace(u, r"([?&])name=[^&]*", "$1name=large")).otherwise(u)
-    nxt = F.try_url_decode(F.regexp_extract(u, r"[?&]url=([^&]+)", 1))
-    u = F.when(u.contains("/_next/image"), F.coalesce(F.nullif(nxt, F.lit("")), u)).otherwise(u)
-    u = F.regexp_replace(u, r"/cdn-cgi/image/[^/]+/", "/")
-    u = F.when(u.contains("imgix.net"), F.regexp_replace(u, r"\?.*$", "")).otherwise(u)
-    u = F.when(u.contains("res.cloudinary.com"), F.regexp_replace(u, r"/upload/[a-z]+_[^/]+/", "/upload/")).otherwise(u)
-    u = F.when(u.contains("/wp-content/uploads/"), F.regexp_replace(u, r"-\d+x\d+(\.[a-zA-Z]+)$", "$1")).otherwise(u)
-    u = F.when(u.contains("miro.medium.com"), F.regexp_replace(u, r"/v2/resize:[^/]+/", "/v2/")).otherwise(u)
-    return F.when(u.contains("cdn.shopify.com"), F.regexp_replace(u, r"_\d*x\d*(\.[a-zA-Z]+)", "$1")).otherwise(u)
+    """One address for each image: wrappers of known delivery networks come off and sizes go, one network after another."""
+    url = F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
+    for step in (_substack, _twimg, _next_image, _cdn_cgi, _imgix, _uploads, _medium, _shopify):
+        url = then(url, step)
+    return url
 
 
 def srcset_best(srcset: Column) -> Column:
@@ -81,3 +131,27 @@ def srcset_best(srcset: Column) -> Column:
         ),
     )
     return F.array_max(sized)["url"]
+
+
+def weibo_image(url: Column, width: Column, height: Column) -> Column:
+    """Pictures of the wx and ww hosts, at least 80 pixels a side where known, that are no placeholders."""
+    host = F.lower(domain_of(url))
+    large = (F.coalesce(width, F.lit(80)) >= 80) & (F.coalesce(height, F.lit(80)) >= 80)
+    return host.rlike(r"^(wx|ww)[^.]*\.sinaimg\.cn$") & large & ~url.rlike(r"(?i)/images/default_[^/]+\.(gif|png|jpe?g)(?:[#?].*)?$|default_w_")
+
+
+#: Sizes of a picture from the best to the least, before and after the one that is there. Fixed values.
+LARGE_SIZES, SMALL_SIZES = ["large", "mw2000", "orj1080", "mw1024", "mw690"], ["orj480", "orj360", "bmiddle", "thumbnail"]
+
+
+def size_candidates(url: Column) -> Column:
+    """Addresses of all sizes of a picture, in order of preference."""
+    parts = [F.regexp_extract(url, r"^(https?://[^/]+)/([^/?#]+)/([^?#]+)(.*)$", i) for i in range(1, 5)]
+    sizes = F.array_distinct(F.concat(F.array(*map(F.lit, LARGE_SIZES)), F.array(parts[1]), F.array(*map(F.lit, SMALL_SIZES))))
+    return F.when(parts[1] == "", F.array(url)).otherwise(F.transform(sizes, lambda s: F.concat(parts[0], F.lit("/"), s, F.lit("/"), parts[2], parts[3])))
+
+
+def card_metadata(text: Column) -> Column:
+    """Empty, a bare address or a bare domain."""
+    t = trimmed(text)
+    return (t == "") | t.rlike(r"(?i)^https?://\S+$") | t.rlike(r"(?i)^(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/\S*)?$")
