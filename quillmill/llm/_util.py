@@ -39,7 +39,7 @@ def bucket_of(columns: list[Column], buckets: int) -> Column:
 def number_rows(rows: DataFrame, bucket: Column, order: list[Column], within: list[str] | None = None) -> DataFrame:
     """Adds ``row_number`` (gapless from 0) and ``rows_total``, over everything or over each value of ``within``.
 
-    Rows are numbered bucket by bucket, so no task ever sorts more than one bucket, however many rows share a
+    Neither the bucket nor a ``within`` column may be null. Rows are numbered bucket by bucket, so no task ever sorts more than one bucket, however many rows share a
     ``within`` key; only the table of bucket sizes (at most buckets x keys rows) is summed up in one place.
     """
     within = within or []
@@ -53,9 +53,10 @@ def number_rows(rows: DataFrame, bucket: Column, order: list[Column], within: li
         F.sum("_n").over(key).alias("rows_total"),
     )
     local = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(*order)) - 1
-    same = F.col("_bucket").eqNullSafe(F.col("_of_bucket"))
+    # plain equality keeps the partitioning of the numbered rows, so that they aren't shuffled again for the join
+    same = F.col("_bucket") == F.col("_of_bucket")
     for c in within:
-        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        same = same & (F.col(c) == F.col(f"_of_{c}"))
     return (
         rows.withColumn("_local", local)
         .join(sizes, same)
