@@ -13,6 +13,8 @@ tasks, Spark sorts positions by name twice, and positions whose name is unique d
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from quillmill.llm._util import cut
 
-GRAM = 16
+#: Bytes of the first name, from WHOLE to 2 * WHOLE: longer names are rarer by chance, shorter ones need fewer samples.
+GRAM, WHOLE = 20, 16
 #: Bytes that are named at a time.
 BYTES_AT_ONCE = 1 << 22
 _NAMES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -44,12 +47,12 @@ def _longer(names: np.ndarray, offset: int) -> np.ndarray:
 
 
 def names_of(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The names of GRAM and of ``size`` bytes (2 * GRAM to 4 * GRAM) from each place on."""
+    """The names of GRAM and of ``size`` bytes (more than GRAM) from each place on."""
     names = _NAMES[data]
     length = 1
-    while length < GRAM:
+    while length < WHOLE:
         names, length = _longer(names, length), 2 * length
-    gram = names
+    gram = _longer(names, GRAM - WHOLE)
     while 2 * length <= size:
         names, length = _longer(names, length), 2 * length
     return gram, _longer(names, size - length) if size > length else names
@@ -90,7 +93,7 @@ def runs_of(texts: list[bytes], span: int) -> tuple[np.ndarray, ...]:
     return owner, first - begin[owner], count, least[first], _pair(unit, count.astype(np.uint64))
 
 
-def _lists(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def _portions(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts of about BYTES_AT_ONCE at most, or one text, with the number of the first."""
     at = 0
     while at < len(texts):
@@ -107,17 +110,17 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _meeting(rows: DataFrame, span: int) -> DataFrame:
-    """(doc, part, settled, open): runs of each document whose least name is in other documents too.
+    """(doc, part, run, unit, same): runs whose least name is in other documents too.
 
-    rows: doc, part and data (the bytes). A document is (doc, part). A run is first string << 32 | strings. The strings
-    of settled runs all start in a document of smaller ``doc`` as well; open runs must be looked at string by string.
+    rows: doc, part and data (the bytes). A document is (doc, part). A run is first string << 32 | strings. If same, the
+    run is byte for byte the same wherever its name is, and a smaller document has it.
     """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             with np.errstate(over="ignore"):
-                for at, texts in _lists(batch.column(2).to_pylist()):
+                for at, texts in _portions(batch.column(2).to_pylist()):
                     owner, first, count, name, unit = runs_of(texts, span)
                     run = (first << 32) | count
                     yield pa.RecordBatch.from_arrays([pa.array(doc[at + owner]), pa.array(part[at + owner]), pa.array(run), _signed(name), _signed(unit)], ["doc", "part", "run", "name", "unit"])
@@ -127,8 +130,15 @@ def _meeting(rows: DataFrame, span: int) -> DataFrame:
     sampled = rows.mapInArrow(sample, "doc long, part long, run long, name long, unit long").where(" and ".join(f"{c} is not null" for c in ("doc", "part", "run", "name", "unit"))).repartition("name")
     classes = sampled.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("unit").alias("unit_a"), F.max("unit").alias("unit_b"), F.max("run").alias("r"), F.max("part").alias("p"))
     classes = classes.where("first < last and r is not null and p is not null").select(F.col("name").alias("of_name"), "first", "unit_a", (F.col("unit_a") == F.col("unit_b")).alias("same"))
-    meeting = sampled.join(classes, F.expr("name = of_name and (not same or doc > first) and unit >= unit_a")).select("doc", "part", "run", "same")
-    return cut(meeting.groupBy("doc", "part").agg(F.collect_list(F.when(F.col("same"), F.col("run"))).alias("settled"), F.collect_list(F.when(~F.col("same"), F.col("run"))).alias("open")))
+    return cut(sampled.join(classes, F.expr("name = of_name and (not same or doc > first) and unit >= unit_a")).select("doc", "part", "run", "unit", "same"))
+
+
+def _lists(meeting: DataFrame) -> DataFrame:
+    """(doc, part, settled, open) of meeting runs: a run that is also in a smaller document, byte for byte, is settled as well."""
+    units = meeting.where("not same").groupBy("unit").agg(F.min("doc").alias("first")).select(F.col("unit").alias("of_unit"), "first")
+    known = meeting.where("not same").join(units, F.col("unit") == F.col("of_unit")).select("doc", "part", "run", (F.col("doc") > F.col("first")).alias("same"))
+    rows = known.unionByName(meeting.where("same").select("doc", "part", "run", "same"))
+    return cut(rows.groupBy("doc", "part").agg(F.collect_list(F.when(F.col("same"), F.col("run"))).alias("settled"), F.collect_list(F.when(~F.col("same"), F.col("run"))).alias("open")))
 
 
 def _covered(rows: DataFrame, lists: DataFrame, span: int) -> DataFrame:
@@ -139,7 +149,7 @@ def _covered(rows: DataFrame, lists: DataFrame, span: int) -> DataFrame:
             doc, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             wanted = batch.column(3).to_pylist()
             with np.errstate(over="ignore"):
-                for at, texts in _lists(batch.column(2).to_pylist()):
+                for at, texts in _portions(batch.column(2).to_pylist()):
                     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
                     lengths = np.array([len(t) for t in texts])
                     begin = np.cumsum(lengths) - lengths
@@ -164,11 +174,15 @@ def _covered(rows: DataFrame, lists: DataFrame, span: int) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written, which it does when the driver collects garbage."""
-    import gc
+    """Lets Spark delete the shuffle files of steps whose results are written.
 
+    Spark does so when the driver's JVM collects garbage, at least every half hour; here it is asked to at once, after
+    Python has told the JVM which frames it no longer holds (which it does a moment later).
+    """
     gc.collect()
+    time.sleep(1)
     df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -182,19 +196,20 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     other; rows that repeat a doc_id don't either, and each is judged by its own text. An empty table gives no rows, and
     other columns are ignored. Names are 64-bit hashes, so two unequal strings count as equal about once in 10**19 pairs.
 
-    Cost: one row of 40 bytes for about 18 bytes of text is sorted first; the texts are shuffled twice, next to the
+    Cost: one row of 40 bytes for about 17 bytes of text is sorted first; the texts are shuffled twice, next to the
     lists of what is open and of what is removed. Hot names are pre-aggregated or split as skewed joins.
     """
-    if not 2 * GRAM <= span <= 4 * GRAM:
-        raise ValueError(f"span must be {2 * GRAM} to {4 * GRAM}")
+    if not 2 * WHOLE <= span <= 4 * WHOLE:
+        raise ValueError(f"span must be {2 * WHOLE} to {4 * WHOLE}")
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     repeated = docs.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     part = F.xxhash64(text) if repeated else F.lit(0).cast("long")
     rows = docs.select(doc.alias("doc"), part.alias("part"), text.cast("binary").alias("data"))
     long_enough = rows.where(F.octet_length("data") >= span)
-    lists = _meeting(long_enough, span)
+    meeting = _meeting(long_enough, span)
     release(docs)
+    lists = _lists(meeting)
     covered = _covered(long_enough, lists, span)
     release(docs)
 
