@@ -33,7 +33,7 @@ RAW = frozenset("script style noscript template iframe textarea svg canvas objec
 #: What an open element of the first kind is closed by. Fixed values.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|([^<]+|<)", re.DOTALL)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 #: A leaf is template if this share of the voting pages repeat it, and at least so many pages vote.
@@ -60,9 +60,11 @@ def parse(source: str) -> Node:
     line: list[str] = []
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(line)).split())
+        if not line:
+            return
+        text = "".join(line)
         line.clear()
-        if text:
+        if text := " ".join((html.unescape(text) if "&" in text else text).split()):
             stack[-1][1].kids.append(Node("#", text))
 
     def close(at: int) -> None:
@@ -72,10 +74,10 @@ def parse(source: str) -> Node:
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.match(source, at)
-        if m is None:  # a tag that the page's end cuts off
-            break
         at = m.end()
         if m[4] is not None:
+            if m[4] == "<" and source[at : at + 1].isalpha() and source.find(">", at) < 0:
+                break  # a tag that the page's end cuts off
             line.append(m[4])
             continue
         if m[2] is None:
@@ -169,12 +171,16 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
         x, y = todo.pop()
         pairs.append((x, y))
         xs, ys = x.kids, y.kids
-        first = 0  # like nodes at either end match in some largest match as long as one of them is no larger than the match
-        while first < min(len(xs), len(ys)) and _plain(xs[first], ys[first]):
+        if not xs or not ys:
+            continue
+        # like nodes at either end are in some largest match if neither has a better partner: plain ones, or the only ones of a tag
+        often = {t for tags in ([n.tag for n in xs], [n.tag for n in ys]) for t, n in Counter(tags).items() if n > 1}
+        first = 0
+        while first < min(len(xs), len(ys)) and (xs[first].tag == ys[first].tag and xs[first].tag not in often or _plain(xs[first], ys[first])):
             todo.append((xs[first], ys[first]))
             first += 1
         last = 0
-        while last < min(len(xs), len(ys)) - first and _plain(xs[-1 - last], ys[-1 - last]):
+        while last < min(len(xs), len(ys)) - first and (xs[-1 - last].tag == ys[-1 - last].tag and xs[-1 - last].tag not in often or _plain(xs[-1 - last], ys[-1 - last])):
             todo.append((xs[-1 - last], ys[-1 - last]))
             last += 1
         xs, ys = xs[first : len(xs) - last], ys[first : len(ys) - last]
