@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._util import cut
+from quillmill.llm._util import cut, forget, stored
 
 #: Bytes of the first name, from WHOLE to 2 * WHOLE: longer names are rarer by chance, shorter ones need fewer samples.
-GRAM, WHOLE = 20, 16
+GRAM, WHOLE = 24, 16
 #: Bytes that are named at a time.
 BYTES_AT_ONCE = 1 << 22
 _NAMES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -130,7 +130,7 @@ def _meeting(rows: DataFrame, span: int) -> DataFrame:
     sampled = rows.mapInArrow(sample, "doc long, part long, run long, name long, unit long").where(" and ".join(f"{c} is not null" for c in ("doc", "part", "run", "name", "unit"))).repartition("name")
     classes = sampled.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("unit").alias("unit_a"), F.max("unit").alias("unit_b"), F.max("run").alias("r"), F.max("part").alias("p"))
     classes = classes.where("first < last and r is not null and p is not null").select(F.col("name").alias("of_name"), "first", "unit_a", (F.col("unit_a") == F.col("unit_b")).alias("same"))
-    return cut(sampled.join(classes, F.expr("name = of_name and (not same or doc > first) and unit >= unit_a")).select("doc", "part", "run", "unit", "same"))
+    return sampled.join(classes, F.expr("name = of_name and (not same or doc > first) and unit >= unit_a")).select("doc", "part", "run", "unit", "same")
 
 
 def _lists(meeting: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     other; rows that repeat a doc_id don't either, and each is judged by its own text. An empty table gives no rows, and
     other columns are ignored. Names are 64-bit hashes, so two unequal strings count as equal about once in 10**19 pairs.
 
-    Cost: one row of 40 bytes for about 17 bytes of text is sorted first; the texts are shuffled twice, next to the
+    Cost: one row of 40 bytes for about 15 bytes of text is sorted first; the texts are shuffled twice, next to the
     lists of what is open and of what is removed. Hot names are pre-aggregated or split as skewed joins.
     """
     if not 2 * WHOLE <= span <= 4 * WHOLE:
@@ -207,9 +207,12 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     part = F.xxhash64(text) if repeated else F.lit(0).cast("long")
     rows = docs.select(doc.alias("doc"), part.alias("part"), text.cast("binary").alias("data"))
     long_enough = rows.where(F.octet_length("data") >= span)
-    meeting = _meeting(long_enough, span)
+    meeting, path = stored(_meeting(long_enough, span))
     release(docs)
     lists = _lists(meeting)
+    del meeting
+    forget(docs.sparkSession, path)
+    release(docs)
     covered = _covered(long_enough, lists, span)
     release(docs)
 
