@@ -27,7 +27,7 @@ from quillmill.llm._util import cut, forget, stored
 #: Bytes of the first name, from WHOLE to 2 * WHOLE: longer names are rarer by chance, shorter ones need fewer samples.
 GRAM, WHOLE = 24, 16
 #: Bytes that are named at a time.
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 20
 _NAMES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
