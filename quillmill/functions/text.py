@@ -175,3 +175,35 @@ def visible(c: Column) -> Column:
 def collection_candidate(title: Column, digest: Column, is_collection: Column) -> Column:
     name = F.regexp_replace(title, r"[\s\u00a0\u200b\ufeff]", "")
     return ~is_collection & (name.rlike(r"(合集|合辑)[）)\]】」』”\"’']*$") | trimmed(digest).rlike(r"^(此合集|本合集|该合集)") | digest.contains("已自动拆分为"))
+
+
+def spaced(c: Column) -> Column:
+    """One space and a word joiner where Han and Latin letters meet."""
+    c = F.regexp_replace(c, r"(?<=[一-鿿])[ \t ⁠]*(?=[A-Za-z])", " ⁠")
+    return F.regexp_replace(c, r"(?<=[A-Za-z0-9.,!?;:)\]'\"“”‘’_-])[ \t ⁠]*(?=[一-鿿])", " ⁠")
+
+
+def leading_script(c: Column) -> Column:
+    """From the first letter on as long as the script stays the same, without punctuation at the end."""
+    t = title_candidate(c)
+    first = F.regexp_extract(t, r"([一-鿿A-Za-z])", 1)
+    latin = first.rlike("[A-Za-z]")
+    run = F.when(first == "", t).when(latin, F.regexp_extract(t, r"([A-Za-z][^一-鿿]*)", 1)).otherwise(F.regexp_extract(t, r"([一-鿿][^A-Za-z]*)", 1))
+    run = title_candidate(run)
+    bare = F.when(latin, F.regexp_replace(run, r"[\s\-–—:：|/.,;!?]+$", "")).otherwise(F.regexp_replace(run, r"[\s\-–—:：|/]+$", ""))
+    return F.when((first == "") | (bare == ""), run).otherwise(bare)
+
+
+def excerpt_title(c: Column, most: int = 30) -> Column:
+    """The beginning of Markdown as a title: whole words where there is a space, which stays at the end."""
+    t = F.regexp_replace(F.regexp_replace(c, r"!\[([^\]]*)\]\([^)]+\)", "$1"), r"\[([^\]]+)\]\([^)]+\)", "$1")
+    t = trimmed(F.regexp_replace(F.regexp_replace(t, r"[`*_>#-]", " "), r"\s+", " "))
+    cut = F.substring(t, 1, most)
+    back = F.instr(F.reverse(cut), " ")
+    return F.when(F.length(t) <= most, t).when((F.substring(t, most + 1, 1) != " ") & (back > 0), F.substring(cut, F.lit(1), F.lit(most + 1) - back)).otherwise(cut)
+
+
+def file_base(c: Column, most: int = 100, empty: str = "导出笔记") -> Column:
+    """A title as a file name."""
+    name = F.substring(trimmed(F.regexp_replace(F.regexp_replace(c, r"[\\/:*?\"<>|]", "_"), r"\s+", " ")), 1, most)
+    return F.when(name == "", empty).otherwise(name)
