@@ -116,3 +116,60 @@ def longform(segments: DataFrame) -> DataFrame:
     counted = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("long"), F.sum(F.length("text") + 2).alias("chars"), F.countDistinct("role").alias("roles"))
     shape = (F.col("n") >= 4) & (F.col("long") >= 4) & ((F.col("roles") >= 2) | (F.col("chars") - 2 >= 500) | (F.col("long") >= 6))
     return counted.select("doc", F.when(shape, "tweet-longform").otherwise("tweet").alias("kind"))
+
+
+def space_groups(segments: DataFrame) -> DataFrame:
+    """(doc, pos, half, role, text) of segments (doc, pos, role, grp, text): old spacers go, and one comes between groups.
+
+    None comes between an original and its translation, which share a group.
+    """
+    rows = segments.where("role <> 'spacer'")
+    after = F.lead("grp").over(BY_DOC)
+    rows = rows.withColumn("_gap", after.isNotNull() & ~after.eqNullSafe(F.col("grp")))
+    row = lambda half, role, text: F.struct(F.lit(half).alias("half"), role.alias("role"), text.alias("text"))
+    own = row(0, F.col("role"), F.col("text"))
+    out = F.when(F.col("_gap"), F.array(own, row(1, F.lit("spacer"), F.lit("")))).otherwise(F.array(own))
+    return rows.select("doc", "pos", F.explode(out).alias("x")).select("doc", "pos", "x.half", "x.role", "x.text")
+
+
+def pad_references(blocks: DataFrame) -> DataFrame:
+    """(doc, pos, half, kind, text): exactly one empty block on either side of each reference; empty blocks elsewhere stay.
+
+    Nothing is put before the first block or after the last.
+    """
+    blank, reference = F.col("text") == "", F.col("kind") == "reference"
+    near = lambda c: F.coalesce(c == "reference", F.lit(False))
+    rows = blocks.withColumn("_solid", F.when(~blank, F.col("kind")))
+    before = F.last("_solid", ignorenulls=True).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_solid", ignorenulls=True).over(BY_DOC.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("_b", before).withColumn("_a", after)
+    rows = rows.where(~(blank & (near(F.col("_b")) | near(F.col("_a")))))
+    pad = F.col("_b").isNotNull() & (reference | near(F.col("_b"))) & ~blank
+    row = lambda half, kind, text: F.struct(F.lit(half).alias("half"), kind.alias("kind"), text.alias("text"))
+    own = row(1, F.col("kind"), F.col("text"))
+    out = F.when(pad, F.array(row(0, F.lit("paragraph"), F.lit("")), own)).otherwise(F.array(own))
+    return rows.select("doc", "pos", F.explode(out).alias("x")).select("doc", "pos", "x.half", "x.kind", "x.text")
+
+
+def galleries(attachments: DataFrame, body: DataFrame) -> DataFrame:
+    """(note, image, rank, ord) of attached images (note, rank, ord, image): each once, in order, without those in the body (note, image)."""
+    n = F.row_number().over(Window.partitionBy("note", "image").orderBy("rank", "ord"))
+    once = attachments.withColumn("_n", n).where("_n = 1").drop("_n")
+    there = body.select(F.col("note").alias("_b"), F.col("image").alias("_i")).distinct()
+    return once.join(there, (F.col("note") == F.col("_b")) & (F.col("image") == F.col("_i")), "left_anti").select("note", "image", "rank", "ord")
+
+
+def mark_spans(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, bold, italic, code, link, text): texts of a page with the inline marks that are open around them.
+
+    A mark is open while more of its tags were opened than closed since the last block tag, which closes what was left open.
+    """
+    clean = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", "")
+    tokens = pages.select("page_id", F.posexplode(F.regexp_extract_all(clean, F.lit(r"(<[^>]+>|[^<]+)"), F.lit(1))).alias("pos", "tok"))
+    tokens = tokens.withColumn("name", F.lower(F.regexp_extract("tok", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))).withColumn("shut", F.col("tok").startswith("</"))
+    order = Window.partitionBy("page_id").orderBy("pos")
+    tokens = tokens.withColumn("block", F.sum(F.col("name").isin("p", "div", "li", "h1", "article", "footer", "nav", "title").cast("int")).over(order))
+    inside = Window.partitionBy("page_id", "block").orderBy("pos")
+    depth = lambda *names: F.sum(F.when(F.col("name").isin(*names), F.when(F.col("shut"), -1).otherwise(1)).otherwise(0)).over(inside) > 0
+    marked = tokens.select("page_id", "pos", "tok", depth("b", "strong").alias("bold"), depth("i", "em").alias("italic"), depth("code").alias("code"), depth("a").alias("link"))
+    return marked.where(~F.col("tok").startswith("<") & (trimmed(F.col("tok")) != "")).select("page_id", "pos", "bold", "italic", "code", "link", trimmed(F.col("tok")).alias("text"))

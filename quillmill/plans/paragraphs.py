@@ -156,3 +156,52 @@ def safe_file_name(spark, sf_dir):
 def stale_extract_filter(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").selectExpr("page_id", "page_id * 7 % 300 AS snapshot", "page_id % 3 = 0 AS has_text", "page_id * 11 % 200 AS words")
     return rows.select("page_id", ((F.col("snapshot") < 80) | F.col("has_text") | (F.col("words") >= F.least(F.lit(120), F.floor(F.col("snapshot") * 0.6)))).alias("reuse"))
+
+
+SEGMENTS = """SELECT conv_id AS doc, turn AS pos, CASE turn % 5 WHEN 0 THEN 'original' WHEN 1 THEN 'translation' WHEN 2 THEN 'spacer' ELSE 'normal' END AS role, (turn - turn % 2) AS grp, role AS text FROM {conversations}"""
+
+
+@query("structured_spacers", f"""
+    WITH s AS (SELECT *, lead(grp) OVER (PARTITION BY doc ORDER BY pos) AS a FROM ({same(SEGMENTS)}) WHERE role <> 'spacer')
+    SELECT doc, pos, 0 AS half, role, text FROM s UNION ALL SELECT doc, pos, 1, 'spacer', '' FROM s WHERE a IS NOT NULL AND a IS DISTINCT FROM grp""")
+def structured_spacers(spark, sf_dir):
+    return P.space_groups(derived(spark, sf_dir, SEGMENTS))
+
+
+REFERENCES = f"""SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ITEM_ORDER}) AS pos, CASE l_suppkey % 5 WHEN 0 THEN 'reference' ELSE 'paragraph' END AS kind,
+  CASE WHEN l_partkey % 3 = 0 AND l_suppkey % 5 > 0 THEN '' ELSE concat('t', CAST(l_partkey AS STRING)) END AS text FROM {{lineitem}}"""
+
+
+@query("reference_padding", f"""
+    WITH s AS (SELECT *, CASE WHEN text <> '' THEN kind END AS solid FROM ({same(REFERENCES)})),
+    w AS (SELECT *, last_value(solid IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+      first_value(solid IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM s),
+    k AS (SELECT * FROM w WHERE NOT (text = '' AND (coalesce(b = 'reference', false) OR coalesce(a = 'reference', false))))
+    SELECT doc, pos, 1 AS half, kind, text FROM k UNION ALL SELECT doc, pos, 0, 'paragraph', '' FROM k WHERE b IS NOT NULL AND (kind = 'reference' OR b = 'reference') AND text <> ''""")
+def reference_padding(spark, sf_dir):
+    return P.pad_references(derived(spark, sf_dir, REFERENCES))
+
+
+ATTACHED = "SELECT o_custkey AS note, o_orderkey % 2 AS rank, o_orderkey AS ord, concat('im', CAST(o_orderkey % 7 AS STRING)) AS image FROM {orders}"
+BODY = "SELECT c_custkey AS note, concat('im', CAST(c_custkey % 7 AS STRING)) AS image FROM {customer}"
+
+
+@query("gallery_expand", f"""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY note, image ORDER BY rank, ord) AS n FROM ({same(ATTACHED)}))
+    SELECT note, image, rank, ord FROM n WHERE n = 1 AND (note, image) NOT IN (SELECT note, image FROM ({same(BODY)}))""")
+def gallery_expand(spark, sf_dir):
+    return P.galleries(derived(spark, sf_dir, ATTACHED), derived(spark, sf_dir, BODY))
+
+
+def _depth(names: str) -> str:
+    return f"sum(CASE WHEN name IN ({names}) THEN CASE WHEN prefix(tok, '</') THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY page_id, block ORDER BY pos ROWS UNBOUNDED PRECEDING) > 0"
+
+
+@query("mark_spans", f"""
+    WITH c AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '<[^>]+>|[^<]+') AS a FROM pages),
+    t AS (SELECT page_id, unnest(a) AS tok, unnest(generate_series(0, len(a) - 1)) AS pos FROM c), n AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM t),
+    b AS (SELECT *, sum(CASE WHEN name IN ('p', 'div', 'li', 'h1', 'article', 'footer', 'nav', 'title') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM n),
+    m AS (SELECT page_id, pos, tok, {_depth("'b', 'strong'")} AS bold, {_depth("'i', 'em'")} AS italic, {_depth("'code'")} AS code, {_depth("'a'")} AS link FROM b)
+    SELECT page_id, pos, bold, italic, code, link, {ws('tok')} AS text FROM m WHERE NOT prefix(tok, '<') AND {ws('tok')} <> ''""")
+def mark_spans(spark, sf_dir):
+    return P.mark_spans(table(spark, sf_dir, "pages"))
