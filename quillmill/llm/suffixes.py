@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._util import cut, forget, stored
+from quillmill.llm._util import forget, stored
 
 #: Bytes of the first name, from WHOLE to 2 * WHOLE: longer names are rarer by chance, shorter ones need fewer samples.
 GRAM, WHOLE = 24, 16
@@ -138,7 +138,7 @@ def _lists(meeting: DataFrame) -> DataFrame:
     units = meeting.where("not same").groupBy("unit").agg(F.min("doc").alias("first")).select(F.col("unit").alias("of_unit"), "first")
     known = meeting.where("not same").join(units, F.col("unit") == F.col("of_unit")).select("doc", "part", "run", (F.col("doc") > F.col("first")).alias("same"))
     rows = known.unionByName(meeting.where("same").select("doc", "part", "run", "same"))
-    return cut(rows.groupBy("doc", "part").agg(F.collect_list(F.when(F.col("same"), F.col("run"))).alias("settled"), F.collect_list(F.when(~F.col("same"), F.col("run"))).alias("open")))
+    return rows.groupBy("doc", "part").agg(F.collect_list(F.when(F.col("same"), F.col("run"))).alias("settled"), F.collect_list(F.when(~F.col("same"), F.col("run"))).alias("open"))
 
 
 def _covered(rows: DataFrame, lists: DataFrame, span: int) -> DataFrame:
@@ -170,19 +170,22 @@ def _covered(rows: DataFrame, lists: DataFrame, span: int) -> DataFrame:
     again = single.join(firsts, F.expr("name = of_name and doc > first")).select("doc", "part", F.shiftleft("start", 32).bitwiseOR(F.lit(1)).alias("run"))
     more = again.groupBy("doc", "part").agg(F.collect_list("run").alias("more")).select(F.col("doc").alias("m_doc"), F.col("part").alias("m_part"), "more")
     found = lists.select("doc", "part", "settled").join(more, (F.col("doc") == F.col("m_doc")) & (F.col("part") == F.col("m_part")), "left")
-    return cut(found.select(F.col("doc").alias("c_doc"), F.col("part").alias("c_part"), F.concat("settled", F.coalesce("more", F.array().cast("array<long>"))).alias("runs")).where(F.size("runs") > 0))
+    return found.select(F.col("doc").alias("c_doc"), F.col("part").alias("c_part"), F.concat("settled", F.coalesce("more", F.array().cast("array<long>"))).alias("runs")).where(F.size("runs") > 0)
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written.
+def _step(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored``, after which Spark is asked to delete the shuffle files of what went before.
 
-    Spark does so when the driver's JVM collects garbage, at least every half hour; here it is asked to at once, after
+    Spark does that when the driver's JVM collects garbage, at least every half hour; here it does so at once, after
     Python has told the JVM which frames it no longer holds (which it does a moment later).
     """
+    spark, out = df.sparkSession, stored(df)
+    del df
     gc.collect()
     time.sleep(1)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     time.sleep(1)
+    return out
 
 
 def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -207,14 +210,12 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     part = F.xxhash64(text) if repeated else F.lit(0).cast("long")
     rows = docs.select(doc.alias("doc"), part.alias("part"), text.cast("binary").alias("data"))
     long_enough = rows.where(F.octet_length("data") >= span)
-    meeting, path = stored(_meeting(long_enough, span))
-    release(docs)
-    lists = _lists(meeting)
-    del meeting
-    forget(docs.sparkSession, path)
-    release(docs)
-    covered = _covered(long_enough, lists, span)
-    release(docs)
+    # each step is written as a table, so that its shuffle files can go before the next makes its own
+    meeting, first = _step(_meeting(long_enough, span))
+    lists, second = _step(_lists(meeting))
+    forget(docs.sparkSession, first)
+    covered, _ = _step(_covered(long_enough, lists, span))
+    forget(docs.sparkSession, second)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
