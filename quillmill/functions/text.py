@@ -179,8 +179,8 @@ def collection_candidate(title: Column, digest: Column, is_collection: Column) -
 
 def spaced(c: Column) -> Column:
     """One space and a word joiner where Han and Latin letters meet."""
-    c = F.regexp_replace(c, r"(?<=[一-鿿])[ \t ⁠]*(?=[A-Za-z])", " ⁠")
-    return F.regexp_replace(c, r"(?<=[A-Za-z0-9.,!?;:)\]'\"“”‘’_-])[ \t ⁠]*(?=[一-鿿])", " ⁠")
+    c = F.regexp_replace(c, r"(?<=[一-鿿])[ \t\u00a0\u2060]*(?=[A-Za-z])", " \u2060")
+    return F.regexp_replace(c, r"(?<=[A-Za-z0-9.,!?;:)\]'\"“”‘’_-])[ \t\u00a0\u2060]*(?=[一-鿿])", " \u2060")
 
 
 def leading_script(c: Column) -> Column:

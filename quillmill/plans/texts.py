@@ -184,13 +184,10 @@ def error_code(spark, sf_dir):
     return derived(spark, sf_dir, MESSAGES).select("event_id", T.error_code(F.col("message")).alias("code"))
 
 
-INVISIBLE = """SELECT page_id, concat('a', CASE page_id % 3 WHEN 0 THEN chr(8203) WHEN 1 THEN chr(8288) ELSE '-' END, 'b', CAST(page_id AS STRING)) AS line FROM {pages}"""
-
-
 @query("clean_invisible", rf"SELECT page_id, regexp_replace(line, '[\x{{200b}}\x{{200c}}\x{{200d}}\x{{2060}}\x{{feff}}]', '', 'g') AS line FROM (SELECT page_id, concat('a', CASE page_id % 3 WHEN 0 THEN chr(8203) WHEN 1 THEN chr(8288) ELSE '-' END, 'b', CAST(page_id AS VARCHAR)) AS line FROM pages)")
 def clean_invisible(spark, sf_dir):
     # Spark's chr() stops at 255
-    line = F.expr("concat('a', CASE page_id % 3 WHEN 0 THEN '​' WHEN 1 THEN '⁠' ELSE '-' END, 'b', CAST(page_id AS STRING))")
+    line = F.expr("concat('a', CASE page_id % 3 WHEN 0 THEN decode(unhex('E2808B'), 'UTF-8') WHEN 1 THEN decode(unhex('E281A0'), 'UTF-8') ELSE '-' END, 'b', CAST(page_id AS STRING))")
     return table(spark, sf_dir, "pages").select("page_id", T.visible(line).alias("line"))
 
 
