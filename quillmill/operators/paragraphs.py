@@ -5,7 +5,7 @@ Blocks are rows (doc, pos, kind, text, ...). Every rule partitions by doc.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import title_candidate, title_key, trimmed, visible
@@ -17,7 +17,9 @@ COMMANDS = (
     "npm pnpm yarn bun npx pnpx git docker kubectl helm curl wget chmod mkdir rm cp mv ls cd cat grep sed awk node python python3 pip pip3 pytest go java javac mvn gradle uv cargo rustc make cmake".split()
 )
 
-BY_DOC = Window.partitionBy("doc").orderBy("pos")
+
+def by_doc() -> WindowSpec:
+    return Window.partitionBy("doc").orderBy("pos")
 
 
 def list_like(text: Column) -> Column:
@@ -59,22 +61,22 @@ def drop_blank_near_structure(blocks: DataFrame) -> DataFrame:
     """Without empty blocks whose nearest block with text before or after stands apart by itself or is a list item."""
     blank = F.col("text") == ""
     apart = F.when(~blank, F.col("kind").isin(SELF_SPACED) | list_like(F.col("text")))
-    before = F.last(apart, ignorenulls=True).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(apart, ignorenulls=True).over(BY_DOC.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(apart, ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(apart, ignorenulls=True).over(by_doc().rowsBetween(1, Window.unboundedFollowing))
     return blocks.withColumn("_b", before).withColumn("_a", after).where(~(blank & (F.coalesce("_b", F.lit(False)) | F.coalesce("_a", F.lit(False))))).drop("_b", "_a")
 
 
 def merge_bullets(blocks: DataFrame) -> DataFrame:
     """A paragraph that is only a bullet goes and stands before the text of the next block."""
     only = lambda c: trimmed(c).rlike(r"^[•·–—-]\s*$")
-    rows = blocks.withColumn("_p", F.lag("text").over(BY_DOC))
+    rows = blocks.withColumn("_p", F.lag("text").over(by_doc()))
     joined = F.when(only(F.col("_p")) & ~only(F.col("text")), F.concat(trimmed(F.col("_p")), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
     return rows.where(~only(F.col("text"))).withColumn("text", joined).drop("_p")
 
 
 def drop_repeated_captions(blocks: DataFrame) -> DataFrame:
     """Without the paragraph after an image that says what the image's alt says, or contains it, or is part of it."""
-    before = F.lag(F.struct("kind", "alt")).over(BY_DOC)
+    before = F.lag(F.struct("kind", "alt")).over(by_doc())
     rows = blocks.withColumn("_p", before)
     key, alt = title_key(F.col("text")), title_key(F.col("_p.alt"))
     same = (F.col("_p.kind") == "image") & (F.col("kind") == "paragraph") & (key != "") & (alt != "") & (key.contains(alt) | alt.contains(key))
@@ -83,8 +85,8 @@ def drop_repeated_captions(blocks: DataFrame) -> DataFrame:
 
 def inherit_code_language(blocks: DataFrame) -> DataFrame:
     """A code block without a language has that of the code block right before it, through any number of them."""
-    new = (F.col("kind") != "code") | F.coalesce(F.lag("kind").over(BY_DOC) != "code", F.lit(True))
-    rows = blocks.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(BY_DOC))
+    new = (F.col("kind") != "code") | F.coalesce(F.lag("kind").over(by_doc()) != "code", F.lit(True))
+    rows = blocks.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(by_doc()))
     known = F.last(F.when(F.col("lang") != "", F.col("lang")), ignorenulls=True).over(Window.partitionBy("doc", "_run").orderBy("pos"))
     return rows.withColumn("lang", F.when(F.col("kind") == "code", F.coalesce(known, F.lit(""))).otherwise(F.col("lang"))).drop("_new", "_run")
 
@@ -96,7 +98,7 @@ def prune_leading_metadata(blocks: DataFrame, tokens: list[str]) -> DataFrame:
     for token in sorted(tokens, key=len, reverse=True):
         rest = F.replace(rest, F.lit(token), F.lit(""))
     rest = F.regexp_replace(F.regexp_replace(rest, "发布于|发表于|原创|作者|公众号|来自|中国", ""), r"[年月日时分秒:：,，.\-—|·•()（）]", "")
-    return blocks.withColumn("_n", F.row_number().over(BY_DOC)).where(~((F.col("_n") <= 4) & short & (rest == ""))).drop("_n")
+    return blocks.withColumn("_n", F.row_number().over(by_doc())).where(~((F.col("_n") <= 4) & short & (rest == ""))).drop("_n")
 
 
 def list_votes(items: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def space_groups(segments: DataFrame) -> DataFrame:
     None comes between an original and its translation, which share a group.
     """
     rows = segments.where("role <> 'spacer'")
-    after = F.lead("grp").over(BY_DOC)
+    after = F.lead("grp").over(by_doc())
     rows = rows.withColumn("_gap", after.isNotNull() & ~after.eqNullSafe(F.col("grp")))
     row = lambda half, role, text: F.struct(F.lit(half).alias("half"), role.alias("role"), text.alias("text"))
     own = row(0, F.col("role"), F.col("text"))
@@ -140,8 +142,8 @@ def pad_references(blocks: DataFrame) -> DataFrame:
     blank, reference = F.col("text") == "", F.col("kind") == "reference"
     near = lambda c: F.coalesce(c == "reference", F.lit(False))
     rows = blocks.withColumn("_solid", F.when(~blank, F.col("kind")))
-    before = F.last("_solid", ignorenulls=True).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("_solid", ignorenulls=True).over(BY_DOC.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last("_solid", ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_solid", ignorenulls=True).over(by_doc().rowsBetween(1, Window.unboundedFollowing))
     rows = rows.withColumn("_b", before).withColumn("_a", after)
     rows = rows.where(~(blank & (near(F.col("_b")) | near(F.col("_a")))))
     pad = F.col("_b").isNotNull() & (reference | near(F.col("_b"))) & ~blank
