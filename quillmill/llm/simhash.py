@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -105,15 +105,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     doc_id belong to components but don't name them (null if no other member does). Repeated rows come out as often as
     they came in; an empty table gives no rows; other columns are ignored.
     """
-    prints = cut(fingerprints(docs, words))
+    out = grouped(fingerprints(docs, words), lambda nodes: links(nodes.select("fp"), radius))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def grouped(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, fp and component_id of the rows of ``prints``; ``link`` gives the edges between the distinct ``fp``."""
+    prints = cut(prints)
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(nodes.select("fp"), radius))
+    roots = components(link(nodes))
     named = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "least_id")
     least = named.groupBy("root").agg(F.min("least_id").alias("root_id"))
     linked = named.join(least, "root").select(F.col("node"), "root_id")
     known = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(F.col("fp").alias("of_fp"), F.coalesce("root_id", "least_id").alias("component_id"))
-    out = prints.join(known, prints["fp"] == known["of_fp"])
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(known, prints["fp"] == known["of_fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
@@ -122,7 +127,11 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
     Rows that repeat a doc_id with the same text count as one document, and one of them stays. Components in which no
     row has a doc_id keep their rows.
     """
-    found = near_duplicates(docs, words, radius)
+    return keep_least(docs, near_duplicates(docs, words, radius))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the component_id that ``found`` gives them, as in ``keep_one``."""
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
     counted = cut(stays.groupBy("_id").agg(F.count(F.lit(1)).alias("n")))
     out = docs.join(counted.select("_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
