@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.llm._util import cut
+
 #: Norms that differ by a smaller share than this count as equal.
 SAME_NORM = 1e-3
+#: Norms under 2 ** -MOST_BANDS of the largest share one band.
+MOST_BANDS = 64
 
 
 def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -67,8 +71,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     Both have vec_id and embedding; nearest means the largest inner product, and a row is no neighbour of its own vec_id.
     Every vector goes to one bucket of each table: its nearest signed axis after a fast Hadamard pseudo-rotation. A
     query looks into the ``probes`` nearest axes of each table. All that it finds there is ranked by exact inner products
-    of the original vectors, ties by smaller vec_id. If norms differ, one more coordinate makes all vectors equally long
-    before they are hashed, which turns the largest inner product into the smallest angle.
+    of the original vectors, ties by smaller vec_id. If norms differ, vectors are hashed by bands of norms (each within a
+    factor of two) in tables of their own, and one more coordinate makes all vectors of a band equally long, which turns
+    the largest inner product into the smallest angle. A query probes the tables of every band.
+
+    A query that finds fewer than ``k`` rows that way is answered by its exact inner products with all rows, in blocks.
 
     A bucket of more than ``block_rows`` rows or queries is cut into blocks by a hash of the id and every block of its
     queries meets every block of its rows, so a hot bucket is spread over tasks and nothing of it is left out. The sizes
@@ -98,6 +105,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     most, least = rows.agg(F.sqrt(F.max(square)), F.sqrt(F.min(square))).first()
     equal = least >= most * (1 - SAME_NORM)
     size = 1 << max(1, (dims + (not equal) - 1).bit_length())
+    band = F.lit(0) if equal else F.coalesce(F.least(F.floor(F.log2(F.lit(most) / F.sqrt(square))), F.lit(MOST_BANDS)), F.lit(0)).cast("int")
+    rows = rows.withColumn("band", band)
+    tops = {0: most} if equal else {r["band"]: r["top"] for r in rows.groupBy("band").agg(F.sqrt(F.max(square)).alias("top")).collect()}
 
     def hashed(df: DataFrame, probes: int, own: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +117,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
                 x = np.zeros((len(flat), size))
                 x[:, :dims] = flat
+                bands = batch.column(2).to_numpy()
                 if own and not equal:
-                    x[:, dims] = np.sqrt(np.maximum(0, most**2 - (x[:, :dims] ** 2).sum(axis=1)))
+                    x[:, dims] = np.sqrt(np.maximum(0, np.array([tops[b] for b in bands]) ** 2 - (x[:, :dims] ** 2).sum(axis=1)))
                 blobs = pa.array([v.tobytes() for v in flat.astype(dtype)], pa.binary())
                 for t, found in codes(x, tables, probes, seed):
                     for p in range(found.shape[1]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), t, dtype=np.int32)), pa.array(found[:, p].astype(np.int32)), batch.column(0), blobs], ["t", "code", "vec_id", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array((bands * tables + t).astype(np.int32)), pa.array(found[:, p].astype(np.int32)), batch.column(0), blobs], ["t", "code", "vec_id", "v"])
 
         return df.mapInArrow(run, "t int, code int, vec_id long, v binary")
 
@@ -120,7 +131,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
         count = df.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
         return count.select(F.col("t").alias(f"{name}_t"), F.col("code").alias(f"{name}_code"), name)
 
-    candidates, wanted = hashed(rows, 1, True), hashed(asked, probes, False)
+    candidates, wanted = hashed(rows, 1, True), hashed(asked.withColumn("band", F.lit(0)), probes, False)
+    if not equal:
+        wanted = wanted.withColumn("first", F.explode(F.array(*[F.lit(b * tables) for b in sorted(tops)]))).withColumn("t", F.col("t") + F.col("first")).drop("first")
     grid = sizes(candidates, "c_blocks").join(sizes(wanted, "q_blocks"), F.expr("c_blocks_t = q_blocks_t and c_blocks_code = q_blocks_code"))
     grid = F.broadcast(grid.select(F.col("c_blocks_t").alias("g_t"), F.col("c_blocks_code").alias("g_code"), "c_blocks", "q_blocks"))
     here = F.expr("t = g_t and code = g_code")
@@ -137,7 +150,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
         parts = [(t["vec_id"].to_numpy(), np.frombuffer(b"".join(t["v"].to_pylist()), dtype=dtype).reshape(-1, dims).astype(np.float64)) for t in (right, left)]
         return pa.Table.from_arrays([pa.array(x) for x in _best(*parts[0], *parts[1], k)], names)
 
-    found = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(ranked, "query_id long, vec_id long, score double")
-    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(c: DataFrame, q: DataFrame, key: list[str]) -> DataFrame:
+        found = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(ranked, "query_id long, vec_id long, score double")
+        once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = cut(best(c, q, key))
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("full_id"))
+    short = cut(asked.join(full, F.col("vec_id") == F.col("full_id"), "left_anti"))
+    n_short = short.count()
+    if not n_short:
+        return found
+    pack = F.pandas_udf(lambda e: e.map(lambda v: np.asarray(v, dtype=dtype).tobytes()), "binary")
+    c_blocks, q_blocks = F.lit(-(-rows.count() // block_rows)), F.lit(-(-n_short // block_rows))
+    all_c = rows.withColumns({"c_blocks": c_blocks, "q_blocks": q_blocks}).select(block("c_blocks", "c").alias("cb"), every("q_blocks").alias("qb"), "vec_id", pack("embedding").alias("v"))
+    all_q = short.withColumns({"c_blocks": c_blocks, "q_blocks": q_blocks}).select(every("c_blocks").alias("cb"), block("q_blocks", "q").alias("qb"), "vec_id", pack("embedding").alias("v"))
+    exact = best(all_c, all_q, ["cb", "qb"])
+    kept = found.join(short.select(F.col("vec_id").alias("short_id")), F.col("query_id") == F.col("short_id"), "left_anti")
+    return kept.union(exact)

@@ -59,3 +59,27 @@ def test_odd_rows(spark):
     rows = nearest(df, df.where("vec_id % 20 = 0"), k=3, tables=4, probes=6).collect()
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in rows} == {(0, 1, 20), (0, 2, 1), (20, 1, 0), (20, 2, 1)}
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_a_few_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(40, 32))[rng.integers(0, 40, 1500)] + 0.5 * rng.normal(size=(1500, 32))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[[7, 500, 901]] *= 40
+    df = table(spark, list(enumerate(rows)))
+    found = nearest(df, df.where("vec_id % 20 = 0"), k=10).collect()
+    real = brute(list(enumerate(rows)), range(0, 1500, 20), 10)
+    got = {q: {r["vec_id"] for r in found if r["query_id"] == q} for q in real}
+    assert all(len(x) == 10 for x in got.values())
+    assert sum(len(got[q] & set(real[q])) for q in real) >= 0.9 * 10 * len(real)
+
+
+def test_too_few_in_the_buckets(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, v) for i, v in enumerate(rng.normal(size=(200, 32)))]
+    df = table(spark, vectors)
+    rows = nearest(df, df.where("vec_id % 20 = 0"), k=30, tables=1, probes=1, block_rows=64).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == brute(vectors, range(0, 200, 20), 30)
