@@ -26,6 +26,9 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices banner popup modal"
     " comment comments disqus share sharing social related recommended newsletter subscribe signup pagination skip".split()
 )
+#: What may follow such a word in a name, and what says that the name only tells whether there is such a part. Fixed values.
+CONTAINERS = frozenset("area bar block box btn button buttons container content form group holder inner item items link links list panel post posts region section slot unit widget widgets wrap wrapper".split())
+TELLS = frozenset("no not has have with without is hide hidden".split())
 #: Elements inside a line of text; all others are blocks. Fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,15 +43,17 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 SHARE, VOTES = 0.5, 3
 #: A page that repeats more than this share of the reference's text is a copy of it and has no vote.
 COPY = 0.5
+#: A marked element with more than this share of a page's text is around the main text, if no article is marked.
+AROUND = 0.75
 
 
 class Node:
     """A block element, or a text (tag "#")."""
 
-    __slots__ = ("aside", "kids", "main", "number", "tag", "text")
+    __slots__ = ("aside", "kids", "main", "number", "soft", "tag", "text")
 
-    def __init__(self, tag: str, text: str = "", aside: bool = False, main: bool = False) -> None:
-        self.tag, self.text, self.aside, self.main = tag, text, aside, main
+    def __init__(self, tag: str, text: str = "", aside: bool = False, main: bool = False, soft: bool = False) -> None:
+        self.tag, self.text, self.aside, self.main, self.soft = tag, text, aside, main, soft
         self.kids: list[Node] = []
         self.number = 0
 
@@ -122,17 +127,25 @@ def parse(source: str) -> Node:
     return root
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is beside the main text, and whether it holds it."""
-    aside, main = tag in ASIDE_TAGS, tag in ("article", "main")
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is beside the main text, whether it holds it, and whether it is beside it only by a class, id or form."""
+    aside, main, soft = tag in ASIDE_TAGS and tag != "form", tag in ("article", "main"), tag == "form"
     if attributes and ("=" in attributes):
         for name, *values in _NAMED.findall(attributes):
             words = "".join(values).lower()
             if name.lower() == "role":
                 aside, main = aside or words in ASIDE_ROLES, main or words in ("main", "article")
             elif tag not in ("html", "body", "article", "main"):
-                aside = aside or not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", words))
-    return aside, main
+                soft = soft or any(map(_beside, words.split()))
+    return aside or soft, main, soft and not aside
+
+
+def _beside(token: str) -> bool:
+    """Whether a class or id is one of the words, or ends in one and names of containers, and doesn't only tell whether there is one."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", token) if p]
+    while len(parts) > 1 and parts[-1] in CONTAINERS:
+        parts.pop()
+    return bool(parts) and parts[-1] in ASIDE_WORDS and TELLS.isdisjoint(parts)
 
 
 def walk(node: Node) -> Iterator[Node]:
@@ -209,15 +222,41 @@ def repeats(page: Node, reference: Node) -> set[int]:
     return {y.number for x, y in align(page, reference) if x.tag == "#" and x.text == y.text}
 
 
+def _kept(page: Node, around: set[int]) -> Iterator[Node]:
+    todo = [page]
+    while todo:
+        node = todo.pop()
+        if not node.aside or id(node) in around:
+            yield node
+            todo.extend(node.kids)
+
+
+def _around(page: Node) -> set[int]:
+    """Ids of nodes that a class, id or form marks as beside the main text though they are around it.
+
+    If no article lies outside such nodes, those that hold one are around it; if there is none, those with most of the text.
+    """
+    nodes = list(walk(page))
+    if not any(n.soft for n in nodes) or any(n.main for n in _kept(page, set())):
+        return set()
+    holds: dict[int, tuple[bool, int]] = {}
+    for node in reversed(nodes):
+        below = [holds[id(k)] for k in node.kids if not k.aside or k.soft]
+        holds[id(node)] = node.main or any(m for m, _ in below), len(node.text) + sum(n for _, n in below)
+    main, total = holds[id(page)]
+    return {id(n) for n in nodes if n.soft and (holds[id(n)][0] if main else holds[id(n)][1] > AROUND * total)}
+
+
 def content(page: Node, template: set[int], reference: Node | None) -> str:
     """The main text: texts that are neither template nor beside the article, one to a line."""
     gone = {id(x) for x, y in align(page, reference) if x.tag == "#" and y.number in template and x.text == y.text} if template and reference else set()
-    inside = any(n.main for n in walk(page))
+    around = _around(page)
+    inside = any(n.main for n in _kept(page, around))
     out: list[str] = []
     todo = [(page, not inside)]
     while todo:
         node, on = todo.pop()
-        if node.aside:
+        if node.aside and id(node) not in around:
             continue
         on = on or node.main
         if node.tag == "#" and on and id(node) not in gone:

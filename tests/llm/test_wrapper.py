@@ -84,3 +84,21 @@ def test_copies_of_the_reference_have_no_vote(spark):
 
 def test_numbers_are_in_page_order():
     assert [n.number for n in walk(parse("<div><p>a</p></div><p>b"))] == list(range(6))
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<div class='layout has-sidebar'><article>a</article></div>", "a"),
+        ("<div id='menu-open'><main>a</main></div>", "a"),
+        ("<div class='no-comments'><p>a</p></div>", "a"),
+        ("<form><nav>m</nav><div class='sidebar'><article>a</article></div></form>", "a"),
+        ("<form><p>the whole page is in here</p></form><p>c</p>", "the whole page is in here\nc"),
+        ("<article><p>a</p><div class='share-of-market'>b</div><div class='related-work'>c</div></article>", "a\nb\nc"),
+        ("<article>a</article><div class='related'><article>teaser</article></div>", "a"),
+        ("<aside><article>teaser</article></aside><p>a</p>", "a"),
+        ("<p>a</p><div class='site-footer'>f</div><div class='cookie-banner-box'>k</div>", "a"),
+    ],
+)
+def test_marks_around_the_article(html, expected):
+    assert text(html) == expected
