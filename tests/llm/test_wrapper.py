@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 
 from quillmill.llm.wrapper import align, content, extract, parse, walk
 
 
 def text(html):
-    return content(parse(html), set(), None)
+    return content(parse(html))
 
 
 @pytest.mark.parametrize(
@@ -102,3 +105,101 @@ def test_numbers_are_in_page_order():
 )
 def test_marks_around_the_article(html, expected):
     assert text(html) == expected
+
+
+def generated(spark, layouts, pages=40, seed=3):
+    """Pages of one host each, without article elements or telling names, and their main texts."""
+    random.seed(seed)
+    word = lambda: "".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, expected = [], {}
+    for h, wrap in enumerate(layouts):
+        legal = line(60)
+        for i in range(pages):
+            body = [line(random.randint(10, 60)) for _ in range(random.randint(2, 9))]
+            menu = "".join(f"<li><a href='/{w}'>{w}</a>" for w in (word() for _ in range(random.randint(3, 8))))
+            head, advert = line(4), line(6)
+            text = f"<h1>{head}</h1>" + "".join(f"<p>{b}</p>" for b in body)
+            html = wrap.format(menu=f"<ul>{menu}</ul>", advert=advert, text=text, legal=legal)
+            rows.append((h * 1000 + i, f"https://h{h}.example.com/{i}", html))
+            expected[h * 1000 + i] = "\n".join([head, *body])
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), expected
+
+
+LAYOUTS = [
+    "<html><body><div class=a>{menu}</div><div class=b>{advert}</div><div class=c>{text}</div><div class=d><p>{legal}</p></div></body></html>",
+    "<html><body><table><tr><td>{menu}<td>{text}<td>{advert}</table><div>{legal}</div></body></html>",
+    "<html><body><div><div>{menu}</div><div><div>{text}<div>{menu}</div><p>Read this too</p></div><div>{advert}</div></div></div><p>{legal}</p></body></html>",
+]
+
+
+def test_the_region_is_learned_from_structure(spark):
+    df, expected = generated(spark, LAYOUTS)
+    got = {r["page_id"]: r["text"] for r in extract(df).collect()}
+    assert got == expected
+    marks_only = {r["page_id"]: r["text"] for r in extract(df, induce=False).collect()}
+    assert all(marks_only[i] != expected[i] for i in expected)
+
+
+def test_two_pages_suffice_and_one_does_not(spark):
+    df, expected = generated(spark, LAYOUTS[:1], pages=3)
+    assert {r["page_id"]: r["text"] for r in extract(df).collect()} == expected
+    alone = df.where("page_id = 0")
+    assert {r["text"] for r in extract(alone).collect()} == {r["text"] for r in extract(alone, induce=False).collect()}
+
+
+def test_a_teaser_is_not_the_article(spark):
+    df, expected = generated(spark, [LAYOUTS[0].replace("{advert}", "<article>{advert}</article>")])
+    assert {r["page_id"]: r["text"] for r in extract(df).collect()} == expected
+
+
+def test_near_copies_keep_their_texts(spark):
+    """Most pages of a host are near copies of one article: their common paragraphs are no template."""
+    df, expected = generated(spark, LAYOUTS[:1], pages=1)
+    first = df.first()["html"]
+    words = expected[0].split("\n")[1].split()
+    rows = [(i, f"https://h0.example.com/{i}", first.replace(words[3], f"other{i}", 1)) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(set(expected[0].replace(words[3], f"other{i}", 1).split("\n")) <= set(got[i].split("\n")) for i in got)
+
+
+def test_random_trees_align_largest():
+    random.seed(5)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1) if depth else random.choice('xyz')}</{t}>" for t in random.choices(["div", "section", "ul"], k=random.randint(0, 3)))
+
+    for _ in range(150):
+        x, y = parse(some(3)), parse(some(3))
+        pairs = align(x, y)
+        assert len(pairs) == sizes(x, y)
+        place = {id(n): i for i, n in enumerate(walk(y))}
+        order = {id(n): i for i, n in enumerate(walk(x))}
+        inside = {id(p): id(q) for p, q in pairs}
+        assert len(inside) == len(pairs) == len(set(inside.values()))
+        by_x = sorted(pairs, key=lambda pq: order[id(pq[0])])
+        assert [place[id(q)] for _, q in by_x] == sorted(place[id(q)] for _, q in pairs)
+
+
+def test_long_lists_are_halved(monkeypatch):
+    from quillmill.llm import wrapper
+
+    random.seed(8)
+    some = lambda: parse("<ul>" + "".join(random.choice(["<li><p>a", "<li><p>a<p>b", "<li>x", "<div>d</div>"]) for _ in range(random.randint(5, 30))) + "</ul>")
+    for _ in range(20):
+        x, y = some(), some()
+        monkeypatch.setattr(wrapper, "CELLS", 1 << 18)
+        whole = len(align(x, y))
+        monkeypatch.setattr(wrapper, "CELLS", 4)
+        assert len(align(x, y)) == whole
+
+
+def test_deep_and_long_pages(spark):
+    deep = lambda n, t: "<div>" * n + t + "</div>" * n
+    wide = lambda n, k: "<ul>" + "".join(f"<li><p>a{i}" + "<p>b" * (1 + i % k) for i in range(n)) + "</ul>"
+    html = [deep(5000, "one two"), deep(4990, "three four"), deep(5000, "five"), wide(10000, 2), wide(9500, 3), wide(10000, 2)]
+    df = spark.createDataFrame([(i, f"https://h{i // 3}.example.com/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    began = time.time()
+    got = {r["page_id"]: r["text"] for r in extract(df).collect()}
+    assert time.time() - began < 120
+    assert got[0] == "one two" and got[1] == "three four" and len(got) == 6
