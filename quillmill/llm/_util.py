@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,13 +19,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> None:
     """Make sure that a checkpoint folder is set.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``; that setting is used as it is. Only where it is
-    unset (tests on one machine) does a temporary folder take its place.
+    A cluster names its shared folder in ``spark.checkpoint.dir``; that setting is used as it is. Where it is unset, one
+    machine that is driver and executor in one (master ``local``) takes a temporary folder; anything else is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmill-", dir=os.environ.get("TMPDIR")))
 
 
@@ -48,6 +52,23 @@ def forget(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column], list[Column]]:
+    """``df`` with columns in_0, in_1, ..., which meet no name that an operator uses inside; a function that finds a column by
+    its own name; and the columns that bring all own names back."""
+    names = [f"in_{i}" for i in range(len(df.columns))]
+
+    def of(name: str) -> Column:
+        exact = [n for n, c in zip(names, df.columns, strict=True) if c == name]
+        return F.col((exact or [n for n, c in zip(names, df.columns, strict=True) if c.lower() == name.lower()])[0])
+
+    return df.toDF(*names), of, [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
+
+
+def without(back: list[Column], df: DataFrame, added: list[str]) -> list[Column]:
+    """``back`` of ``apart`` less the columns named like ``added``."""
+    return [b for b, c in zip(back, df.columns, strict=True) if c.lower() not in added]
+
+
 def bucket_of(columns: list[Column], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 

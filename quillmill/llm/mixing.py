@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._util import bucket_of, number_rows
+from quillmill.llm._util import apart, bucket_of, number_rows, without
 
 #: From the rows left of each source to the phases: each repeats a period in which a source has least(left, weight)
 #: slots, as often as the source that runs dry first can.
@@ -52,6 +52,10 @@ aggregate(
 """
 
 
+#: The columns that mixing adds.
+ADDED = ["mix_weight", "mix_phase", "mix_block", "mix_rank"]
+
+
 def _of(source: Column) -> Column:
     """A key for each source, nulls being one of them."""
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
@@ -102,19 +106,30 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     A null source is a source. Null doc_ids and repeated rows are rows like others (ties go by the text's hash). An
     empty table gives no rows. Columns of ``docs`` that are named like the added ones are replaced.
     """
-    added = ["mix_weight", "mix_phase", "mix_block", "mix_rank"]
-    kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(*[f"`{c}`" for c in kept]).withColumn("_source", _of(F.col("source")))
+    placed, back = _placed(docs, weights, block_rows, period, buckets)
+    return placed.select(*without(back, docs, ADDED), *ADDED)
+
+
+def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 32, period: int = 256, buckets: int = 1024) -> DataFrame:
+    """The rows of ``docs``, with all their columns as they are, sorted into the order of ``mix``."""
+    placed, back = _placed(docs, weights, block_rows, period, buckets)
+    return placed.orderBy("mix_block", "mix_rank").select(*back)
+
+
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, period: int, buckets: int) -> tuple[DataFrame, list[Column]]:
+    rows, of, back = apart(docs)
+    rows = rows.withColumn("_source", _of(of("source")))
     plans = schedule(rows.groupBy("_source").agg(F.count(F.lit(1)).alias("rows")), weights, block_rows, period)
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    numbered = number_rows(rows, bucket_of([F.col("doc_id")], buckets), order, within=["_source"])
+    order = [F.xxhash64(of("doc_id")), of("doc_id"), F.xxhash64(of("text"))]
+    numbered = number_rows(rows, bucket_of([of("doc_id")], buckets), order, within=["_source"])
     placed = numbered.join(plans, F.col("_source") == F.col("of_source"))
     block = F.floor(F.col("row_number") / block_rows)
     placed = placed.withColumn("_block", block).withColumn("_part", F.expr("filter(plan, x -> _block >= x.done AND _block < x.done + x.periods * size(x.slots))[0]"))
-    return placed.select(
-        *[f"`{c}`" for c in kept],
+    placed = placed.select(
+        *rows.columns,
         F.col("weight").alias("mix_weight"),
         F.col("_part.phase").alias("mix_phase"),
         F.expr("_part.start + ((_block - _part.done) div size(_part.slots)) * _part.total + _part.slots[cast((_block - _part.done) % size(_part.slots) AS int)]").alias("mix_block"),
         (F.col("row_number") % block_rows).alias("mix_rank"),
     )
+    return placed, back

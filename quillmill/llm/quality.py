@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm._compress import Sizer, chosen, dictionary, spread
+from quillmill.llm._util import apart, without
 
 #: Added to a text's bytes when the difference is normalised, so that a few bytes of a very short text decide little.
 DAMPING = 32
@@ -95,6 +96,18 @@ def score_texts(docs: DataFrame, model: QualityModel, threshold: float = 0.3) ->
     Only the whole text counts; null text is scored as empty, whose difference is 0. Columns of ``docs`` named score or
     predicted are replaced; all others stay as they are. Repeated rows are scored each; an empty table gives no rows.
     """
+    rows, of, back = apart(docs)
+    scored = rows.withColumn("score", _scores(docs, of("text"), model))
+    return scored.select(*without(back, docs, ["score", "predicted"]), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that ``score_texts`` gives ``threshold`` or more, with all their columns as they are."""
+    rows, of, back = apart(docs)
+    return rows.where(_scores(docs, of("text"), model) >= threshold).select(*back)
+
+
+def _scores(docs: DataFrame, text: Column, model: QualityModel) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -105,6 +118,5 @@ def score_texts(docs: DataFrame, model: QualityModel, threshold: float = 0.3) ->
             x = np.array([difference(t or "", sizer) for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(fitted.slope * x + fitted.offset, -30, 30))))
 
-    scored = docs.drop("score", "predicted").withColumn("score", score(F.coalesce(F.col("text"), F.lit(""))))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(F.coalesce(text, F.lit("")))
 

@@ -8,9 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm._util import bucket_of, number_rows
+from quillmill.llm._util import apart, bucket_of, cut, number_rows, without
 
 ROUNDS = 6
+#: Sizes of so many files are broadcast at most; those of more are joined.
+FILES_AT_ONCE = 100_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -94,25 +96,34 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 42, buckets:
 def shard_stored(docs: DataFrame, shards: int = 40, seed: int = 42) -> DataFrame:
     """As ``shard_documents``, for a table read from Parquet files whose order matters; keeps the table's columns.
 
-    The global row number is the row's place in the stored order (files by name, rows as they stand in each), which
-    the file source tells for every row: no sort and no shuffle of rows, only a count for each file. Columns of the
-    table that are named like one of the added columns (row_number, position, shard, slot) give way to it. Rows that
-    come from no file are numbered by doc_id as in ``shard_documents``.
+    The global row number is the row's place in the stored order (files by folder, by the number that Spark's writers
+    give each, and by path; rows as they stand in each), which the file source tells for every row: no sort and no
+    shuffle of rows, only a count for each file. Columns of the table that are named like one of the added columns
+    (row_number, position, shard, slot) give way to it. Rows that come from no file are numbered by doc_id as in
+    ``shard_documents``.
     """
-    kept = [c for c in docs.columns if c not in {"row_number", "rows_total", "position", "shard", "slot", "_file", "_local"}]
+    added = ["row_number", "position", "shard", "slot"]
+    rows, of, back = apart(docs)
+    back = without(back, docs, added)
     try:
-        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+        file = docs.metadataColumn("_metadata")
+        file, local = file["file_path"], file["row_index"]
+        docs.select(file, local).schema  # noqa: B018
     except AnalysisException:
-        rows = docs.select(*[f"`{c}`" for c in kept])
-        numbered = number_rows(rows, bucket_of([F.col("doc_id")], 16384), [F.col("doc_id"), F.xxhash64("text")])
-        return shard_rows(numbered, shards, seed).select(*[f"`{c}`" for c in kept], "row_number", "position", "shard", "slot")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_local"))
-    sizes = docs.select(F.col("_metadata.file_name").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(
-        "_file",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy()).alias("rows_total"),
+        numbered = number_rows(rows, bucket_of([of("doc_id")], 16384), [of("doc_id"), F.xxhash64(of("text"))])
+        return shard_rows(numbered, shards, seed).select(*back, *added)
+    rows = docs.select(*[docs[f"`{c}`"].alias(f"in_{i}") for i, c in enumerate(docs.columns)], file.alias("file"), local.alias("local"))
+    name = F.element_at(F.split("file", "/"), -1)
+    folder = F.expr("substring(file, 1, length(file) - length(element_at(split(file, '/'), -1)))")
+    order = Window.orderBy(folder, F.length(F.regexp_extract(name, r"^part-(\d+)", 1)), "file")
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(
+        sizes.select(
+            F.col("file").alias("of_file"),
+            F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+            F.sum("n").over(Window.partitionBy()).alias("rows_total"),
+        )
     )
-    # one row for each file of the table: the driver's own file listing is larger
-    numbered = rows.join(F.broadcast(sizes), "_file").withColumn("row_number", F.col("_before") + F.col("_local"))
-    return shard_rows(numbered, shards, seed).select(*[f"`{c}`" for c in kept], "row_number", "position", "shard", "slot")
+    small = F.broadcast if sizes.count() <= FILES_AT_ONCE else lambda df: df
+    numbered = rows.join(small(sizes), F.col("file") == F.col("of_file")).withColumn("row_number", F.col("before") + F.col("local"))
+    return shard_rows(numbered, shards, seed).select(*back, *added)

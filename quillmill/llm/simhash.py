@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._util import cut
+from quillmill.llm._util import apart, cut
 from quillmill.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -132,8 +132,12 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
 
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the component_id that ``found`` gives them, as in ``keep_one``."""
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    counted = cut(stays.groupBy("_id").agg(F.count(F.lit(1)).alias("n")))
-    out = docs.join(counted.select("_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    repeated = counted.where("n > 1 and _id is not null").limit(1).count() > 0
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
+    counted = cut(stays.groupBy("stays").agg(F.count(F.lit(1)).alias("n")))
+    rows, of, back = apart(docs)
+    out = rows.join(counted.select("stays"), of("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    if counted.where("n > 1 and stays is not null").limit(1).count():
+        # rows without a doc_id are no repeats of each other
+        key = F.when(of("doc_id").isNull(), F.monotonically_increasing_id())
+        out = out.withColumns({"of_id": of("doc_id"), "of_text": of("text"), "of_row": key}).dropDuplicates(["of_id", "of_text", "of_row"])
+    return out.select(*back)

@@ -6,7 +6,8 @@ import re
 
 import numpy as np
 
-from quillmill.llm.decontaminate import mark, winnow
+from quillmill.llm import decontaminate
+from quillmill.llm.decontaminate import keep_clean, mark, winnow
 
 from .cases import documents
 
@@ -70,8 +71,34 @@ def test_equals_brute_force(spark):
     check(spark, *cases(spark))
 
 
-def test_in_blocks(spark):
-    check(spark, *cases(spark), block_bytes=300)
+def test_joined_by_all_names(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "NAMES_AT_ONCE", 0)
+    monkeypatch.setattr(decontaminate, "ROWS_AT_ONCE", 0)
+    check(spark, *cases(spark))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BYTES_AT_ONCE", 64)
+    rng = random.Random(6)
+    for _ in range(50):
+        text = "".join(rng.choice(["ab", "cde", "Straße", "x" * 90, " ", ", ", "\n"]) + rng.choice([" ", "-", ""]) for _ in range(rng.randrange(120)))
+        whole = words(text)
+        seen = set()
+        for first, data in decontaminate.pieces(text.encode(), 4):
+            part = words(data.decode())
+            assert whole[first : first + len(part)] == part
+            seen.update(range(first, first + len(part) - 3))
+        assert seen >= set(range(len(whole) - 3))
+
+
+def test_clean_rows_keep_all_columns(spark):
+    docs, items = cases(spark)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    clean = {r["doc_id"] for r in mark(docs, bench).where("not contaminated").collect()}
+    odd = docs.withColumnsRenamed({"score": "n_words", "shard": "k1"})
+    kept = keep_clean(odd, bench)
+    assert kept.columns == odd.columns and kept.subtract(odd).count() == 0
+    assert {r["doc_id"] for r in kept.collect()} == clean
 
 
 def test_odd_rows(spark):
