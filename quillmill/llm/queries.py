@@ -80,7 +80,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.neighbours import nearest
 
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, tables=8, probes=16)
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, tables=16, recall=0.95)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
