@@ -15,6 +15,8 @@ from quillmill.llm._util import apart, cut
 from quillmill.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Fingerprints of a bucket that are compared each with each at most.
+BUCKET = 64
 #: Shingles whose bits are unpacked at a time (64 bytes each).
 SHINGLES_AT_ONCE = 1 << 18
 
@@ -79,20 +81,26 @@ def ball(radius: int) -> list[int]:
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (``fp``) that join exactly what pairs at most ``radius`` apart join.
 
-    Covering hashing first: each fingerprint goes to one bucket of every table, under its masked bits, and goes on only
-    if some bucket holds another one; every pair within the radius meets in a bucket. Buckets are only counted, never
-    listed. Those that go on are then linked without listing pairs: two fingerprints are at most 2 * s apart if and only
-    if some centre is at most s from both, so all at most s from a centre are linked to the least of them. A centre has
-    no more such neighbours than the ball has points, whatever the data are.
+    Covering hashing: each fingerprint goes to one bucket of every table, under its masked bits, and every pair within the
+    radius meets in a bucket. In a bucket of up to BUCKET fingerprints each is compared with each, so a fingerprint makes
+    BUCKET comparisons a table at most. The members of larger buckets are split by further masks instead: each goes to all
+    centres at most half the radius away (a mask for every few bits left out, and exactly those within the radius share
+    one), and all of a centre are linked to the least of them, without listing pairs. A centre has no more such members
+    than there are patterns of so few bits, whatever the data are.
     """
     if radius not in (2, 4):
         raise ValueError("radius must be 2 or 4")
     spots = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(covering_masks(radius))])).alias("spot")).select("fp", "spot.t", "spot.key")
-    shared = spots.groupBy("t", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most").select("t", "key")
-    meeting = spots.join(shared, ["t", "key"], "left_semi").select("fp").distinct()
-    near = meeting.select("fp", F.explode(F.array(*[F.lit(p) for p in ball(radius // 2)])).alias("step")).select("fp", F.col("fp").bitwiseXOR(F.col("step")).alias("centre"))
-    groups = near.groupBy("centre").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
-    return groups.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a != b").select("a", "b").distinct()
+    sizes = spots.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("t").alias("of_t"), F.col("key").alias("of_key"), "n")
+    meeting = cut(spots.join(sizes, F.expr("t = of_t and key = of_key")).select("fp", "t", "key", (F.col("n") > BUCKET).alias("large")))
+    few = meeting.where("not large").select("fp", "t", "key")
+    one, other = (few.toDF(f"{x}", f"{x}_t", f"{x}_key") for x in "ab")
+    near = one.join(other, F.expr(f"a_t = b_t and a_key = b_key and a > b and bit_count(a ^ b) <= {radius}")).select("a", "b")
+    many = meeting.where("large").select("fp").distinct()
+    spread = many.select("fp", F.explode(F.array(*[F.lit(p) for p in ball(radius // 2)])).alias("step")).select("fp", F.col("fp").bitwiseXOR(F.col("step")).alias("centre"))
+    groups = spread.groupBy("centre").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
+    stars = groups.select(F.explode("members").alias("a"), F.array_min("members").alias("b")).where("a != b")
+    return near.union(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from quillmill.llm.components import components
+from quillmill.llm import simhash
 from quillmill.llm.simhash import covering_masks, keep_one, links, near_duplicates
 
 from .cases import documents
@@ -86,3 +87,15 @@ def test_one_of_each_stays(spark):
     kept = [r["doc_id"] for r in keep_one(docs, words=5).select("doc_id").collect()]
     assert sorted(x for x in kept if x is not None and x != 9) == [1, 3, 5, 6, 7, 11]
     assert set(keep_one(docs).columns) == set(docs.columns)
+
+
+def test_large_buckets_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    near = {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(60)} | set(base)
+    prints = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in near], "fp long")
+    roots = lambda: {(r["node"], r["root"]) for r in simhash.components(simhash.links(prints)).collect()}
+    small = roots()
+    for bucket in (1, 8):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        assert roots() == small
