@@ -118,9 +118,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 
 def grouped(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """doc_id, fp and component_id of the rows of ``prints``; ``link`` gives the edges between the distinct ``fp``."""
+    """doc_id, fp and component_id of the rows of ``prints``; ``link`` gives the edges between the distinct ``fp``.
+
+    Other columns of ``prints`` follow from fp, and ``link`` has them too.
+    """
     prints = cut(prints)
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *[F.min(c).alias(c) for c in prints.columns if c not in ("doc_id", "fp")])
     roots = components(link(nodes))
     named = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "least_id")
     least = named.groupBy("root").agg(F.min("least_id").alias("root_id"))
