@@ -48,7 +48,7 @@ RAW = frozenset("script style noscript template iframe textarea svg canvas objec
 #: Elements that hold lines of text; a region holds such elements and is none. Fixed values.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd pre blockquote figure figcaption address".split())
 #: Elements that tell the layouts of a host apart. Fixed values.
-LAYOUT_TAGS = "article|main|section|header|footer|nav|aside|form|table"
+LAYOUT_TAGS = "article main section form table".split()
 #: What an open element of the first kind is closed by. Fixed values.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -174,13 +174,18 @@ def parse(source: str) -> Node:
     for i, node in enumerate(nodes):
         node.number = i
     for node in reversed(nodes):
-        for k in node.kids:
+        kids = node.kids
+        if not kids:
+            node.shape = hash(node.tag)
+            node.full = hash((node.shape, node.text))
+            continue
+        for k in kids:
             node.size += k.size
             if not k.aside or k.soft:
                 node.plain += k.plain
                 node.links += k.links
-        node.shape = hash((node.tag, *[k.shape for k in node.kids]))
-        node.full = hash((node.shape, node.text, *[k.full for k in node.kids]))
+        node.shape = hash((node.tag, *[k.shape for k in kids]))
+        node.full = hash((node.shape, *[k.full for k in kids]))
     return root
 
 
@@ -333,8 +338,15 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
-        if x.kids and y.kids:
-            todo.extend(zip(x.kids, y.kids, strict=True) if x.shape == y.shape and x.size > CELLS else match.pairs(x.kids, y.kids))
+        if not x.kids or not y.kids:
+            continue
+        if x.full == y.full:
+            todo.extend(zip(x.kids, y.kids, strict=True))
+        elif len(x.kids) == len(y.kids) == 1:
+            if x.kids[0].tag == y.kids[0].tag:
+                todo.append((x.kids[0], y.kids[0]))
+        else:
+            todo.extend(match.pairs(x.kids, y.kids))
     return pairs
 
 
@@ -498,10 +510,9 @@ def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20, induce: bool = Tr
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     host = F.coalesce(F.lower(F.try_parse_url(F.col("url"), F.lit("HOST"))), F.lit(""))
-    tags = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(f"(?i)<({LAYOUT_TAGS})\\b"), F.lit(1)), F.lower)))
-    rows = rows.withColumn("layout", F.concat_ws(" ", host, tags))
+    rows = rows.withColumn("layout", F.concat_ws(" ", host, *[F.when(F.contains("html", F.lit(f"<{t}")), t) for t in LAYOUT_TAGS]))
     chosen = rows.groupBy("layout").agg(
-        F.min(F.struct(~F.contains(F.lower("html"), F.lit("</html>")), F.length("html") == 0, F.xxhash64("page_id", "url").alias("h"), F.xxhash64("html").alias("x"))).alias("c"),
+        F.min(F.struct(~F.rtrim("html").endswith("</html>"), F.length("html") == 0, F.xxhash64("page_id", "url").alias("h"), F.xxhash64("html").alias("x"))).alias("c"),
         F.max(F.octet_length("html")).alias("n"),
     )
     total = chosen.agg(F.sum("n")).first()[0] or 0
@@ -512,15 +523,19 @@ def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20, induce: bool = Tr
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = lru_cache(TREES)(parse)
-        kind = pa.list_(pa.struct([(f, pa.int32()) for f in Vote._fields]))
         for batch in batches:
-            out = []
-            for layout, source, reference in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            nears, ids, votes, ends = [], [], [], [0]
+            for source, reference in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 page = parse(source)
-                near, votes = vote(page, tree(reference))
-                out.append((layout, xxhash.xxh64_intdigest("\n".join(n.text for n in _kept(page, set()) if n.tag == "#")) >> 1, near, [v._asdict() for v in votes]))
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), kind), strict=True)], ["layout", "page", "near", "votes"])
+                near, found = vote(page, tree(reference))
+                nears.append(near)
+                ids.append(xxhash.xxh64_intdigest("\n".join(n.text for n in _kept(page, set()) if n.tag == "#")) >> 1)
+                votes += found
+                ends.append(len(votes))
+            columns = np.array(votes, dtype=np.int32).reshape(-1, len(Vote._fields)).T
+            each = pa.StructArray.from_arrays([pa.array(c) for c in columns], list(Vote._fields))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(nears, pa.bool_()), lists], ["layout", "page", "near", "votes"])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: dict[str, Model] = {}
