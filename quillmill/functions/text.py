@@ -156,16 +156,37 @@ def redacted(c: Column, most: int = 160) -> Column:
     return F.substring(trimmed(F.regexp_replace(c, r"\s+", " ")), 1, most)
 
 
-def error_code(c: Column) -> Column:
-    low = F.lower(c)
-    any_of = lambda *words: low.rlike("|".join(words))
-    return (
-        F.when(any_of("401", "unauthorized", "invalid key"), "UNAUTHORIZED")
-        .when(any_of("429", "rate", "limit"), "RATE_LIMIT")
-        .when(any_of("network", "fetch", "timeout"), "NETWORK")
-        .when(any_of("too long", "字数", "超"), "CONTENT_TOO_LONG")
-        .otherwise("UNKNOWN")
-    )
+#: Codes of failed calls by status, part of the code and part of the message; the first that fits counts. Fixed values.
+CALL_ERRORS = [
+    ("UNAUTHORIZED", 401, "UNAUTHORIZED", None),
+    ("RATE_LIMIT", 429, "RATE", None),
+    ("CANCELLED", None, None, "ABORTED"),
+    ("AMBIGUOUS_CREATE", 0, None, "TIMEOUT"),
+    ("SERVICE_UNAVAILABLE", 503, "SERVICE", None),
+    ("PERMISSION_DENIED", 403, "PERM", "仅限 Pro 会员"),
+    ("CONTENT_TOO_LONG", 413, "TOO LARGE", None),
+]
+#: Codes by what the message says. Fixed values.
+MESSAGE_ERRORS = [("UNAUTHORIZED", "401|unauthorized|invalid key"), ("RATE_LIMIT", "429|rate|limit"), ("NETWORK", "network|fetch|timeout"), ("CONTENT_TOO_LONG", "too long|字数|超")]
+
+
+def error_code(message: Column, status: Column | None = None, code: Column | None = None) -> Column:
+    """The kind of an error: of a failed call by its status and code, of anything else by its message."""
+    kind = F.when(F.lit(False), "")
+    if status is not None:
+        upper = F.upper(F.coalesce(code if code is not None else F.lit(""), F.lit("")))
+        for name, number, part, said in CALL_ERRORS:
+            if number == 0:  # no answer: only with what the message says
+                fits = (status == 0) & message.contains(said)
+            else:
+                fits = F.lit(False)
+                fits = fits | (status == number) if number is not None else fits
+                fits = fits | upper.contains(part) if part else fits
+                fits = fits | (status.isNotNull() & message.contains(said)) if said else fits
+            kind = kind.when(fits, name)
+    for name, pattern in MESSAGE_ERRORS:
+        kind = kind.when(F.lower(message).rlike(pattern), name)
+    return kind.otherwise("UNKNOWN")
 
 
 def visible(c: Column) -> Column:

@@ -80,3 +80,8 @@ def sessions(rows: DataFrame, key: str, time: str, order: list[str], gap: int) -
     w = Window.partitionBy(key).orderBy(time, *order)
     new = F.lag(time).over(w).isNull() | (F.col(time) - F.lag(time).over(w) > gap)
     return rows.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(w)).drop("_new")
+
+
+def image_limit(asked: Column, most: int = 200) -> Column:
+    """How many images are kept: whole, from 0 to ``most``; what is no number or negative is 0."""
+    return F.when(asked.isNull() | F.isnan(asked) | (asked < 0), 0).otherwise(F.floor(F.least(asked, F.lit(float(most))))).cast("int")

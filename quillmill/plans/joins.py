@@ -59,7 +59,7 @@ def ref_info_lookup(spark, sf_dir):
     return out.where((F.col("title") != N.NO_TITLE) | (F.col("digest") != ""))
 
 
-ID_LISTS = ["SELECT o_orderkey AS ord, concat(' c', CAST(o_custkey AS STRING), ' ') AS id FROM {orders} WHERE o_orderkey % 7 = {k}".replace("{k}", str(k)) for k in range(4)]
+ID_LISTS = ["SELECT o_orderkey AS ord, concat(' c', CAST(o_custkey AS STRING), ' ') AS id FROM {orders} WHERE o_orderkey % 7 {k}".replace("{k}", k) for k in ("= 0", "= 1", "= 2", "> 2")]  # each order in one of four lists
 
 
 @query("priority_union_ids", f"""

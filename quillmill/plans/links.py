@@ -93,7 +93,7 @@ SELECT page_id, page_id % 4 AS ord, CASE page_id % 5 WHEN 0 THEN concat('https:/
   CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'https://i.example.com/a,b.jpg 300w, https://i.example.com/c,d.jpg 1200w' WHEN 2 THEN 'https://i.example.com/e.jpg 1x, https://i.example.com/f.jpg 2x' ELSE 'https://i.example.com/only.jpg' END AS srcset,
   CASE page_id % 7 WHEN 0 THEN 'avatar round' WHEN 1 THEN 'user-icon' WHEN 2 THEN 'hero' ELSE '' END AS class,
   CASE page_id % 6 WHEN 0 THEN 'Author photo' WHEN 1 THEN 'decorative line' WHEN 2 THEN 'A view' ELSE '' END AS alt,
-  CASE WHEN page_id % 8 = 0 THEN 40 ELSE 640 END AS width, CASE WHEN page_id % 8 = 0 THEN 40 ELSE 480 END AS height FROM {pages}"""
+  CASE page_id % 8 WHEN 0 THEN 40 WHEN 5 THEN 0 WHEN 6 THEN 300 ELSE 640 END AS width, CASE page_id % 8 WHEN 0 THEN 40 WHEN 5 THEN NULL ELSE 480 END AS height FROM {pages}"""
 
 BEST = """
     parts AS (SELECT page_id, regexp_extract_all(srcset, '\\S+(?:\\s+\\d+(?:\\.\\d+)?[wx])?') AS a FROM ({tags}) WHERE srcset <> ''),
@@ -126,18 +126,18 @@ CLASSES = r"(?i)avatar|profile-pic|author-img|headshot|portrait|author|bio|user-
 
 
 @query("image_attr_filter", f"""
-    SELECT page_id FROM ({same(IMG_TAGS)}) WHERE NOT regexp_matches(alt, '{AVATAR}') AND NOT regexp_matches(alt, '{DECOR}') AND NOT regexp_matches(class, '{CLASSES}') AND NOT (width <= 50 AND height <= 50)""")
+    SELECT page_id FROM ({same(IMG_TAGS)}) WHERE NOT regexp_matches(alt, '{AVATAR}') AND NOT regexp_matches(alt, '{DECOR}') AND NOT regexp_matches(class, '{CLASSES}') AND NOT coalesce(width <= 50 AND height <= 50, false)""")
 def image_attr_filter(spark, sf_dir):
     rows = derived(spark, sf_dir, IMG_TAGS)
-    return rows.where(~F.col("alt").rlike(AVATAR) & ~F.col("alt").rlike(DECOR) & ~F.col("class").rlike(CLASSES) & ~((F.col("width") <= 50) & (F.col("height") <= 50))).select("page_id")
+    return rows.where(~F.col("alt").rlike(AVATAR) & ~F.col("alt").rlike(DECOR) & ~F.col("class").rlike(CLASSES) & ~F.coalesce((F.col("width") <= 50) & (F.col("height") <= 50), F.lit(False))).select("page_id")
 
 
 @query("image_after_title", f"""
     WITH t AS (SELECT page_id // 4 AS clip, page_id, ord, src, class, width, height FROM ({same(IMG_TAGS)})),
-    n AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY ord) AS n FROM t WHERE ord > 0 AND width > 300 AND height > 150 AND NOT regexp_matches(class, 'avatar|icon|author'))
+    n AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY ord) AS n FROM t WHERE ord > 0 AND (width > 300 AND height > 150 OR coalesce(width, 0) = 0 AND coalesce(height, 0) = 0) AND NOT regexp_matches(lower(class), 'avatar|icon|author'))
     SELECT clip, page_id, src FROM n WHERE n = 1""")
 def image_after_title(spark, sf_dir):
-    rows = derived(spark, sf_dir, IMG_TAGS).withColumn("clip", F.floor(F.col("page_id") / 4)).where("ord > 0 and width > 300 and height > 150").where(~F.col("class").rlike("avatar|icon|author"))
+    rows = derived(spark, sf_dir, IMG_TAGS).withColumn("clip", F.floor(F.col("page_id") / 4)).where("ord > 0 and (width > 300 and height > 150 or coalesce(width, 0) = 0 and coalesce(height, 0) = 0)").where(~F.lower("class").rlike("avatar|icon|author"))
     n = F.row_number().over(Window.partitionBy("clip").orderBy("ord"))
     return rows.withColumn("n", n).where("n = 1").select("clip", "page_id", "src")
 

@@ -77,8 +77,8 @@ def numbered_heading_bold(spark, sf_dir):
 
 
 TECHNICAL = """
-SELECT o_orderkey, o_custkey AS doc, o_orderkey AS pos, CASE o_orderkey % 9 WHEN 0 THEN 'npm install x' WHEN 1 THEN './run/me' WHEN 2 THEN 'src/app/main.ts' WHEN 3 THEN 'name = value' WHEN 4 THEN concat('{{"a": ', CAST(o_orderkey AS STRING), '}}')
-  WHEN 5 THEN '[highlight] git status' WHEN 6 THEN 'file.txt' WHEN 7 THEN 'plain words here' ELSE concat('$ docker run ', CAST(o_orderkey AS STRING)) END AS text FROM {orders} WHERE o_custkey % 3 = 0 OR o_orderkey % 9 < 4"""
+SELECT o_orderkey, o_custkey AS doc, o_orderkey AS pos, CASE o_orderkey % (CASE WHEN o_custkey % 3 = 0 THEN 7 ELSE 9 END) WHEN 0 THEN 'npm install x' WHEN 1 THEN './run/me' WHEN 2 THEN 'src/app/main.ts' WHEN 3 THEN 'name = value' WHEN 4 THEN concat('{{"a": ', CAST(o_orderkey AS STRING), '}}')
+  WHEN 5 THEN '[highlight] git status' WHEN 6 THEN 'file.txt' WHEN 7 THEN 'plain words here' ELSE concat('$ docker run ', CAST(o_orderkey AS STRING)) END AS text FROM {orders}"""
 LANGUAGE = f"""CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '(?i)^(?:[$#]\\s*)?(?:{"|".join(P.COMMANDS)})\\b') OR regexp_matches(t, '^(?:\\.{{1,2}}/|~/|/)\\S+$') OR regexp_matches(t, '^(?:[@A-Za-z0-9_.-]+/)+[@A-Za-z0-9_.-]+(?:\\.[A-Za-z0-9]+)?$')
       OR regexp_matches(t, '^[A-Za-z0-9_.-]+\\.[A-Za-z0-9]{{1,8}}$') THEN 'shellscript' WHEN regexp_matches(t, '^[A-Za-z_][\\w.-]*\\s*[:=]\\s*.+$') THEN 'ini'
       WHEN regexp_matches(t, '^(?:\\{{.*\\}}|\\[.*\\]|".*"\\s*:\\s*.+)$') THEN 'json' END"""
@@ -128,7 +128,7 @@ def leading_script(spark, sf_dir):
     return derived(spark, sf_dir, MIXED).select("page_id", T.leading_script(F.col("line")).alias("script"))
 
 
-EXCERPTS = "SELECT doc_id, concat('![pic](http://x/y) # ', substring(text, 1, 20), ' [link text](http://x) *', substring(text, 21, 60), '*') AS md FROM {documents}"
+EXCERPTS = "SELECT doc_id, concat('![pic](http://x/y) # ', substring(text, 1, 20), ' [link text](http://x) *', substring(text, 21), '*') AS md FROM {documents}"
 
 
 @query("md_excerpt_title", f"""

@@ -38,9 +38,9 @@ def continuation_merge(spark, sf_dir):
     return P.merge_continued(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), "text"))
 
 
-TAGS = """SELECT o_custkey AS page_id, o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN concat('i', CAST(o_orderkey % 500 AS STRING)) END AS image_id,
-  concat('https://i.example.com/', CAST(o_orderkey % 700 AS STRING), '.jpg', CASE WHEN o_orderkey % 2 = 0 THEN '?w=1' ELSE '' END) AS url FROM {orders}"""
-RESULTS = """SELECT p_partkey % 3 AS rank, concat('i', CAST(p_partkey AS STRING)) AS image_id, concat('https://i.example.com/', CAST(p_partkey AS STRING), '.jpg') AS url, concat('u', CAST(p_partkey AS STRING)) AS uid FROM {part} WHERE p_partkey < 600"""
+TAGS = """SELECT o_custkey AS page_id, o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN concat('i', CAST(o_orderkey % 25000 AS STRING)) END AS image_id,
+  concat('https://i.example.com/', CAST(o_orderkey % 30000 AS STRING), '.jpg', CASE WHEN o_orderkey % 2 = 0 THEN '?w=1' ELSE '' END) AS url FROM {orders}"""
+RESULTS = """SELECT p_partkey % 3 AS rank, concat('i', CAST(p_partkey AS STRING)) AS image_id, concat('https://i.example.com/', CAST(p_partkey AS STRING), '.jpg') AS url, concat('u', CAST(p_partkey AS STRING)) AS uid FROM {part}"""
 
 
 @query("image_result_join", f"""

@@ -171,12 +171,14 @@ def change_significant(spark, sf_dir):
     return rows.where("(length(body) > 50 OR children > 0) AND tag NOT IN ('script', 'style', 'iframe')").select("event_id")
 
 
-@query("image_cap", f"SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ITEM_ORDER}) <= 3 AS kept FROM lineitem")
+@query("image_cap", f"""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ITEM_ORDER})
+      <= CASE l_orderkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 200 ELSE 2 END AS kept FROM lineitem""")
 def image_cap(spark, sf_dir):
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER.split(", ")))
-    return _items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", (n <= 3).alias("kept"))
+    asked = F.expr("CASE l_orderkey % 5 WHEN 0 THEN 3.7D WHEN 1 THEN -2D WHEN 2 THEN double('NaN') WHEN 3 THEN 500D ELSE 2D END")
+    return _items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", (n <= S.image_limit(asked)).alias("kept"))
 
 
 @query("select_top_n", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority LIKE '1%' ORDER BY o_orderkey LIMIT 10")

@@ -77,7 +77,10 @@ SELECT page_id, CASE page_id % 7
 #: Messages of failed calls.
 MESSAGES = """
 SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'HTTP 401' WHEN 1 THEN 'Rate limit reached' WHEN 2 THEN 'Network down'
-  WHEN 3 THEN 'request TIMEOUT' WHEN 4 THEN 'Text too long' WHEN 5 THEN '字数超限' WHEN 6 THEN 'invalid key' ELSE event_type END AS message FROM {events}"""
+  WHEN 3 THEN 'request TIMEOUT' WHEN 4 THEN 'Text too long' WHEN 5 THEN '字数超限' WHEN 6 THEN 'invalid key' ELSE event_type END AS message,
+  CASE event_id % 13 WHEN 0 THEN 401 WHEN 1 THEN 429 WHEN 2 THEN 0 WHEN 3 THEN 503 WHEN 4 THEN 403 WHEN 5 THEN 413 WHEN 6 THEN 500 END AS status,
+  CASE event_id % 11 WHEN 0 THEN 'Unauthorized' WHEN 1 THEN 'rate_exceeded' WHEN 2 THEN 'SERVICE_DOWN' WHEN 3 THEN 'no_perm' WHEN 4 THEN 'too large' ELSE '' END AS code,
+  event_id % 17 = 0 AS aborted FROM {events}"""
 
 
 @query("strip_html", f"""
@@ -134,9 +137,9 @@ def title_candidate_clean(spark, sf_dir):
     return derived(spark, sf_dir, MIXED).select("page_id", T.title_candidate(F.col("line")).alias("candidate"))
 
 
-@query("title_key", r"SELECT doc_id, lower(regexp_replace(substring(text, 1, 200), '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}\s.,;:!?。，；：！？、]', '', 'g')) AS title_key FROM documents")
+@query("title_key", r"SELECT doc_id, lower(regexp_replace(text, '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}\s.,;:!?。，；：！？、]', '', 'g')) AS title_key FROM documents")
 def title_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.title_key(F.substring("text", 1, 200)).alias("title_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.title_key(F.col("text")).alias("title_key"))
 
 
 SITE_TITLES = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN '(3+) Some words / X' WHEN 1 THEN 'Somebody on Twitter' WHEN 2 THEN '"Quoted" / Twitter'
@@ -177,11 +180,15 @@ def log_redact(spark, sf_dir):
 
 
 @query("error_code", f"""
-    SELECT event_id, CASE WHEN regexp_matches(lower(message), '401|unauthorized|invalid key') THEN 'UNAUTHORIZED'
-      WHEN regexp_matches(lower(message), '429|rate|limit') THEN 'RATE_LIMIT' WHEN regexp_matches(lower(message), 'network|fetch|timeout') THEN 'NETWORK'
-      WHEN regexp_matches(lower(message), 'too long|字数|超') THEN 'CONTENT_TOO_LONG' ELSE 'UNKNOWN' END AS code FROM ({same(MESSAGES)})""")
+    WITH m AS (SELECT event_id, CASE WHEN aborted THEN concat('ABORTED ', message) ELSE message END AS message, status, upper(code) AS code FROM ({same(MESSAGES)}))
+    SELECT event_id, CASE WHEN status = 401 OR contains(code, 'UNAUTHORIZED') THEN 'UNAUTHORIZED' WHEN status = 429 OR contains(code, 'RATE') THEN 'RATE_LIMIT'
+      WHEN status IS NOT NULL AND contains(message, 'ABORTED') THEN 'CANCELLED' WHEN status = 0 AND contains(message, 'TIMEOUT') THEN 'AMBIGUOUS_CREATE'
+      WHEN status = 503 OR contains(code, 'SERVICE') THEN 'SERVICE_UNAVAILABLE' WHEN status = 403 OR contains(code, 'PERM') THEN 'PERMISSION_DENIED' WHEN status = 413 OR contains(code, 'TOO LARGE') THEN 'CONTENT_TOO_LONG'
+      WHEN regexp_matches(lower(message), '401|unauthorized|invalid key') THEN 'UNAUTHORIZED' WHEN regexp_matches(lower(message), '429|rate|limit') THEN 'RATE_LIMIT'
+      WHEN regexp_matches(lower(message), 'network|fetch|timeout') THEN 'NETWORK' WHEN regexp_matches(lower(message), 'too long|字数|超') THEN 'CONTENT_TOO_LONG' ELSE 'UNKNOWN' END AS code FROM m""")
 def error_code(spark, sf_dir):
-    return derived(spark, sf_dir, MESSAGES).select("event_id", T.error_code(F.col("message")).alias("code"))
+    rows = derived(spark, sf_dir, MESSAGES).withColumn("message", F.when(F.col("aborted"), F.concat(F.lit("ABORTED "), "message")).otherwise(F.col("message")))
+    return rows.select("event_id", T.error_code(F.col("message"), F.col("status"), F.col("code")).alias("code"))
 
 
 @query("clean_invisible", rf"SELECT page_id, regexp_replace(line, '[\x{{200b}}\x{{200c}}\x{{200d}}\x{{2060}}\x{{feff}}]', '', 'g') AS line FROM (SELECT page_id, concat('a', CASE page_id % 3 WHEN 0 THEN chr(8203) WHEN 1 THEN chr(8288) ELSE '-' END, 'b', CAST(page_id AS VARCHAR)) AS line FROM pages)")
