@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quillmill.llm._util import apart, cut
 from quillmill.llm.components import components
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A-Z to a-z.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fingerprints of a bucket that are compared each with each at most.
 BUCKET = 64
 #: Shingles whose bits are unpacked at a time (64 bytes each).
@@ -23,7 +24,7 @@ SHINGLES_AT_ONCE = 1 << 18
 
 def shingle_hashes(text: str | None, words: int) -> list[int]:
     """XXH64 (seed 42) of each run of ``words`` words, of the whole sequence if there are fewer, of nothing if none."""
-    parts = (text or "").encode().translate(_LOWER).split()  # bytes split at 0x20 and 0x09 to 0x0D
+    parts = (text or "").encode().translate(LOWER).split()  # bytes split at 0x20 and 0x09 to 0x0D
     if not parts:
         return []
     line = b" ".join(parts)
