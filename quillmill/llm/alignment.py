@@ -5,7 +5,7 @@ whose end no other token passes points to itself. ``succ = succ[succ]``, over al
 pointer until nothing changes; then each token holds the terminal token of its component, which names its group. Groups end
 where a token of both ends.
 
-A text is cut into units before the space of a word, where both tokenizers surely start a token, so a unit's tokens, groups
+A text is cut into units before the space or line end at a word, where both tokenizers surely start a token, so a unit's tokens, groups
 and links are the same wherever it stands. What a worker learned of a unit is kept for the next texts, up to ``KNOWN`` units.
 
 Corpus-wide counts of linked ids work by blocks of documents: a block lists each id pair once, so no pair has more rows than
@@ -15,8 +15,9 @@ there are blocks and pairs of very frequent words are no hot keys; what comes ba
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,10 +33,10 @@ from quillmill.llm.tokens import WHITE_SPACE, byte_alphabet
 MARK = "▁"
 #: Text of a block in characters; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 21
-#: Units that a worker remembers before it starts anew.
-KNOWN = 200_000
-#: Longer units are aligned each time they occur.
-KEPT_CHARS = 256
+#: Units, and characters of them, that a worker remembers before it starts anew.
+KNOWN, KNOWN_CHARS = 400_000, 1 << 24
+#: Longer units are encoded each apart.
+SHORT_CHARS = 256
 #: Characters of new units that are encoded in one call.
 CALL_CHARS = 1 << 16
 #: Groups with more links than this are reduced to different ids before pairs are listed.
@@ -68,31 +69,8 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         succ = further
 
 
-class Unit:
-    """The tokens of one unit: counts, groups as text, linked id pairs with how often each is linked."""
-
-    __slots__ = ("groups", "n_a", "n_b", "n_groups", "pairs", "same", "times")
-
-    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, same: bool = True) -> None:
-        self.same, self.n_a, self.n_b = same, len(ids_a), len(ids_b)
-        last = terminals(ends_a, ends_b)
-        cut_a, cut_b = np.flatnonzero(np.diff(last[: self.n_a])) + 1, np.flatnonzero(np.diff(last[self.n_a :])) + 1
-        of_a, of_b = np.split(ids_a, cut_a), np.split(ids_b, cut_b)
-        self.n_groups = len(of_a) if self.n_a else 0
-        self.groups = ";".join(",".join(map(str, a.tolist())) + "|" + ",".join(map(str, b.tolist())) for a, b in zip(of_a, of_b, strict=True))
-        codes, times = [], []
-        for a, b in zip(of_a, of_b, strict=True):
-            many_a, many_b = np.ones(len(a), dtype=np.int64), np.ones(len(b), dtype=np.int64)
-            if len(a) * len(b) > WIDE:
-                (a, many_a), (b, many_b) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-            codes.append(((a * PAIR)[:, None] + b[None, :]).ravel())
-            times.append((many_a[:, None] * many_b[None, :]).ravel())
-        self.pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
-        self.times = np.bincount(at, weights=np.concatenate(times)).astype(np.int64)
-
-
 class Aligner:
-    """Tokenizes texts with both tokenizers and aligns them unit by unit."""
+    """Tokenizes units with both tokenizers and aligns them; keeps what it learned of each unit in flat arrays."""
 
     def __init__(self, byte_level: str, pieces: str) -> None:
         import sentencepiece
@@ -106,78 +84,134 @@ class Aligner:
         self.bytes_a = [b""] * (max(names.values()) + 1)
         for token, i in names.items():
             self.bytes_a[i] = spell(token)
+        self.ranked = _ranked(byte_level, spell)
         self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.bytes_b = []
         for i in range(self.second.vocab_size()):
             piece = self.second.id_to_piece(i)
-            if re.search(f"[^{MARK}]{MARK}", piece):
-                raise ValueError("pieces go on after a word's end, so texts can't be cut there")
+            if re.search(f"[^{MARK}]{MARK}|\n", piece):
+                raise ValueError("pieces go on after a word's or a line's end, so texts can't be cut there")
             self.bytes_b.append(bytes((int(piece[3:5], 16),)) if self.second.is_byte(i) else piece.replace(MARK, " ").encode())
         self.size_a = np.array([len(t) for t in self.bytes_a])
         self.size_b = np.array([len(t) for t in self.bytes_b])
-        self.known: dict[str, Unit] = {}
-
-    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Both id lists of ``text``, which starts with a space, and whether the tokens of both spell it."""
-        a = self.first.encode(text, add_special_tokens=False).ids
-        b = self.second.encode(text[1:])
-        data = text.encode()
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b))
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), same
-
-    def alone(self, unit: str) -> Unit:
-        a, b, same = self.encoded(unit)
-        if not same:
-            a = b = np.zeros(0, dtype=np.int64)
-        return Unit(a, b, np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), same) if same else _unlike()
-
-    def learn(self, units: list[str]) -> dict[str, Unit]:
-        """The units, which may stand one after another in any order without changing each other's tokens."""
-        text = "".join(units)
-        a, b, same = self.encoded(text)
-        if not same:
-            return {u: self.alone(u) for u in units}
-        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        stops = np.cumsum([len(u.encode()) for u in units])
-        to_a, to_b = np.searchsorted(ends_a, stops, side="right"), np.searchsorted(ends_b, stops, side="right")
-        found, at, a0, b0 = {}, 0, 0, 0
-        for u, stop, a1, b1 in zip(units, stops.tolist(), to_a.tolist(), to_b.tolist(), strict=True):
-            found[u] = Unit(a[a0:a1], b[b0:b1], ends_a[a0:a1] - at, ends_b[b0:b1] - at)
-            at, a0, b0 = stop, a1, b1
-        return found
-
-    def units(self, texts: list[list[str]]) -> dict[str, Unit]:
-        """What is known of every unit of ``texts`` afterwards."""
-        if len(self.known) > KNOWN:
-            self.known = {}
-        new, size = [], 0
-        passing: dict[str, Unit] = {}
-        for unit in {u for units in texts for u in units}:
-            if unit in self.known:
-                continue
-            if MARK in unit or len(unit) > KEPT_CHARS or unit[1:2] in _BLANK or unit[-1] in _BLANK:
-                (passing if len(unit) > KEPT_CHARS else self.known)[unit] = self.alone(unit)
+        # an id as text, with what follows it inside a group and at the end of its part
+        self.said_a = np.array([[f"{i},", f"{i}|"] for i in range(len(self.bytes_a))], dtype=object)
+        self.said_b = np.array([[f"{i},", f"{i};"] for i in range(len(self.bytes_b))], dtype=object)
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.chars = 0
+        self.facts = np.zeros((0, 4), dtype=np.int64)  # n_a, n_b, n_groups, n_links of each unit
+        self.same = np.zeros(0, dtype=bool)
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.pairs = self.times = np.zeros(0, dtype=np.int64)  # of each unit in turn
+
+    def encoded(self, units: list[str], short: bool) -> tuple[np.ndarray, np.ndarray, list[int], list[int], list[bool]]:
+        """Both id lists of the units one after another; tokens of each unit; whether the tokens of both spell it.
+
+        Encoded is `` a`` and the units: the word before lets any unit start as it does inside a text.
+        """
+        text = " a" + "".join(units)
+        encode = self.ranked if short and self.ranked else lambda t: self.first.encode(t, add_special_tokens=False).ids
+        a, b, data = encode(text), self.second.encode(text[1:]), text.encode()
+        if not b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b)):
+            if len(units) == 1:
+                return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [0], [0], [False]
+            each = [self.encoded([u], short) for u in units]
+            return np.concatenate([e[0] for e in each]), np.concatenate([e[1] for e in each]), *([x for e in each for x in e[k]] for k in (2, 3, 4))
+        stops = np.cumsum([2, *(len(u.encode()) for u in units)])
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        to_a, to_b = (np.searchsorted(np.cumsum(size[ids]), stops, side="right") for ids, size in ((a, self.size_a), (b, self.size_b)))
+        return a[to_a[0] :], b[to_b[0] :], np.diff(to_a).tolist(), np.diff(to_b).tolist(), [True] * len(units)
+
+    def calls(self, units: list[str]) -> Iterator[tuple[list[str], bool]]:
+        """The units in portions to encode at once; those that aren't plain words, each apart."""
+        portion, size = [], 0
+        for unit in units:
+            if MARK in unit or len(unit) > SHORT_CHARS or unit[1:2] in _BLANK or unit[-1] in _BLANK:
+                yield [unit], False
                 continue
-            new.append(unit)
+            portion.append(unit)
             size += len(unit)
             if size > CALL_CHARS:
-                self.known |= self.learn(new)
-                new, size = [], 0
-        if new:
-            self.known |= self.learn(new)
-        return self.known | passing if passing else self.known
+                yield portion, True
+                portion, size = [], 0
+        if portion:
+            yield portion, True
+
+    def learn(self, units: list[str]) -> None:
+        """Aligns units that aren't known yet, all tokens of all of them at once."""
+        done = [(portion, *self.encoded(portion, short)) for portion, short in self.calls(units)]
+        units = [u for portion, *_ in done for u in portion]
+        a, b = (np.concatenate([d[k] for d in done]) for k in (1, 2))
+        n_a, n_b, same = (np.array([x for d in done for x in d[k]]) for k in (3, 4, 5))
+        last = terminals(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+        ends = [np.append(np.diff(x) != 0, True)[: len(x)] for x in (last[: len(a)], last[len(a) :])]
+        group_a, group_b = (np.cumsum(x) - x for x in ends)
+        many_a, many_b = np.bincount(group_a), np.bincount(group_b)
+        first_a, first_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
+        of = np.repeat(np.arange(len(units)), n_a)[first_a]  # the unit of each group
+        links = many_a * many_b
+        per = lambda x: np.bincount(of, weights=x, minlength=len(units)).astype(np.int64)
+        said = np.empty(len(a) + len(b), dtype=object)
+        said[np.arange(len(a)) + first_b[group_a]] = self.said_a[a, ends[0].astype(int)]
+        said[np.arange(len(b)) + first_a[group_b] + many_a[group_b]] = self.said_b[b, ends[1].astype(int)]
+        said, until = said.tolist(), np.cumsum(n_a + n_b).tolist()
+        # the pairs of a group: each of its first ids with all of its second ids; wide groups by different ids
+        wide = links > WIDE
+        going = np.flatnonzero(~wide[group_a])
+        n = many_b[group_a[going]]
+        partner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_b[group_a[going]], n)
+        found = [(np.repeat(of[group_a[going]], n), np.repeat(a[going], n) * PAIR + b[partner], np.ones(len(partner), dtype=np.int64))]
+        for g in np.flatnonzero(wide).tolist():
+            ids, times = zip(*(np.unique(x[s : s + k], return_counts=True) for x, s, k in ((a, first_a[g], many_a[g]), (b, first_b[g], many_b[g]))), strict=True)
+            codes = (ids[0][:, None] * PAIR + ids[1][None, :]).ravel()
+            found.append((np.full(len(codes), of[g]), codes, (times[0][:, None] * times[1][None, :]).ravel()))
+        unit, codes, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(found) > 1:
+            order = np.argsort(unit, kind="stable")
+            unit, codes, times = unit[order], codes[order], times[order]
+        for u, start, end in zip(units, [0, *until[:-1]], until, strict=True):
+            self.places[u] = len(self.groups)
+            self.groups.append("".join(said[start:end])[:-1])
+            self.chars += len(u)
+        self.facts = np.concatenate([self.facts, np.stack([n_a, n_b, per(np.ones(len(of))), per(links)], axis=1)])
+        self.same = np.concatenate([self.same, same])
+        self.sizes = np.concatenate([self.sizes, np.bincount(unit, minlength=len(units))])
+        self.pairs, self.times = np.concatenate([self.pairs, codes]), np.concatenate([self.times, times])
+
+    def find(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The places of each text's units, which are all known afterwards."""
+        if len(self.groups) > KNOWN or self.chars > KNOWN_CHARS:
+            self.forget()
+        if new := [u for u in dict.fromkeys(u for units in texts for u in units) if u not in self.places]:
+            self.learn(new)
+        return [np.fromiter(map(self.places.__getitem__, units), dtype=np.int64, count=len(units)) for units in texts]
 
 
 #: Also the end of a text: a unit of a lone space.
 _BLANK = {"", " ", *WHITE_SPACE}
+#: What units start with, between something else than a space and something not blank.
+_CUT = re.compile(f"(?<=[^ ])(?= [^{''.join(WHITE_SPACE)} ])|(?<=[^{''.join(WHITE_SPACE)} ])(?=\n[^{''.join(WHITE_SPACE)} ])")
 
 
-@cache
-def _unlike() -> Unit:
-    unit = object.__new__(Unit)
-    unit.same, unit.n_a, unit.n_b, unit.n_groups, unit.groups = False, 0, 0, 0, ""
-    unit.pairs = unit.times = np.zeros(0, dtype=np.int64)
-    return unit
+def _ranked(path: str, spell: Callable[[str], bytes]) -> Callable[[str], list[int]] | None:
+    """The same encoding by ranks, which is faster on words, if the file's ids are in the order of its merges and it splits as usual."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {spell(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    pre = spec["pre_tokenizer"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    made = [ranks[spell("".join(m))] for m in merges]
+    if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or made != sorted(set(made)) or len(ranks) != len(made) + 256:
+        return None
+    split = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("ranked", pat_str=split, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @cache
@@ -186,57 +220,44 @@ def aligner(byte_level: str, pieces: str) -> Aligner:
 
 
 def units_of(text: str) -> list[str]:
-    """``" " + text`` cut before each space that stands between something else than a space and something not blank."""
-    parts = text.split(" ")
-    out = [" " + parts[0]]
-    for part in parts[1:]:
-        if part[:1] in _BLANK or out[-1][-1] == " ":
-            out[-1] += " " + part
-        else:
-            out.append(" " + part)
-    return out
-
-
-def _block(number: int, ids: list, texts: list[str], both: Aligner, whole: bool) -> dict:
-    split = [units_of(t) if t else [] for t in texts]
-    known = both.units(split)
-    places: dict[str, int] = {}
-    kept = [[places.setdefault(u, len(places)) for u in units] if all(known[u].same for u in units) else [] for units in split]
-    facts = [known[u] for u in places]
-    n_a, n_b, n_groups = (np.array([getattr(f, name) for f in facts] or [0], dtype=np.int64) for name in ("n_a", "n_b", "n_groups"))
-    n_links = np.array([int(f.times.sum()) for f in facts] or [0], dtype=np.int64)
-    sizes = np.array([len(f.pairs) for f in facts] or [0], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    pairs = np.concatenate([f.pairs for f in facts]) if facts else np.zeros(0, dtype=np.int64)
-    times = np.concatenate([f.times for f in facts]) if facts else np.zeros(0, dtype=np.int64)
-    pairs, local = np.unique(pairs, return_inverse=True)
-    total = len(pairs)
-    out_pair, out_times, until, sums, strings = [], [], [], [], []
-    at = 0
-    for places_of in kept:
-        of = np.array(places_of, dtype=np.int64)
-        sums.append([int(x[of].sum()) for x in (n_a, n_b, n_groups, n_links)])
-        groups = ";".join([facts[i].groups for i in places_of])
-        strings.append(groups if whole or not places_of else hashlib.sha256(groups.encode()).hexdigest())
-        unit, many = np.unique(of, return_counts=True)
-        n = sizes[unit]
-        spots = np.arange(int(n.sum())) + np.repeat(starts[unit] - (np.cumsum(n) - n), n)
-        pair, where = np.unique(local[spots], return_inverse=True)
-        out_pair.append(pair)
-        out_times.append(np.bincount(where, weights=times[spots] * np.repeat(many, n), minlength=len(pair)).astype(np.int64))
-        at += len(pair)
-        until.append(at)
-    linked = np.concatenate(out_pair) if out_pair else np.zeros(0, dtype=np.int64)
-    docs = np.bincount(linked, minlength=total)
+    """`` `` and the text, cut before the spaces and line ends that start a word: both tokenizers start a token there."""
+    return _CUT.split(" " + text)
+
+
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (n[0] of them), starts[1], ..."""
+    return np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
+
+
+def _block(number: int, ids: list, texts: list[str | None], both: Aligner, whole: bool) -> dict:
+    found = both.find([units_of(t) if t else [] for t in texts])
+    found = [of if both.same[of].all() else of[:0] for of in found]
+    groups = [";".join(map(both.groups.__getitem__, of.tolist())) for of in found]
+    if not whole:
+        groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+    n = np.array([len(of) for of in found])
+    doc, unit = np.repeat(np.arange(len(n)), n), np.concatenate(found)
+    sums = np.zeros((len(n), 4), dtype=np.int64)
+    np.add.at(sums, doc, both.facts[unit])
+    # different units of each document, then their pairs
+    used, unit = np.unique(unit, return_inverse=True)
+    sizes = both.sizes[used]
+    spots = _spread((np.cumsum(both.sizes) - both.sizes)[used], sizes)
+    codes, local = np.unique(both.pairs[spots], return_inverse=True)
+    starts, each = np.cumsum(sizes) - sizes, both.times[spots]
+    key, many = np.unique(doc * max(1, len(used)) + unit, return_counts=True)
+    doc, unit = np.divmod(key, max(1, len(used)))
+    at = _spread(starts[unit], sizes[unit])
+    key, where = np.unique(np.repeat(doc, sizes[unit]) * max(1, len(codes)) + local[at], return_inverse=True)
+    times = np.bincount(where, weights=each[at] * np.repeat(many, sizes[unit]), minlength=len(key)).astype(np.int64)
+    doc, pair = np.divmod(key, max(1, len(codes)))
+    docs = np.bincount(pair, minlength=len(codes))
     order = np.argsort(-docs, kind="stable")  # frequent pairs have small numbers, which are stored in few bits
-    rank = np.empty(total, dtype=np.int64)
-    rank[order] = np.arange(total)
-    column = lambda x: np.asarray(x, dtype=np.int64)
-    sums = column(sums).reshape(-1, 4)
-    values = {"a": pairs[order] // PAIR, "b": pairs[order] % PAIR, "docs": docs[order], "doc_id": ids}
+    rank = np.empty(len(codes), dtype=np.int64)
+    rank[order] = np.arange(len(codes))
+    values = {"block": number, "a": codes[order] // PAIR, "b": codes[order] % PAIR, "docs": docs[order], "doc_id": ids, "groups": groups}
     values |= {name: sums[:, i] for i, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
-    values |= {"groups": strings, "until": column(until), "pair": rank[linked], "times": np.concatenate(out_times) if out_times else column([])}
-    return {"block": number} | values
+    return values | {"until": np.cumsum(np.bincount(doc, minlength=len(n))), "pair": rank[pair], "times": times}
 
 
 _LONGS = pa.list_(pa.int64())

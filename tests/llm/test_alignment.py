@@ -117,8 +117,16 @@ def test_awkward_rows(spark):
 
 
 def test_wide_groups(monkeypatch):
-    text = "0123456789abcdef" * 300 + "漢字" * 200
-    wide = [module._block(0, [1], [text], Aligner(A, B), whole=False) for module.WIDE in (1, 1 << 40)]
-    monkeypatch.setattr(module, "WIDE", 4096)
-    for name in ("n_links", "docs", "pair", "times", "a", "b"):
-        assert np.array_equal(wide[0][name], wide[1][name])
+    text = "0123456789abcdef" * 300 + "漢字" * 200 + "\nlast words"
+    made = []
+    for most in (1, 1 << 40):
+        monkeypatch.setattr(module, "WIDE", most)
+        made.append(module._block(0, [1], [text], Aligner(A, B), whole=False))
+    assert all(np.array_equal(made[0][name], made[1][name]) for name in made[0])
+
+
+def test_units_can_be_forgotten(monkeypatch):
+    both = Aligner(A, B)
+    for most in (module.KNOWN, 1):
+        monkeypatch.setattr(module, "KNOWN", most)
+        assert [module._block(0, [1], ["some words here\nand there"], both, whole=True)["groups"] for _ in range(3)] == [[spelled(plain("some words here\nand there")[2])]] * 3
