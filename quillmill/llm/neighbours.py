@@ -152,6 +152,8 @@ def _met(q: np.ndarray, least: np.ndarray, c: np.ndarray, rest: np.ndarray, want
     spot = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
     there = cells[spot] == wanted
     spot, query = spot[there], query[there]
+    if not len(spot):
+        return
     order = np.argsort(spot, kind="stable")
     spot, query = spot[order], query[order]
     bound = least - _slack(q, c)

@@ -137,3 +137,10 @@ def test_scored_share_falls_as_rows_grow():
         print(n, round(recall, 3), round(found.mean(), 3))
         assert recall >= 0.9
     assert shares[0] > 1.3 * shares[1] > 1.3**2 * shares[2]
+
+
+def test_no_cell_is_met():
+    from quillmill.llm.neighbours import _met
+
+    q, c = np.ones((2, 3)), np.ones((4, 3))
+    assert list(_met(q, np.zeros(2), c, np.array([1, 1, 5, 5]), np.array([2, 3, 7]), np.array([0, 2, 3]))) == []
