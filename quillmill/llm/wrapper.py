@@ -404,7 +404,9 @@ class Model:
         here = counts.get(0)
         if here is None:
             return
-        leaves = [n for n in nodes if n.tag == "#" and n.number in counts]
+        # what an article repeats (headings of its sections, notes of a column) is the article's own
+        inside = {k.number for n in nodes if n.main for k in walk(n)}
+        leaves = [n for n in nodes if n.tag == "#" and n.number in counts and n.number not in inside]
         if here.apart >= VOTES:
             self.template = {n.number for n in leaves if (c := counts[n.number]).apart_same >= max(VOTES, SHARE * here.apart)}
         else:
@@ -412,8 +414,7 @@ class Model:
             most = {n.number: counts[n.number].apart_same + counts[n.number].near_same for n in leaves}
             if pages < VOTES + 1 or all(counts[n.number].like >= VARIES * pages for n in leaves):
                 return
-            inside = {k.number for n in nodes if n.main for k in walk(n)}
-            self.template = {n for n, m in most.items() if m >= CONSTANT * pages and n not in inside}
+            self.template = {n for n, m in most.items() if m >= CONSTANT * pages}
         # varying text of each part: what the pages have there, without what they repeat
         mass = {n.number: counts[n.number].plain for n in nodes if n.number in counts and n.tag != "#"}
         fixed: dict[int, int] = {}

@@ -203,3 +203,19 @@ def test_deep_and_long_pages(spark):
     got = {r["page_id"]: r["text"] for r in extract(df).collect()}
     assert time.time() - began < 120
     assert got[0] == "one two" and got[1] == "three four" and len(got) == 6
+
+
+def test_headings_that_every_article_repeats_stay(spark):
+    """Induction never loses a block of a marked article that marks alone keep."""
+    words = random.Random(3)
+    pages = []
+    for i in range(12):
+        part = lambda: " ".join(words.choice("flour butter sugar bake stir rest serve pour chop grind".split()) for _ in range(30))
+        body = f"<article><h1>Cake {i}</h1><h2>Ingredients</h2><p>{part()}</p><h2>Method</h2><p>{part()}</p><p>As seen in our column.</p></article>"
+        pages.append((i, f"https://cakes.example.com/{i}", f"<html><body><div>All cakes</div>{body}<div>Imprint and terms</div></body></html>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in extract(df).collect()}
+    plain = {r["page_id"]: r["text"].split("\n") for r in extract(df, induce=False).collect()}
+    for i in range(12):
+        assert {"Ingredients", "Method", "As seen in our column."} <= set(got[i])
+        assert [b for b in plain[i] if b not in ("All cakes", "Imprint and terms")] == got[i]
