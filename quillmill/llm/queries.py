@@ -83,6 +83,34 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, tables=16, recall=0.95)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.editprints import against_next
+
+    out = against_next(read(spark, sf_dir, "documents"))
+    words = lambda c: F.lower(F.hex(c))
+    return out.select("doc_id", "n_chars", words("edited").alias("edited_sha256"), words("print").alias("fingerprint"), words("edited_print").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.runs import collapse_runs, with_tails
+
+    out = collapse_runs(with_tails(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    runs = F.array_sort(F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    return out.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat("lines", F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,6 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_neighbours": op10_neighbours,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_runs": op12_runs,
     "op13_alignment": op13_alignment,
 }
 
