@@ -73,12 +73,15 @@ def _events(spark, sf_dir):
     return events.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
 
 
-@query("min_interval_slots", """
-    WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS ms FROM events), i AS (SELECT *, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ms, event_id) AS i FROM e)
-    SELECT event_id, max(ms - i * 110000) OVER (PARTITION BY user_id % 20 ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) + i * 110000 AS start FROM i""")
+SLOT = 25_000
+
+
+@query("min_interval_slots", f"""
+    WITH e AS (SELECT event_id, (epoch_us(ts) // 1000) AS ms FROM events), i AS (SELECT *, row_number() OVER (ORDER BY ms, event_id) AS i FROM e)
+    SELECT event_id, max(ms - i * {SLOT}) OVER (ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) + i * {SLOT} AS start FROM i""")
 def min_interval_slots(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("event_id", (F.col("user_id") % 20).alias("worker"), "ms")
-    return S.slots(rows, "worker", ["ms", "event_id"], "ms", 110_000).select("event_id", "start")
+    rows = _events(spark, sf_dir).select("event_id", "ms")
+    return S.slots(rows, ["ms", "event_id"], "ms", SLOT, block=3_600_000).select("event_id", "start")
 
 
 ATTEMPTS = """
@@ -94,13 +97,12 @@ def retry_outcome(spark, sf_dir):
 
 
 @query("leading_throttle", """
-    WITH RECURSIVE e AS (SELECT user_id % 200 AS page, (epoch_us(ts) // 1000) AS ms, event_id, row_number() OVER (PARTITION BY user_id % 200 ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events),
-    w AS (SELECT page, i, ms AS opened, true AS new FROM e WHERE i = 1 UNION ALL
-      SELECT e.page, e.i, CASE WHEN e.ms > w.opened + 36000000 THEN e.ms ELSE w.opened END, e.ms > w.opened + 36000000 FROM w JOIN e ON e.page = w.page AND e.i = w.i + 1)
-    SELECT page, opened, opened + 36000000 AS fires, count_if(NOT new) AS absorbed FROM w GROUP BY page, opened""")
+    WITH RECURSIVE e AS (SELECT user_id, (epoch_us(ts) // 1000) AS ms, event_id, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events),
+    w AS (SELECT user_id, i, ms AS opened, true AS new FROM e WHERE i = 1 UNION ALL
+      SELECT e.user_id, e.i, CASE WHEN e.ms > w.opened + 36000000 THEN e.ms ELSE w.opened END, e.ms > w.opened + 36000000 FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+    SELECT user_id, opened, opened + 36000000 AS fires, count_if(NOT new) AS absorbed FROM w GROUP BY user_id, opened""")
 def leading_throttle(spark, sf_dir):
-    rows = _events(spark, sf_dir).select((F.col("user_id") % 200).alias("page"), "ms", "event_id")
-    return S.throttle(rows, "page", "ms", "event_id", 36_000_000)
+    return S.throttle(_events(spark, sf_dir).select("user_id", "ms", "event_id"), "user_id", "ms", "event_id", 36_000_000)
 
 
 DAY = 24 * 3600 * 1000
@@ -155,12 +157,12 @@ def save_outcome(spark, sf_dir):
 
 
 @query("export_summary", """
-    SELECT user_id % 100 AS batch, count_if(event_type <> 'error') AS exported, count_if(event_type = 'error') AS failed,
-      coalesce(string_agg(CASE WHEN event_type = 'error' THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id), '') AS failed_titles FROM events GROUP BY user_id % 100""")
+    SELECT user_id AS batch, count_if(event_type <> 'error') AS exported, count_if(event_type = 'error') AS failed,
+      coalesce(string_agg(CASE WHEN event_type = 'error' THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id), '') AS failed_titles FROM events GROUP BY user_id""")
 def export_summary(spark, sf_dir):
     bad = F.col("event_type") == "error"
     titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(bad, F.col("event_id")))), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 100).alias("batch")).agg(F.count_if(~bad).alias("exported"), F.count_if(bad).alias("failed"), titles.alias("failed_titles"))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("batch")).agg(F.count_if(~bad).alias("exported"), F.count_if(bad).alias("failed"), titles.alias("failed_titles"))
 
 
 @query("change_significant", """
