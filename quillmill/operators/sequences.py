@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.sources.shared import shared_folder
+
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in order."""
@@ -76,6 +78,7 @@ def reached(rows: DataFrame, key: str, at: str, to: str) -> DataFrame:
     if long.isEmpty():
         blocks = blocks.withColumn("_entry", F.lit(1))
     else:
+        shared_folder(rows.sparkSession, "reached")  # checkpoints go there
         exits = blocks.join(long, key, "left_semi").select(key, "_first", F.posexplode(_exits("_first", "_to")).alias("_i", "_then"))
         jumps = exits.where("_then > 0").select(key, (F.col("_first") + F.col("_i")).alias("_at"), "_then").checkpoint()
         entries = long.select(key, F.lit(1).alias("_at")).checkpoint()

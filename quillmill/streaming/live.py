@@ -1,16 +1,12 @@
-"""Streams of highlights, tasks and pages."""
+"""Streams of highlights, messages and pages."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: For how long a note takes further highlights, and a task is remembered.
-NOTE_HOURS, TASK_MINUTES = 24, 30
+#: For how long a note takes further highlights.
+NOTE_HOURS = 24
 
 
 def highlight_sessions(highlights: DataFrame, key: str, hours: int = NOTE_HOURS, stream: bool = True) -> DataFrame:
@@ -26,44 +22,6 @@ def highlight_sessions(highlights: DataFrame, key: str, hours: int = NOTE_HOURS,
     return out.drop("w")
 
 
-STATE = "task long, status string, done int, total int, updated long"
-OUT = "tab long, task long, status string, done int, total int"
-
-
-def task_states(messages: DataFrame) -> DataFrame:
-    """The state of each tab's task as messages (tab, task, at in ms, seq, kind, done, total) come in, one row for each batch of a tab.
-
-    init starts a task and ends the one before; progress and end count only for the current task; a task that hears
-    nothing for half an hour is forgotten. kind is init, progress, success, failed or cancelled.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.get if state.exists else None
-        changed = False
-        for rows in batches:
-            for m in rows.sort_values(["at", "seq"]).itertuples():
-                if now and m.at - now[4] > TASK_MINUTES * 60_000:
-                    now = None
-                if m.kind == "init":
-                    now = (int(m.task), "running", 0, int(m.total), int(m.at))
-                elif now and now[0] == m.task:
-                    status = now[1] if m.kind == "progress" else m.kind
-                    now = (now[0], status, max(now[2], int(m.done)), now[3], int(m.at))
-                else:
-                    continue
-                changed = True
-        if now:
-            state.update(now)
-            state.setTimeoutDuration(TASK_MINUTES * 60_000)
-        if changed and now:
-            yield pd.DataFrame([(key[0], *now[:4])], columns=["tab", "task", "status", "done", "total"])
-
-    return messages.groupBy("tab").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def fresh_messages(messages: DataFrame, hours: int = 1) -> DataFrame:
     """Each message once: repeats of an id within the watermark are dropped."""
     return messages.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["event_id"])

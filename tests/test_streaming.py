@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import random
+import time
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from quillmill.operators.sequences import throttle
+from quillmill.operators.tasks import lifecycle
 from quillmill.sources.parts import event_stream
 from quillmill.streaming import live as L
+from quillmill.streaming import ordered as O
 
 
 def test_sessions_stream_equals_batch(spark, tmp_path):
@@ -26,15 +31,46 @@ def test_sessions_stream_equals_batch(spark, tmp_path):
     assert got == expected and len(expected) == 4
 
 
+def replay(spark, tmp_path, name, batches, schema, job):
+    """The rows of a stream that gets each batch as a file of its own, the last one in the far future."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1 if i else 0)  # files are read in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = job(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(300)
+    return sorted(tuple(r) for r in spark.table(name).collect())
+
+
+START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+
+def at(second: int) -> datetime:
+    return START + timedelta(seconds=second)
+
+
 def test_task_states(spark, tmp_path):
-    minute = 60_000
-    rows = [(1, 10, 0, 0, "init", 0, 4), (1, 10, minute, 1, "progress", 2, 4), (1, 11, 2 * minute, 2, "progress", 3, 4), (2, 20, 0, 3, "init", 0, 1), (2, 20, 40 * minute, 4, "success", 1, 1), (3, 30, 0, 5, "init", 0, 2), (3, 30, minute, 6, "success", 2, 2)]
-    schema = "tab long, task long, at long, seq long, kind string, done int, total int"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = L.task_states(stream).writeStream.format("memory").queryName("tasks").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("tasks").collect()} == {(1, 10, "running", 2, 4), (3, 30, "success", 2, 2)}
+    rows = [(1, 10, 0, "init", None, None), (1, 10, 60, "progress", 2, 4), (1, 11, 120, "progress", 3, 4), (2, 20, 0, "init", None, None), (2, 20, 2400, "success", None, None), (3, 30, 0, "init", None, None)]
+    rows += [(3, 30, 50, "success", None, None), (1, 10, 90, "progress", None, 5), (1, 10, 100, "clear", None, None), (1, 10, 110, "progress", 1, 1)]
+    batches = [[(tab, task, at(s), i, kind, done, total, i) for i, (tab, task, s, kind, done, total) in enumerate(rows) if i % 3 == b] for b in (2, 0, 1)] + [[(9, 9, at(10**7), 99, "progress", 0, 0, 99)]]
+    schema = "tab long, task long, ts timestamp, seq long, kind string, done long, total long, message long"
+    got = replay(spark, tmp_path, "states", batches, schema, lambda s: O.task_states(s, 30 * 60_000, "2 days"))
+    expected = [(1, 10, "processing", 0, 0, 0), (1, 10, "processing", 2, 4, 1), (1, 10, "processing", 2, 5, 7), (2, 20, "processing", 0, 0, 3), (3, 30, "processing", 0, 0, 5), (3, 30, "success", 0, 0, 6)]
+    assert got == expected
+
+
+def test_streams_equal_batches_however_they_are_cut(spark, tmp_path):
+    dice = random.Random(8)
+    kinds = ["start", "step", "step", "pause", "resume", "cancel", "done", "fail"]
+    rows = [(dice.randrange(4), dice.randrange(2), at(dice.randrange(4000)), i, dice.choice(kinds)) for i in range(160)]
+    parts = [rows[i::5] for i in range(5)]  # late by up to an hour against each other
+    schema = "tab long, task long, ts timestamp, seq long, kind string"
+    end = [(-1, 0, at(10**7), 999, "step")]
+    table = spark.createDataFrame(rows, schema).withColumn("ms", F.unix_millis("ts"))
+    lives = replay(spark, tmp_path / "a", "lives", [*parts, end], schema, lambda s: O.lifecycle_stream(s, 300_000, "2 hours"))
+    assert lives == sorted(tuple(r) for r in lifecycle(table, 300_000).collect()) and len({r[4] for r in lives}) >= 3 and any(r[6] for r in lives)
+    fired = replay(spark, tmp_path / "b", "fired", [*parts, end], schema, lambda s: O.throttle_stream(s.select("tab", "ts", "seq"), "tab", 90_000, "2 hours"))
+    assert fired == sorted(tuple(r) for r in throttle(table, "tab", "ms", "seq", 90_000).collect())
 
 
 def test_parts_are_written_once(spark, tmp_path):
