@@ -18,7 +18,7 @@ _SECTION = r"(?m)^\[[^\]\n]+\]\s*$"
 RULES: list[tuple[str, list[list[str]]]] = [
     ("diff", [[r"(?im)^diff --git\b"], [r"(?m)^@@\s+[-+]"], [r"(?m)^(?:\+\+\+|---)\s+\S+"]]),
     ("php", [[r"(?i)^<\?php\b"]]),
-    ("docker", [[r"(?im)^(?:from|run|cmd|entrypoint|copy|add|workdir|expose|env|arg|user|label|volume|healthcheck)\b"]]),
+    ("docker", [[r"(?i)\bfrom\s+[^\n]+\n(?:\s*\w+\s+.+\n)*(?:\s*run|cmd|entrypoint|copy|add|workdir|expose|env|arg|user|label|volume|healthcheck)\b"], [r"(?im)^(?:from|run|cmd|entrypoint|copy|add|workdir|expose|env|arg|user|label|volume|healthcheck)\b"]]),
     ("tsx", [[_REACT, r"<\w[\s\S]*>", r": \s*(React\.)?[A-Z]\w+|interface\s+\w+Props|type\s+\w+\s*="]]),
     ("jsx", [[_REACT, r"<\w[\s\S]*>"]]),
     ("vue", [[r"(?i)<template\b[\s\S]*</template>"], [r"(?i)<script\s+setup\b"]]),

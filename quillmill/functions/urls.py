@@ -155,3 +155,29 @@ def card_metadata(text: Column) -> Column:
     """Empty, a bare address or a bare domain."""
     t = trimmed(text)
     return (t == "") | t.rlike(r"(?i)^https?://\S+$") | t.rlike(r"(?i)^(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/\S*)?$")
+
+
+def absolute(href: Column, base: Column) -> Column:
+    """``href`` as a whole address, seen from the page at ``base`` (http or https).
+
+    What names a scheme stays; ``//host`` takes the page's scheme, ``/path`` its host, ``?query`` and ``#part`` its path, and
+    anything else starts in its folder; ``.`` and ``..`` go. Nothing else is changed. An empty one is the page itself.
+    """
+    h = F.regexp_replace(href, r"^\s+|\s+$", "")
+    part = lambda c, p: F.regexp_extract(c, p, 1)
+    origin, path = part(base, r"^(https?://[^/?#]+)"), part(base, r"^https?://[^/?#]+([^?#]*)")
+    path = F.when(path == "", "/").otherwise(path)
+    own, tail = part(h, r"^([^?#]*)"), part(h, r"^[^?#]*(.*)$")
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(part(path, r"^(.*/)"), own))
+    step = lambda done, s: F.when(s == "..", F.regexp_replace(done, "/[^/]*$", "")).when(s == ".", done).otherwise(F.concat(done, F.lit("/"), s))
+    dots = whole.rlike(r"/\.\.?(/|$)")
+    flat = F.concat(F.aggregate(F.split(F.substring(whole, F.lit(2), F.length(whole)), "/"), F.lit(""), step), F.when(whole.rlike(r"/\.\.?$"), "/").otherwise(""))
+    whole = F.when(dots, flat).otherwise(whole)
+    query = part(base, r"^[^?#]*(\?[^#]*)")
+    return (
+        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+        .when(h.startswith("//"), F.concat(part(base, r"^(https?:)"), h))
+        .when((h == "") | h.startswith("#"), F.concat(origin, path, query, h))
+        .when(h.startswith("?"), F.concat(origin, path, h))
+        .otherwise(F.concat(origin, whole, tail))
+    )

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quillmill.functions.scripts import BLANK, pieces, script_parts
 from quillmill.functions.text import hard_end, han_chars, heading_like, language, latin_words
+from quillmill.functions.urls import card_metadata
 
 ORIGINAL, TRANSLATION, SPACER = "original", "translation", "spacer"
 #: Classes of break places, best first; a place is the end of a match. Fixed values.
@@ -22,8 +23,6 @@ REACH, LEAST_REACH, MOST_REACH = 0.12, 6, 28
 MARKER = r"^([→➜•\-–—*]|\d+\s*[-.:：)]|[A-Za-z]\)|[A-Za-z]\.)\s*"
 #: Inline marks in the html of a paragraph that is never cut. Fixed value.
 MARKED = r"(?i)<(a|strong|em|code)\b"
-#: Rows of a card that name only where it leads. Fixed values.
-ADDRESSES = [r"(?i)^https?://\S+$", r"(?i)^(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s]*)?$"]
 
 
 def _edged(c: Column) -> Column:
@@ -120,12 +119,6 @@ def align_runs(rows: DataFrame, by_weight: bool = True) -> DataFrame:
     return kept.unionByName(both.select("doc", "side", "pos", "x.text", "x.html"))
 
 
-def card_address(c: Column) -> Column:
-    """Whether a row of a card is empty or only an address."""
-    t = _edged(c)
-    return (t == "") | t.rlike(ADDRESSES[0]) | t.rlike(ADDRESSES[1])
-
-
 def _group_language(texts: Column) -> Column:
     """The language most segments have, English on a tie; else that of any letters in them."""
     kinds = F.transform(texts, language)
@@ -161,7 +154,7 @@ def pair_cards(rows: DataFrame) -> DataFrame:
     second = F.when(kinds[0] == "english", F.col("parts")[1]).otherwise(F.col("parts")[0])
     made = [F.struct(F.lit(i).alias("seg"), F.lit(role).alias("role"), t.alias("text"), escaped(t).alias("html")) for i, (role, t) in enumerate(((ORIGINAL, first), (TRANSLATION, second)))]
     groups = groups.withColumn("segs", F.when(two, F.array(*made)).otherwise(F.transform("segs", lambda s: F.struct(s["seg"].cast("int").alias("seg"), s["role"].alias("role"), s["text"].alias("text"), s["html"].alias("html")))))
-    groups = groups.withColumn("segs", F.filter("segs", lambda s: (F.coalesce(s["role"], F.lit("normal")) != SPACER) & ~card_address(s["text"]))).where(F.size("segs") > 0)
+    groups = groups.withColumn("segs", F.filter("segs", lambda s: (F.coalesce(s["role"], F.lit("normal")) != SPACER) & ~card_metadata(s["text"]))).where(F.size("segs") > 0)
 
     texts = F.transform("segs", lambda s: s["text"])
     groups = groups.withColumn("kind", _group_language(texts)).withColumn("all", _joined(texts))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import title_key, trimmed
+from quillmill.functions.urls import absolute
 
 #: Tags at which a block begins or ends. Fixed values.
 BLOCK_TAGS = "p div section article main aside header footer figure figcaption tr td th ul ol li blockquote pre h1 h2 h3 h4 h5 h6 hr".split()
@@ -82,8 +83,7 @@ def list_paragraphs(pages: DataFrame) -> DataFrame:
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, ord, url): links of a page, made absolute."""
     found = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?href=\"([^\"]*)\""), F.lit(1))).alias("ord", "href"))
-    origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    return found.select("page_id", "ord", F.when(F.col("href").startswith("/"), F.concat(origin, F.col("href"))).otherwise(F.col("href")).alias("url"))
+    return found.select("page_id", "ord", absolute(F.col("href"), F.col("url")).alias("url"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -111,3 +111,109 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_new", new.cast("int")).withColumn("block", F.sum("_new").over(order))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     return rows.groupBy("doc_id", "block", "kind").agg(F.count(F.lit(1)).alias("n_lines"), texts.alias("text")).where("kind <> 'blank'")
+
+
+#: What a paragraph that leads to a quoted article starts with. Fixed value.
+REFERENCE = r"^🔗\s*引用文章："
+#: Marks that start a unit inside a line. Fixed value.
+INLINE_MARKER = r"(?:[→➜•\-–—*]|\d+\s*[-.:：)]|[A-Za-z]\)|[A-Za-z]\.)"
+#: What a unit ends with for the next one to start without white space before it. Fixed value.
+HARD_STOP = r"[。！？!?；;:：]\s*$"
+
+
+def merge_quote_runs(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, order..., kind, text, group, merged): quotes that follow a reference paragraph as one quote.
+
+    ``rows``: key, order, kind (paragraph, quote, ...), text, group. A run is quotes one after another, single blank paragraphs
+    between two of them included; it counts if a reference paragraph comes right before it, or before one blank. It takes its
+    first row's place; texts that aren't empty are joined by a line break, or two where a blank is between, and its group is
+    the first one that is named. A run without any text goes. merged is the number of rows in it (1 for other rows). Null text
+    is ''. Runs are islands of a window, guarded by the row before them.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = rows.select(key, *order, "kind", F.coalesce("text", F.lit("")).alias("text"), "group")
+    quote, blank = F.col("kind") == "quote", (F.col("kind") == "paragraph") & (trimmed(F.col("text")) == "")
+    rows = rows.withColumn("_quote", quote).withColumn("_blank", blank)
+    rows = rows.withColumn("_ref", (F.col("kind") == "paragraph") & trimmed(F.regexp_replace("text", "[\u2060\u200b]", "")).rlike(REFERENCE))
+    near = lambda c, n: F.coalesce((F.lag if n > 0 else F.lead)(c, abs(n)).over(w), F.lit(False))
+    rows = rows.withColumn("_in", F.col("_quote") | (F.col("_blank") & near("_quote", 1) & near("_quote", -1)))
+    rows = rows.withColumn("_after", near("_ref", 1) | (near("_blank", 1) & near("_ref", 2)))
+    rows = rows.withColumn("_new", ~F.col("_in") | ~near("_in", 1))
+    rows = rows.withColumn("_island", F.sum(F.col("_new").cast("int")).over(w))
+    island = Window.partitionBy(key, "_island").orderBy(*order)
+    rows = rows.withColumn("_run", F.first(F.col("_in") & F.col("_after")).over(island))
+    rows = rows.withColumn("_blanks", F.count(F.when(F.col("_blank"), 1)).over(island))
+    said = F.col("_quote") & (F.col("text") != "")
+    before = F.last(F.when(said, F.col("_blanks")), ignorenulls=True).over(island.rowsBetween(Window.unboundedPreceding, -1))
+    joint = F.when(before.isNull(), "").when(F.col("_blanks") > before, "\n\n").otherwise("\n")
+    rows = rows.withColumn("_piece", F.when(said, F.concat(joint, F.col("text"))).otherwise(""))
+    at = F.struct(*order)
+    runs = rows.where("_run").groupBy(key, "_island").agg(
+        F.min(at).alias("_at"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "_piece"))), lambda x: x["_piece"]), "").alias("text"),
+        F.min_by("group", F.when(F.col("group").isNotNull(), at)).alias("group"),
+        F.count(F.lit(1)).alias("merged"),
+    )
+    runs = runs.where("text <> ''").select(key, *[F.col(f"_at.{c}").alias(c) for c in order], F.lit("quote").alias("kind"), "text", "group", "merged")
+    return rows.where("NOT _run").select(key, *order, "kind", "text", "group", F.lit(1).cast("long").alias("merged")).unionByName(runs)
+
+
+def marker_units(text: Column) -> Column:
+    """array<string>: a line cut before the list marks inside it, each unit trimmed.
+
+    A mark (bullet, arrow, dash, number, letter) with white space after it starts a unit if the last visible character before it
+    is a hard stop; in a line that starts with a mark, or that was cut before, white space before the mark is enough. Null and
+    blank lines have no units. The first cut of a line is always one after a hard stop, so no place waits for another: all marks
+    are set off at once, and those places stay that qualify.
+    """
+    line = trimmed(text)
+    parts = F.split(F.regexp_replace(line, f"{INLINE_MARKER}\\s+", "\x01$0"), "\x01")
+    hard = F.transform(parts, lambda p, i: (i < F.size(parts) - 1) & (p != "") & p.rlike(HARD_STOP))
+    first = F.when(line.rlike(f"^{INLINE_MARKER}"), 0).otherwise(F.array_position(hard, True))  # 0: none, or from the start
+    listed = line.rlike(f"^{INLINE_MARKER}") | (F.array_position(hard, True) > 0)
+    opens = lambda i: F.when(i == 0, False).otherwise(
+        F.get(hard, i - 1) | (listed & (i > first) & F.coalesce(F.get(parts, i - 1).rlike(r"\s$"), F.lit(False)))
+    )
+    units = F.split(F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(opens(i), "\x02").otherwise(""), p)), ""), "\x02")
+    return F.filter(F.transform(units, trimmed), lambda u: u != "")
+
+
+#: Warnings of an import in the order they are told, with their levels. Fixed values.
+WARNINGS = [
+    ("EMPTY_CONTENT", "error"), ("UNSUPPORTED_SYNTAX", "warning"), ("LOCAL_IMAGE_DEGRADED", "warning"), ("DATA_IMAGE_DEGRADED", "warning"), ("TABLE_RENDER_FAILED", "warning"),
+    ("TABLE_FALLBACK_TEXT", "info"), ("INVALID_LINK", "warning"), ("FRONT_MATTER_IGNORED", "info"), ("HTML_SANITIZED", "info"), ("LARGE_FILE", "info"),
+]
+#: Bytes from which a file is large; front matter that is used. Fixed values.
+LARGE, FRONT_MATTER = 2 * 1024 * 1024, ["title", "tags", "date"]
+
+
+def import_counts(files: DataFrame, md: str) -> DataFrame:
+    """``files`` with a column for each warning that their Markdown gives rise to: how often it does. Null Markdown is empty."""
+    text = F.coalesce(F.col(md), F.lit(""))
+    n = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    one = lambda c: c.cast("long")
+    image = r"!\[[^\]]*\]\("
+    keys = F.transform(F.split(F.regexp_extract(text, r"(?s)^---\n(.*?)\n---", 1), "\n"), lambda x: F.regexp_extract(x, r"^([A-Za-z_]+):", 1))
+    syntax = [r"(?i)```\s*mermaid\b", r"\[\^[^\]]+\]", r"(?i)(^|\n)\[\[?toc\]?\](\n|$)"]
+    counts = {
+        "empty_content": one(F.trim(text) == ""),
+        "unsupported_syntax": sum((one(text.rlike(p)) for p in syntax), F.lit(0).cast("long")),
+        "local_image_degraded": n(image) - n(image + "(?:https?:|data:)"),
+        "data_image_degraded": n(image + "data:"),
+        "table_fallback_text": n(r"(?m)^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*(?::?-{3,}:?\s*\|?)?\s*$"),
+        "invalid_link": n(r"\]\((?:javascript|vbscript|file):"),
+        "front_matter_ignored": F.size(F.filter(keys, lambda k: (k != "") & ~k.isin(FRONT_MATTER))).cast("long"),
+        "html_sanitized": n(r"(?i)<(?:script|iframe|object|embed|style)\b"),
+        "large_file": one(F.octet_length(text) > LARGE),
+    }
+    return files.withColumns(counts)
+
+
+def warnings(files: DataFrame, key: str) -> DataFrame:
+    """(key, ord, code, level, n): the warnings of each file in the fixed order, those that occur; from a column for each code.
+
+    Codes without a column (tables that failed to render are known only to whoever renders them) don't occur.
+    """
+    told = [(i, code, level) for i, (code, level) in enumerate(WARNINGS) if code.lower() in files.columns]
+    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(code).alias("code"), F.lit(level).alias("level"), F.col(code.lower()).cast("long").alias("n")) for i, code, level in told])
+    return files.select(key, F.inline(F.filter(rows, lambda w: w["n"] > 0)))

@@ -94,3 +94,20 @@ def zip_languages(left: DataFrame, right: DataFrame) -> DataFrame:
     row = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
     rows = F.array(F.when(F.col("_l").isNotNull(), row("original", F.col("_l"))), F.when(F.col("_r").isNotNull(), row("translation", F.col("_r"))), F.when(F.col("_more"), row("spacer", F.lit(""))))
     return pairs.select("doc", "pos", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("doc", "pos", "x.role", "x.text")
+
+
+#: Where a note's html names other notes, in this order. Fixed values.
+NOTE_REFERENCES = [r'<note\b[^>]*uuid="([^"]+)"', r'data-note-uuid="([^"]+)"', r'data-mowen-note-uuid="([^"]+)"', r'<q\b[^>]*uuid="([^"]+)"', r'\bcite="(?:https?://[^/"?#]+)?/detail/([^"?#/]+)"']
+#: Note nodes in a note's tree as JSON: an object that has the type and, right after or before it, its attributes.
+NOTE_NODES = r'"type"\s*:\s*"note"\s*,\s*"attrs"\s*:\s*\{[^{}]*"uuid"\s*:\s*"([^"]*)"|"attrs"\s*:\s*\{[^{}]*"uuid"\s*:\s*"([^"]*)"[^{}]*\}\s*,\s*"type"\s*:\s*"note"'
+
+
+def child_ids(html: Column, tree: Column) -> Column:
+    """array<string>: the notes that a note refers to, each once, in order: its tree's note nodes, then its html by form.
+
+    An id has six letters, digits, _ or - at least. Null html or tree names none.
+    """
+    found = [F.regexp_extract_all(tree, F.lit(NOTE_NODES), F.lit(i)) for i in (1, 2)]
+    nodes = F.zip_with(*found, lambda a, b: F.concat(a, b))
+    every = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in (nodes, *[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in NOTE_REFERENCES])])
+    return F.array_distinct(F.filter(F.transform(every, lambda i: F.trim(i)), lambda i: i.rlike(r"^[A-Za-z0-9_-]{6,}$")))

@@ -90,12 +90,23 @@ def list_to_paragraphs(spark, sf_dir):
     return B.list_paragraphs(table(spark, sf_dir, "pages"))
 
 
-@query("anchor_table", """
-    WITH l AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\b[^>]*?href="([^"]*)"', 1) AS hs FROM pages),
-    e AS (SELECT page_id, url, unnest(hs) AS href, unnest(generate_series(0, len(hs) - 1)) AS ord FROM l)
-    SELECT page_id, ord, CASE WHEN prefix(href, '/') THEN concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), href) ELSE href END AS url FROM e""")
+#: The pages with links of every form after their own.
+LINKING = """SELECT page_id, url, concat(html, '<a href="', CASE page_id % 12 WHEN 0 THEN '//cdn.example.com/a?b#c' WHEN 1 THEN '../up/x.html' WHEN 2 THEN 'next' WHEN 3 THEN '?page=2' WHEN 4 THEN '#top' WHEN 5 THEN '' WHEN 6 THEN 'mailto:a@example.com'
+  WHEN 7 THEN 'https://example.com/./x/../y' WHEN 8 THEN '/a/./b/../c/..' WHEN 9 THEN './here/../there/?q=../x' WHEN 10 THEN ' /spaced ' ELSE '../../../../far/.' END, '">x</a>') AS html FROM {pages}"""
+
+
+@query("anchor_table", rf"""
+    WITH p AS ({same(LINKING)}), l AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\b[^>]*?href="([^"]*)"', 1) AS hs FROM p),
+    e AS (SELECT page_id, url, unnest(hs) AS href, unnest(generate_series(0, len(hs) - 1)) AS ord FROM l),
+    s AS (SELECT page_id, ord, trim(href) AS h, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(url, '^(https?:)', 1) AS scheme, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query,
+      CASE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) END AS path FROM e),
+    w AS (SELECT *, regexp_extract(h, '^[^?#]*(.*)$', 1) AS tail, concat(CASE WHEN prefix(h, '/') THEN '' ELSE regexp_extract(path, '^(.*/)', 1) END, regexp_extract(h, '^([^?#]*)', 1)) AS target FROM s),
+    f AS (SELECT *, CASE WHEN regexp_matches(target, '/\.\.?(/|$)') THEN concat(list_reduce(list_prepend('', string_split(substr(target, 2), '/')), lambda a, x: CASE x WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE concat(a, '/', x) END),
+      CASE WHEN regexp_matches(target, '/\.\.?$') THEN '/' ELSE '' END) ELSE target END AS flat FROM w)
+    SELECT page_id, ord, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN prefix(h, '//') THEN concat(scheme, h) WHEN h = '' OR prefix(h, '#') THEN concat(origin, path, query, h)
+      WHEN prefix(h, '?') THEN concat(origin, path, h) ELSE concat(origin, flat, tail) END AS url FROM f""")
 def anchor_table(spark, sf_dir):
-    return B.anchors(table(spark, sf_dir, "pages"))
+    return B.anchors(derived(spark, sf_dir, LINKING))
 
 
 LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), lines AS (SELECT doc_id, unnest(a) AS line, unnest(generate_series(0, len(a) - 1)) AS line_no FROM l)"
@@ -175,11 +186,68 @@ def front_matter(spark, sf_dir):
     return rows.groupBy("page_id").agg(*used, F.count_if((F.col("k") != "") & ~F.col("k").isin("title", "tags", "date")).alias("ignored"))
 
 
-@query("warning_rollup", """
-    WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '!\\[')) AS images, len(regexp_extract_all(text, ' \\| ')) AS tables, len(regexp_extract_all(text, '[a-f0-9]{40}')) AS tokens FROM documents)
-    SELECT doc_id, 'IMAGE' AS code, 'warn' AS level, images AS n FROM c WHERE images > 0 UNION ALL SELECT doc_id, 'TABLE', 'info', tables FROM c WHERE tables > 0
-    UNION ALL SELECT doc_id, 'TOKEN', 'error', tokens FROM c WHERE tokens > 0""")
+#: Documents as Markdown files with what each warning is about, and how often each has it.
+IMPORTED = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN concat('![a](img/', CAST(doc_id AS STRING), '.png) ![b](https://example.com/b.png) ', text) WHEN 1 THEN concat('![c](data:image/png;base64,AA) ![d](../d.png) ', text) WHEN 2 THEN concat(text, ' [x](javascript:void) [y](https://example.com)')
+  WHEN 3 THEN concat('---', chr(10), 'title: T', chr(10), 'draft: yes', chr(10), 'layout: z', chr(10), '---', chr(10), text) WHEN 4 THEN concat('| a | b |', chr(10), '| --- | --- |', chr(10), '| 1 | 2 |', chr(10), text) WHEN 5 THEN concat('<script>x</script><iframe src="a"></iframe>', text)
+  WHEN 6 THEN concat('[^1] and [TOC] ', text) WHEN 7 THEN '   ' ELSE text END AS md FROM {documents}"""
+_ONE = "len(regexp_extract_all(md, '{}'))"
+_COUNTED = {
+    "unsupported_syntax": r"CAST(regexp_matches(md, '(?i)```\s*mermaid\b') AS INT) + CAST(regexp_matches(md, '\[\^[^\]]+\]') AS INT) + CAST(regexp_matches(md, '(?i)(^|\n)\[\[?toc\]?\](\n|$)') AS INT)",
+    "local_image_degraded": _ONE.format(r"!\[[^\]]*\]\(") + " - " + _ONE.format(r"!\[[^\]]*\]\((?:https?:|data:)"),
+    "data_image_degraded": _ONE.format(r"!\[[^\]]*\]\(data:"),
+    "table_fallback_text": _ONE.format(r"(?m)^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*(?::?-{3,}:?\s*\|?)?\s*$"),
+    "invalid_link": _ONE.format(r"\]\((?:javascript|vbscript|file):"),
+    "html_sanitized": _ONE.format(r"(?i)<(?:script|iframe|object|embed|style)\b"),
+}
+
+
+@query("warning_rollup", f"""
+    WITH m AS ({same(IMPORTED)}), h AS (SELECT doc_id, md, string_split(regexp_extract(md, '(?s)^---\\n(.*?)\\n---', 1), chr(10)) AS head FROM m),
+    c AS (SELECT doc_id, CAST(trim(md) = '' AS INT) AS empty_content, {', '.join(f"{sql} AS {name}" for name, sql in _COUNTED.items())},
+      len(list_filter(head, lambda x: regexp_matches(x, '^[A-Za-z_]+:') AND regexp_extract(x, '^([A-Za-z_]+):', 1) NOT IN ('title', 'tags', 'date'))) AS front_matter_ignored, CAST(strlen(md) > 2097152 AS INT) AS large_file FROM h),
+    w AS ({' UNION ALL '.join(f"SELECT doc_id, {i} AS ord, '{code}' AS code, '{level}' AS level, CAST({code.lower()} AS BIGINT) AS n FROM c" for i, (code, level) in enumerate(B.WARNINGS) if code != 'TABLE_RENDER_FAILED')})
+    SELECT doc_id, ord, code, level, n FROM w WHERE n > 0""")
 def warning_rollup(spark, sf_dir):
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    rows = table(spark, sf_dir, "documents").select("doc_id", count(r"!\[").alias("images"), count(r" \| ").alias("tables"), count("[a-f0-9]{40}").alias("tokens"))
-    return rows.selectExpr("doc_id", "stack(3, 'IMAGE', 'warn', images, 'TABLE', 'info', tables, 'TOKEN', 'error', tokens) AS (code, level, n)").where("n > 0")
+    return B.warnings(B.import_counts(derived(spark, sf_dir, IMPORTED), "md"), "doc_id")
+
+
+#: A document's lines as entries: links to quoted articles, quotes, blanks and others.
+ENTRIES = f"""{LINES}, e AS (SELECT doc_id, line_no, CASE WHEN (line_no * 7 + doc_id) % 5 = 0 THEN 1 ELSE (line_no + doc_id) % 9 END AS k, line FROM lines),
+    r AS (SELECT doc_id, line_no, CASE WHEN k IN (2, 4, 5, 7) THEN 'quote' WHEN k = 8 THEN 'image' ELSE 'paragraph' END AS kind, CASE k WHEN 0 THEN concat(' 🔗 引用文章：', line) WHEN 1 THEN ' ' WHEN 7 THEN CASE WHEN doc_id % 2 = 0 THEN '' ELSE line END ELSE line END AS text,
+      CASE WHEN line_no % 3 = 1 THEN concat('g', line_no) END AS "group" FROM e)"""
+
+
+@query("quote_run_merge", f"""
+    WITH RECURSIVE {ENTRIES}, f AS (SELECT *, kind = 'paragraph' AND trim(text) = '' AS blank, kind = 'paragraph' AND regexp_matches(trim(text), '^🔗\\s*引用文章：') AS ref, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM r),
+    n AS (SELECT *, coalesce(lead(kind) OVER w = 'quote', false) AS then_quote, coalesce(lag(ref) OVER w, false) OR (coalesce(lag(blank) OVER w, false) AND coalesce(lag(ref, 2) OVER w, false)) AS led FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    walk AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS head, false AS was_quote FROM (SELECT DISTINCT doc_id FROM n) UNION ALL
+      SELECT n.doc_id, n.i, CASE WHEN n.kind = 'quote' THEN CASE WHEN w.head > 0 THEN w.head WHEN n.led AND NOT w.was_quote THEN n.i ELSE 0 END WHEN n.blank AND n.then_quote AND w.was_quote THEN w.head ELSE 0 END, n.kind = 'quote' OR (w.head = 0 AND n.blank AND n.then_quote AND w.was_quote)
+      FROM walk w JOIN n ON n.doc_id = w.doc_id AND n.i = w.i + 1),
+    j AS (SELECT n.*, w.head FROM n JOIN walk w USING (doc_id, i)),
+    said AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, head ORDER BY i) AS b FROM j WHERE head > 0),
+    joint AS (SELECT *, lag(b) OVER (PARTITION BY doc_id, head ORDER BY i) AS p FROM said WHERE kind = 'quote' AND text <> ''),
+    texts AS (SELECT doc_id, head, string_agg(concat(CASE WHEN p IS NULL THEN '' WHEN b > p THEN chr(10) || chr(10) ELSE chr(10) END, text), '' ORDER BY i) AS text FROM joint GROUP BY doc_id, head),
+    groups AS (SELECT doc_id, head, count(*) AS merged, min_by("group", i) FILTER (WHERE "group" IS NOT NULL) AS g FROM said GROUP BY doc_id, head)
+    SELECT doc_id, line_no, kind, text, "group", 1::BIGINT AS merged FROM j WHERE head = 0 UNION ALL
+    SELECT j.doc_id, j.line_no, 'quote', t.text, g.g, g.merged FROM texts t JOIN groups g USING (doc_id, head) JOIN j ON j.doc_id = t.doc_id AND j.i = t.head""")
+def quote_run_merge(spark, sf_dir):
+    rows = B.lines(table(spark, sf_dir, "documents")).withColumn("k", F.when((F.col("line_no") * 7 + F.col("doc_id")) % 5 == 0, 1).otherwise((F.col("line_no") + F.col("doc_id")) % 9))
+    kind = F.when(F.col("k").isin(2, 4, 5, 7), "quote").when(F.col("k") == 8, "image").otherwise("paragraph")
+    text = F.when(F.col("k") == 0, F.concat(F.lit(" 🔗 引用文章："), "line")).when(F.col("k") == 1, " ").when((F.col("k") == 7) & (F.col("doc_id") % 2 == 0), "").otherwise(F.col("line"))
+    group = F.when(F.col("line_no") % 3 == 1, F.concat(F.lit("g"), F.col("line_no").cast("string")))
+    return B.merge_quote_runs(rows.select("doc_id", "line_no", kind.alias("kind"), text.alias("text"), group.alias("group")), "doc_id", ["line_no"])
+
+
+MARKED = """SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN concat('Steps: 1. ', text, ' 2. then this 3) and that') WHEN 1 THEN concat('- ', text, ' - next item • another') WHEN 2 THEN concat(text, ' - not a list - at all')
+  WHEN 3 THEN concat('说明：→ ', text, '。 ➜ 第二步 a) 第三步') WHEN 4 THEN text WHEN 5 THEN concat('x1. ', text, '!- tight 5 - six') WHEN 6 THEN '  ' ELSE concat('1. - ', role, ' end. 2: last; B. ') END AS line FROM {conversations}"""
+
+
+@query("marker_units", f"""
+    WITH RECURSIVE l AS (SELECT conv_id, turn, {ws('line')} AS t FROM ({same(MARKED)})),
+    p AS (SELECT conv_id, turn, t, string_split(regexp_replace(t, '((?:[→➜•\\-–—*]|\\d+\\s*[-.:：)]|[A-Za-z]\\)|[A-Za-z]\\.)\\s+)', chr(1) || '\\1', 'g'), chr(1)) AS parts, regexp_matches(t, '^(?:[→➜•\\-–—*]|\\d+\\s*[-.:：)]|[A-Za-z]\\)|[A-Za-z]\\.)') AS listed FROM l WHERE t <> ''),
+    walk AS (SELECT conv_id, turn, parts, listed, 1 AS k, parts[1] AS sofar, parts[1] AS unit, 0 AS n, NULL::VARCHAR AS done FROM p UNION ALL
+      SELECT conv_id, turn, parts, listed OR cut, k + 1, concat(sofar, parts[k + 1]), CASE WHEN cut THEN parts[k + 1] ELSE concat(unit, parts[k + 1]) END, CASE WHEN cut THEN n + 1 ELSE n END, CASE WHEN cut THEN unit END
+      FROM (SELECT *, sofar <> '' AND (regexp_matches(sofar, '[。！？!?；;:：]\\s*$') OR (listed AND regexp_matches(sofar, '\\s$'))) AS cut FROM walk WHERE k < len(parts)))
+    SELECT conv_id, turn, n - 1 AS pos, {ws('done')} AS unit FROM walk WHERE done IS NOT NULL UNION ALL SELECT conv_id, turn, n, {ws('unit')} FROM walk WHERE k = len(parts)""")
+def marker_units(spark, sf_dir):
+    return derived(spark, sf_dir, MARKED).select("conv_id", "turn", F.posexplode(B.marker_units(F.col("line"))).alias("pos", "unit"))

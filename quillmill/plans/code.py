@@ -12,7 +12,7 @@ query = registry.add
 
 #: A code text for each rule, with ~ for a line break, ^ for a backslash in SQL and @ for the order.
 SAMPLES = [
-    "diff --git a/@ b/@", "@@ -1 +1 @@", "+++ b/file@", "<?php echo @;", "FROM alpine~RUN make @", "import React from \"react\"~const a@ = <b>x</b>", "import React from \"react\"~type T@ = 1~<b>x</b>", "<template><p>@</p></template>",
+    "diff --git a/@ b/@", "@@ -1 +1 @@", "+++ b/file@", "<?php echo @;", "FROM alpine~RUN make @", "# build @~  FROM alpine~  RUN make", "import React from \"react\"~const a@ = <b>x</b>", "import React from \"react\"~type T@ = 1~<b>x</b>", "<template><p>@</p></template>",
     "resource \"a\" \"b@\" {}", "{\"a\": @}", "[1, @", "C:\\dir\\file@", "./run/@~/usr/bin", "src/app/@.ts", "<!DOCTYPE html> @", "<note n=\"@\">x</note>", "[part@]~name = value", "[part@]~name: value", "name: value @", "- item: @",
     "SELECT @ FROM t", "#!/bin/bash~@", "npm install x@", "$ go @", "Get-ChildItem @", "package main // @", "using System; // @", "public class A@ ()", "data class A@(x)", "import SwiftUI // @", "def run@(x)", "puts \"@\"", "fn main@() -> x",
     "#include <iostream>~@", "#include <stdio.h>~@", ".box@ { color: red; }", "interface A@ x", "const a = @;", "plain words @", " ~ ",

@@ -70,11 +70,12 @@ def priority_union_ids(spark, sf_dir):
 
 
 @query("map_merge_precedence", """
-    SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS value FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+    WITH orders_of AS (SELECT o_custkey AS key, max(o_orderpriority) AS value FROM orders GROUP BY o_custkey)
+    SELECT coalesce(key, c_custkey) AS key, CASE WHEN key IS NOT NULL THEN value ELSE c_name END AS value FROM customer FULL OUTER JOIN orders_of ON c_custkey = key""")
 def map_merge_precedence(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer")
-    first = customers.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
-    second = customers.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    """Every customer's name, over which goes what the customer's orders say."""
+    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    second = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderpriority").alias("value"))
     return N.merge_maps(first, second)
 
 
@@ -164,13 +165,16 @@ def asset_resolve(spark, sf_dir):
     return found.select("p_partkey", "s_suppkey", F.when(F.col("url").startswith("http"), F.col("url")).otherwise(F.concat(F.lit("https://assets.example.com/"), F.col("s_suppkey").cast("string"))).alias("url"))
 
 
-NODES = """SELECT o_custkey AS note, concat('<note uuid="abc', CAST(o_orderkey AS STRING), '"></note><a href="https://notes.example.com/detail/xyz', CAST(o_orderkey % 100 AS STRING), '">x</a><note uuid="a!"></note>') AS html FROM {orders} WHERE o_orderkey % 5 = 0"""
+NODES = """SELECT o_orderkey AS note, concat('<q cite="https://notes.example.com/detail/cite', CAST(o_orderkey % 100 AS STRING), '?a" uuid="quote', CAST(o_custkey AS STRING), '"></q><p data-note-uuid="data-', CAST(o_orderkey AS STRING), '"></p><note id="1" uuid="abc', CAST(o_orderkey AS STRING), '"></note>',
+    CASE o_orderkey % 3 WHEN 0 THEN '<note uuid="a!"></note><note uuid="short"></note>' WHEN 1 THEN concat('<b data-mowen-note-uuid="tree', CAST(o_custkey AS STRING), '"></b><blockquote cite="/detail/local', CAST(o_custkey AS STRING), '"></blockquote>') ELSE '' END) AS html,
+  CASE o_orderkey % 4 WHEN 0 THEN concat('{{"type":"doc","content":[{{"type":"note","attrs":{{"uuid":"tree', CAST(o_custkey AS STRING), '"}}}},{{"type":"text"}},{{"attrs":{{"k":1,"uuid":"after', CAST(o_orderkey AS STRING), '"}},"type":"note"}}]}}') WHEN 1 THEN '{{"type":"doc"}}' END AS tree FROM {orders}"""
+_NODE = "\"type\"\\s*:\\s*\"note\"\\s*,\\s*\"attrs\"\\s*:\\s*\\{[^{}]*\"uuid\"\\s*:\\s*\"([^\"]*)\"|\"attrs\"\\s*:\\s*\\{[^{}]*\"uuid\"\\s*:\\s*\"([^\"]*)\"[^{}]*\\}\\s*,\\s*\"type\"\\s*:\\s*\"note\""
 
 
 @query("child_note_ids", f"""
-    WITH a AS (SELECT note, html, list_concat(regexp_extract_all(html, '<note uuid="([^"]*)"', 1), regexp_extract_all(html, '/detail/([A-Za-z0-9_-]+)', 1)) AS ids FROM ({same(NODES)})),
-    e AS (SELECT note, unnest(ids) AS id FROM a) SELECT DISTINCT note, id FROM e WHERE regexp_matches(id, '^[A-Za-z0-9_-]{{6,}}$')""")
+    WITH n AS ({same(NODES)}), t AS (SELECT note, html, regexp_extract_all(coalesce(tree, ''), '{_NODE}', 1) AS a, regexp_extract_all(coalesce(tree, ''), '{_NODE}', 2) AS b FROM n),
+    l AS (SELECT note, list_concat(list_transform(list_zip(a, b), lambda x: concat(x[1], x[2])), {', '.join(f"regexp_extract_all(html, '{p}', 1)" for p in N.NOTE_REFERENCES)}) AS ids FROM t),
+    e AS (SELECT note, unnest(ids) AS id, unnest(generate_series(1, len(ids))) AS at_pos FROM l), f AS (SELECT note, id, min(at_pos) AS at_pos FROM e WHERE regexp_matches(id, '^[A-Za-z0-9_-]{{6,}}$') GROUP BY note, id)
+    SELECT note, row_number() OVER (PARTITION BY note ORDER BY at_pos) - 1 AS pos, id FROM f""")
 def child_note_ids(spark, sf_dir):
-    every = [F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (r"<note uuid=\"([^\"]*)\"", r"/detail/([A-Za-z0-9_-]+)")]
-    ids = derived(spark, sf_dir, NODES).select("note", F.explode(F.concat(*every)).alias("id"))
-    return ids.where(F.col("id").rlike(r"^[A-Za-z0-9_-]{6,}$")).distinct()
+    return derived(spark, sf_dir, NODES).select("note", F.posexplode(N.child_ids(F.col("html"), F.col("tree"))).alias("pos", "id"))
