@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where attributes name a language, first match first. Fixed values.
 ATTRIBUTES = [r"(?i)data-lang(?:uage)?=[\"']([^\"']+)[\"']", r"(?i)class=[\"'][^\"']*(?:language-|lang-)([\w+-]+)", r"(?i)class=[\"'][^\"']*\bhljs\s+([\w+-]+)"]
 
+#: Other names of languages, official ones first, then those that pages use. Fixed values.
+ALIASES = {
+    "adoc": "asciidoc", "batch": "bat", "be": "berry", "bird": "bird2", "1c": "bsl", "cdc": "cadence", "clj": "clojure", "ql": "codeql",
+    "coffeescript": "coffee", "lisp": "common-lisp", "c++": "cpp", "c#": "csharp", "cs": "csharp", "cql": "cypher", "dockerfile": "docker",
+    "elisp": "emacs-lisp", "erl": "erlang", "ftl": "fluent", "f": "fortran-fixed-form", "for": "fortran-fixed-form", "f77": "fortran-fixed-form",
+    "f90": "fortran-free-form", "f95": "fortran-free-form", "f03": "fortran-free-form", "f08": "fortran-free-form", "f18": "fortran-free-form",
+    "f#": "fsharp", "fs": "fsharp", "tscn": "gdresource", "tres": "gdresource", "gd": "gdscript", "gjs": "glimmer-js", "gts": "glimmer-ts",
+    "gql": "graphql", "hbs": "handlebars", "hs": "haskell", "properties": "ini", "js": "javascript", "cjs": "javascript", "mjs": "javascript",
+    "fsl": "jssm", "jl": "julia", "kt": "kotlin", "kts": "kotlin", "kql": "kusto", "lean4": "lean", "makefile": "make", "md": "markdown",
+    "mmd": "mermaid", "mips": "mipsasm", "mbt": "moonbit", "mbti": "moonbit", "nar": "narrat", "nf": "nextflow", "objc": "objective-c",
+    "nu": "nushell", "scad": "openscad", "pot": "po", "potx": "po", "ps": "powershell", "ps1": "powershell", "protobuf": "proto", "jade": "pug",
+    "py": "python", "perl6": "raku", "regex": "regexp", "rb": "ruby", "rs": "rust", "1c-query": "sdbl", "shader": "shaderlab", "bash": "shellscript",
+    "sh": "shellscript", "shell": "shellscript", "zsh": "shellscript", "console": "shellsession", "closure-templates": "soy", "spl": "splunk",
+    "styl": "stylus", "surql": "surrealql", "talon": "talonscript", "tf": "terraform", "tfvars": "terraform", "lit": "ts-tags", "ts": "typescript",
+    "cts": "typescript", "mts": "typescript", "tsp": "typespec", "typ": "typst", "cmd": "vb", "vim": "viml", "vimscript": "viml", "vy": "vyper",
+    "文言": "wenyan", "mediawiki": "wikitext", "wiki": "wikitext", "wl": "wolfram", "yml": "yaml", "golang": "go", "python3": "python", "py3": "python",
+    "python2": "python", "py2": "python", "node": "javascript", "nodejs": "javascript", "jscript": "javascript", "shell-session": "shellsession",
+    "bash-session": "shellsession", "sh-session": "shellsession", "zsh-session": "shellsession", "terminal": "shellsession",
+    "terminal-output": "shellsession", "cmdline": "shellsession", "env": "dotenv", "docker-compose": "yaml", "compose": "yaml", "postgres": "sql",
+    "postgresql": "sql", "psql": "sql", "mysql": "sql", "sqlite": "sql", "conf": "ini", "cfg": "ini", "plist": "xml", "objectivec": "objective-c",
+    "obj-c": "objective-c", "cxx": "cpp", "cc": "cpp", "hh": "cpp", "hpp": "cpp", "psm1": "powershell", "powershellscript": "powershell",
+    "proto3": "proto", "plain": "text", "plaintext": "text", "txt": "text", "none": "text", "nohighlight": "text", "no-highlight": "text",
+}
+
 _POSIX = r"(?:(?:\.{1,2}/|~/|/)\S+|(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+)"
 _WINDOWS = r"(?:[A-Za-z]:\\\S+|\\\\\S+\\\S+)"
 _REACT = r"(?i)\b(import\s+react\b|from\s+['\"]react['\"]|from\s+['\"]next/|use(?:state|effect|memo|callback)\b)"
@@ -78,6 +102,16 @@ def inferred_sql(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN NULL {' '.join(cases)} END"
 
 
+def alias_rows(spark: SparkSession) -> DataFrame:
+    """ALIASES as rows (alias, language)."""
+    return spark.createDataFrame(list(ALIASES.items()), "alias string, language string")
+
+
+def language_rows(spark: SparkSession, more: list[str] | None = None) -> DataFrame:
+    """(language): the languages that aliases and rules name, and ``more`` (a highlighter's whole list has over 200)."""
+    return spark.createDataFrame([(x,) for x in sorted({*ALIASES.values(), *(name for name, _ in RULES), *(more or [])})], "language string")
+
+
 def named(blocks: DataFrame, aliases: DataFrame, languages: DataFrame) -> DataFrame:
     """Adds ``language`` to blocks (attributes): what the attributes name, by ``aliases`` (alias, language), else if it is one of
     ``languages`` (language), else null. Both tables are small rule tables, and what doesn't match stays."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,25 +23,30 @@ JUNK_CLASSES = (
 JUNK_PARTS = ["comment", "engagement-bar", "reactions-bar", "like-count", "share-count", "view-count", "subscribe", "follow", "video-controls"]
 
 
+#: Characters that end a sentence if white space or the end of what fits follows. Fixed value.
+STOPS = "。！？!?；;."
+
+
 def cut_places(text: str, limit: int) -> list[int]:
-    """Ends of the parts of a text: after the last line end that fits, else a sentence end, else white space, else the limit."""
+    """Ends of the parts of a text: after the last line end that fits, else a sentence end, else white space, else the limit.
+
+    The places of each class are listed once, in one pass each; a part then takes the last one that fits by bisection. A part
+    is never only the white space that it starts with.
+    """
+    classes = [
+        [m.end() for m in re.finditer("\n", text)],
+        [m.end() for m in re.finditer(rf"[{STOPS}]\s", text)],
+        [m.start() + 1 for m in re.finditer(r"\s+", text)],
+    ]
     ends, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + limit)
-        if end < len(text):
-            window = text[start:end]
-            line = window.rfind("\n")
-            sentences = list(re.finditer(r"[。！？!?；;](?:\s|$)|\.(?:\s|$)", window))
-            blank = re.search(r"\s+\S*$", window)
-            if line > 0:
-                end = start + line + 1
-            elif sentences:
-                end = start + sentences[-1].end()
-            elif blank and blank.start() > 0:
-                end = start + blank.start() + 1
-        ends.append(end)
-        start = end
-    return ends
+    while len(text) - start > limit:
+        full = start + limit
+        last = [places[at - 1] if (at := bisect_right(places, full)) else 0 for places in classes]
+        if text[full - 1] in STOPS:
+            last[1] = full
+        start = next((place for place in last if place > start + 1), full)
+        ends.append(start)
+    return [*ends, len(text)] if start < len(text) else ends
 
 
 def split_text(rows: DataFrame, key: str, text: str, limit: int) -> DataFrame:

@@ -20,10 +20,13 @@ SAMPLES = [
 _WHEN = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SAMPLES)).replace("\\", "^").replace("{", "{{").replace("}", "}}")
 CODES = f"SELECT o_orderkey, replace(replace(replace(CASE o_orderkey % {len(SAMPLES)} {_WHEN} END, '~', chr(10)), '^', chr(92)), '@', CAST(o_orderkey AS STRING)) AS code FROM {{orders}}"
 
-BLOCKS = """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'data-lang="JS" class="language-python"' WHEN 1 THEN 'class="code language-PY"' WHEN 2 THEN 'class="hljs golang"' WHEN 3 THEN 'class="lang-c++"' WHEN 4 THEN 'data-language=" Rust "'
-  WHEN 5 THEN 'class="language-nothing"' WHEN 6 THEN 'id="x"' WHEN 7 THEN 'class="hljs"' ELSE concat('class="lang-l', CAST(o_orderkey % 40 AS STRING), '"') END AS attributes FROM {orders}"""
-ALIASES = "SELECT DISTINCT concat('l', CAST(p_size AS STRING)) AS alias, concat('size-', CAST(p_size AS STRING)) AS language FROM {part} UNION ALL SELECT * FROM (VALUES ('js', 'javascript'), ('py', 'python'), ('golang', 'go'), ('c++', 'cpp')) AS v(alias, language)"
-LANGUAGES = "SELECT DISTINCT concat('size-', CAST(p_size AS STRING)) AS language FROM {part} UNION ALL SELECT * FROM (VALUES ('rust'), ('python'), ('javascript'), ('go')) AS v(language)"
+#: Attributes with every name that is known, in turn, in each of the places that may hold one.
+NAMES = [*C.ALIASES, *sorted({*C.ALIASES.values(), *(name for name, _ in C.RULES)}), "nothing", "Py", " JS "]
+_NAME = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES))
+BLOCKS = f"""SELECT o_orderkey, CASE o_custkey % 6 WHEN 0 THEN concat('data-lang="', name, '" class="language-python"') WHEN 1 THEN concat('class="code language-', name, '"') WHEN 2 THEN concat('class="hljs ', name, '"') WHEN 3 THEN concat('class="lang-', name, '"')
+  WHEN 4 THEN concat('data-language=" ', upper(name), ' "') ELSE 'id="x" class="hljs"' END AS attributes FROM (SELECT o_orderkey, o_custkey, CASE o_orderkey % {len(NAMES)} {_NAME} END AS name FROM {{orders}})"""
+_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in C.ALIASES.items())
+_KNOWN = ", ".join(f"('{n}')" for n in sorted({*C.ALIASES.values(), *(name for name, _ in C.RULES)}))
 _RAW = "coalesce(" + ", ".join("nullif(regexp_extract(attributes, '{}', 1), '')".format(p.replace("'", "''")) for p in C.ATTRIBUTES) + ")"
 
 
@@ -34,6 +37,6 @@ def code_language_infer(spark, sf_dir):
 
 @query("code_language_alias", f"""
     WITH b AS (SELECT o_orderkey, lower(regexp_replace({_RAW}, '^\\s+|\\s+$', '', 'g')) AS raw FROM ({same(BLOCKS)}))
-    SELECT o_orderkey, coalesce(a.language, i.language) AS language FROM b LEFT JOIN ({same(ALIASES)}) a ON raw = a.alias LEFT JOIN ({same(LANGUAGES)}) i ON raw = i.language""")
+    SELECT o_orderkey, coalesce(a.language, i.language) AS language FROM b LEFT JOIN (VALUES {_VALUES}) a(alias, language) ON raw = a.alias LEFT JOIN (VALUES {_KNOWN}) i(language) ON raw = i.language""")
 def code_language_alias(spark, sf_dir):
-    return C.named(derived(spark, sf_dir, BLOCKS), derived(spark, sf_dir, ALIASES), derived(spark, sf_dir, LANGUAGES)).select("o_orderkey", "language")
+    return C.named(derived(spark, sf_dir, BLOCKS), C.alias_rows(spark), C.language_rows(spark)).select("o_orderkey", "language")

@@ -13,9 +13,20 @@ registry = Registry()
 query = registry.add
 
 
-@query("split_oversize_text")
+TEXT_LIMIT = 19000
+
+
+@query("split_oversize_text", f"""
+    WITH RECURSIVE b AS (SELECT doc_id, text, length(text) AS n, string_split(text, '') AS c FROM documents WHERE length(text) > {TEXT_LIMIT}),
+    p AS (SELECT doc_id, n, c, list_filter(generate_series(1, n), lambda i: c[i] = chr(10)) AS line_ends, list_transform(list_filter(generate_series(1, n - 1), lambda i: contains('{P.STOPS}', c[i]) AND regexp_matches(c[i + 1], '\\s')), lambda i: i + 1) AS stops,
+      list_filter(generate_series(1, n), lambda i: regexp_matches(c[i], '\\s') AND (i = 1 OR NOT regexp_matches(c[i - 1], '\\s'))) AS blanks FROM b),
+    walk AS (SELECT doc_id, 0 AS part, 0::BIGINT AS start, 0::BIGINT AS stop FROM b UNION ALL
+      SELECT doc_id, part + 1, stop, CASE WHEN n - stop <= {TEXT_LIMIT} THEN n ELSE coalesce(list_max(list_filter(line_ends, lambda i: i > stop + 1 AND i <= stop + {TEXT_LIMIT})), CASE WHEN contains('{P.STOPS}', c[stop + {TEXT_LIMIT}]) THEN stop + {TEXT_LIMIT} END,
+        list_max(list_filter(stops, lambda i: i > stop + 1 AND i <= stop + {TEXT_LIMIT})), nullif(greatest(list_max(list_filter(blanks, lambda i: i <= stop + {TEXT_LIMIT})), stop + 1), stop + 1), stop + {TEXT_LIMIT}) END FROM walk JOIN p USING (doc_id) WHERE stop < n)
+    SELECT doc_id, part - 1 AS part, substring(text, start + 1, stop - start) AS text FROM walk JOIN b USING (doc_id) WHERE part > 0
+    UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= {TEXT_LIMIT}""")
 def split_oversize_text(spark, sf_dir):
-    return P.split_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 19000)
+    return P.split_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", TEXT_LIMIT)
 
 
 CODE_LIMIT = 300

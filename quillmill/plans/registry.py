@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODULES = "pages texts links blocks sequences paragraphs parts joins sinks live code bilingual streams".split()
+MODULES = "pages texts links blocks sequences paragraphs parts joins sinks live code bilingual streams elements".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
