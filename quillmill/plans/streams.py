@@ -7,13 +7,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.urls import domain_of
 from quillmill.operators.tasks import lifecycle
 from quillmill.plans import sequences
-from quillmill.plans.registry import Registry, derived, same
-from quillmill.sources.parts import EVENTS, event_stream
+from quillmill.plans.pages import HOST
+from quillmill.plans.registry import Registry, derived, same, table
+from quillmill.sources.parts import EVENTS, event_stream, write_parts
 from quillmill.sources.shared import shared_folder
 from quillmill.streaming import ordered as O
-from quillmill.streaming.live import fresh_messages
+from quillmill.streaming.live import emit_parts, fresh_messages
 
 registry = Registry()
 query = registry.add
@@ -127,3 +129,25 @@ def task_state(spark, sf_dir):
         return O.task_states(rows, TTL, "1 hour")
 
     return replayed(spark, sf_dir, job)
+
+
+PARTS = f"SELECT page_id AS clip_id, {HOST} AS domain, CAST(length(html) AS BIGINT) AS chars FROM pages"
+
+
+@query("parts_sink", PARTS)
+def parts_sink(spark, sf_dir):
+    """The parts that the sink has written, as they are read back from its folders."""
+    folder = shared_folder(spark, "parts")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("clip_id"), domain_of(F.col("url")).alias("domain"), F.length("html").cast("long").alias("chars"))
+    write_parts(pages, folder)
+    return spark.read.schema("clip_id long, chars long, domain string").parquet(folder)
+
+
+@query("part_emit", PARTS)
+def part_emit(spark, sf_dir):
+    """The parts that a stream of pages has emitted, one folder for each micro-batch."""
+    folder = shared_folder(spark, "emit")
+    pages = spark.readStream.schema("page_id long, url string, html string").parquet(f"{sf_dir}/pages.parque[t]")
+    job = lambda batch: batch.select(F.col("page_id").alias("clip_id"), domain_of(F.col("url")).alias("domain"), F.length("html").cast("long").alias("chars"))
+    emit_parts(pages, job, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("clip_id long, domain string, chars long").parquet(f"{folder}/out").drop("batch")
