@@ -181,3 +181,20 @@ def absolute(href: Column, base: Column) -> Column:
         .when(h.startswith("?"), F.concat(origin, path, h))
         .otherwise(F.concat(origin, whole, tail))
     )
+
+
+#: Attributes from which images are loaded late, first ones first. Fixed values.
+LAZY = ["data-src", "data-original", "data-url", "data-lazy", "data-actualsrc", "data-hires", "data-lazy-src"]
+
+
+def image_source(tag: Column) -> Column:
+    """struct(url, kind): the one address of an img tag: lazy attributes, src, the largest of srcset, that of data-srcset.
+
+    Inline data is never taken. kind is lazy, img or srcset; '' and none if there is nothing.
+    """
+    own = lambda name: F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    real = lambda c: F.when((c != "") & ~c.startswith("data:"), c)
+    lazy, src = F.coalesce(*[real(own(name)) for name in LAZY]), real(own("src"))
+    sets = F.coalesce(*[real(F.when(own(name) != "", srcset_best(own(name)))) for name in ("srcset", "data-srcset")])
+    kind = F.when(lazy.isNotNull(), "lazy").when(src.isNotNull(), "img").when(sets.isNotNull(), "srcset").otherwise("none")
+    return F.struct(F.coalesce(lazy, src, sets, F.lit("")).alias("url"), kind.alias("kind"))

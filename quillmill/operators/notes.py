@@ -111,3 +111,21 @@ def child_ids(html: Column, tree: Column) -> Column:
     nodes = F.zip_with(*found, lambda a, b: F.concat(a, b))
     every = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in (nodes, *[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in NOTE_REFERENCES])])
     return F.array_distinct(F.filter(F.transform(every, lambda i: F.trim(i)), lambda i: i.rlike(r"^[A-Za-z0-9_-]{6,}$")))
+
+
+def best_candidates(blocks: DataFrame) -> DataFrame:
+    """(doc, candidate, score): of each document's candidates for a quoted article the one of highest score, the earliest on a tie.
+
+    ``blocks``: doc, candidate (their order), priority, kind, role, text. A candidate counts 10000 if a block other than an image
+    has text, 5000 more if several have, 2000 if any block is an original or a translation, 1000 if any is a spacer, 50 for each
+    block with text, 10 for each visible character, and its priority. Null text is ''.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    said = F.count_if((F.col("kind") != "image") & (trimmed(text) != ""))
+    role = lambda *names: F.coalesce(F.max(F.col("role").isin(*names)), F.lit(False))
+    worth = lambda c, n: F.when(c, n).otherwise(0)
+    chars = F.sum(F.length(F.regexp_replace(text, r"\s+", "")))
+    score = worth(said > 0, 10_000) + worth(said > 1, 5_000) + worth(role("original", "translation"), 2_000) + worth(role("spacer"), 1_000) + said * 50 + chars * 10 + F.max("priority")
+    scored = blocks.groupBy("doc", "candidate").agg(score.alias("score"))
+    best = F.max_by(F.struct("candidate", "score"), F.struct("score", -F.col("candidate"))).alias("b")
+    return scored.groupBy("doc").agg(best).select("doc", "b.candidate", F.col("b.score").cast("long").alias("score"))

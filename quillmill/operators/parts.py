@@ -13,7 +13,8 @@ from quillmill.functions.text import hard_end, heading_like, language, trimmed
 from quillmill.operators.sequences import first_of_each
 
 #: Attributes that markup keeps, and those that code keeps besides. Fixed values.
-KEPT_ATTRIBUTES = ["href", "src", "alt", "width", "height", "target", "rel", "srcset", "data-src", "data-original", "style"]
+KEPT_ATTRIBUTES = ["href", "src", "alt", "data-mowen-uid", "data-mowen-caption", "width", "height", "target", "rel", "srcset", "data-src", "data-original", "style"]
+CODE_ATTRIBUTES = ["class", "data-language", "data-lang", "translate"]
 #: Class names of adverts, comments, sharing, players and page tools. Fixed values.
 JUNK_CLASSES = (
     "advertisement ads social-share comments related-posts post-ufi like-button-container share-dialog subscription-widget-wrap post-header banner post-footer comment-section"
@@ -125,16 +126,16 @@ def safe_html(c: Column) -> Column:
 
 
 def prune_attributes(c: Column) -> Column:
-    """Markup without attributes but those that are kept; what counts is name=\"value\" inside tags."""
+    """Markup without attributes but those that are kept, more of them on pre and code; what counts is name=\"value\" inside tags."""
     tags = F.regexp_extract_all(c, F.lit(r"(<[^>]+>|[^<]+)"), F.lit(1))
-    keep = rf"^({'|'.join(KEPT_ATTRIBUTES)})="
+    keep, on_code = rf"^({'|'.join(KEPT_ATTRIBUTES)})=", rf"^({'|'.join([*KEPT_ATTRIBUTES, *CODE_ATTRIBUTES])})="
     pruned = F.transform(
         tags,
         lambda t: F.when(
             t.rlike(r"^<[a-zA-Z]"),
             F.concat(
                 F.regexp_extract(t, r"^(<[a-zA-Z][a-zA-Z0-9]*)", 1),
-                F.array_join(F.transform(F.filter(F.regexp_extract_all(t, F.lit(r"([a-zA-Z][a-zA-Z0-9-]*=\"[^\"]*\")"), F.lit(1)), lambda a: a.rlike(keep)), lambda a: F.concat(F.lit(" "), a)), ""),
+                F.array_join(F.transform(F.filter(F.regexp_extract_all(t, F.lit(r"([a-zA-Z][a-zA-Z0-9-]*=\"[^\"]*\")"), F.lit(1)), lambda a: F.when(t.rlike(r"(?i)^<(pre|code)\b"), a.rlike(on_code)).otherwise(a.rlike(keep))), lambda a: F.concat(F.lit(" "), a)), ""),
                 F.when(t.endswith("/>"), "/>").otherwise(">"),
             ),
         ).otherwise(t),

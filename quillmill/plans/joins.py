@@ -139,14 +139,18 @@ def bilingual_zip(spark, sf_dir):
 
 
 @query("quote_candidate_pick", """
-    WITH s AS (SELECT conv_id, turn, text, (CASE WHEN text <> '' THEN 10000 ELSE 0 END) + (CASE WHEN contains(text, chr(10)) THEN 5000 ELSE 0 END) + 50 * (length(text) - length(replace(text, chr(10), '')) + 1) + 10 * length(text) + turn AS score FROM conversations)
-    SELECT conv_id, arg_max(turn, score * 1000000 - turn) AS turn, max(score) AS score FROM s GROUP BY conv_id""")
+    WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS a FROM conversations), b AS (SELECT conv_id, turn, unnest(a) AS text, unnest(generate_series(0, len(a) - 1)) AS pos FROM l),
+    k AS (SELECT *, CASE WHEN pos % 4 = 3 THEN 'image' ELSE 'paragraph' END AS kind, CASE (conv_id + 3 * turn + pos) % 7 WHEN 0 THEN 'original' WHEN 1 THEN 'spacer' WHEN 2 THEN 'translation' WHEN 3 THEN NULL ELSE 'normal' END AS role FROM b),
+    c AS (SELECT conv_id AS doc, turn AS candidate, count_if(kind <> 'image' AND trim(text) <> '') AS said, coalesce(bool_or(role IN ('original', 'translation')), false) AS two, coalesce(bool_or(role = 'spacer'), false) AS spaced, sum(length(regexp_replace(text, '\\s+', '', 'g'))) AS chars FROM k GROUP BY conv_id, turn),
+    s AS (SELECT *, CAST(CASE WHEN said > 0 THEN 10000 ELSE 0 END + CASE WHEN said > 1 THEN 5000 ELSE 0 END + CASE WHEN two THEN 2000 ELSE 0 END + CASE WHEN spaced THEN 1000 ELSE 0 END + said * 50 + chars * 10 + candidate % 5 * 100 AS BIGINT) AS score FROM c)
+    SELECT doc, candidate, score FROM s QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, candidate) = 1""")
 def quote_candidate_pick(spark, sf_dir):
-    text = F.col("text")
-    blocks = F.size(F.split(text, "\n"))
-    score = F.when(text != "", 10000).otherwise(0) + F.when(blocks > 1, 5000).otherwise(0) + blocks * 50 + F.length(text) * 10 + F.col("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", score.alias("score"))
-    return rows.groupBy("conv_id").agg(F.max_by("turn", F.col("score") * 1_000_000 - F.col("turn")).alias("turn"), F.max("score").alias("score"))
+    """The turns of a conversation as candidates, their lines as blocks."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("candidate"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    at = (F.col("doc") + 3 * F.col("candidate") + F.col("pos")) % 7
+    role = F.when(at == 0, "original").when(at == 1, "spacer").when(at == 2, "translation").when(at != 3, "normal")
+    kind = F.when(F.col("pos") % 4 == 3, "image").otherwise("paragraph")
+    return N.best_candidates(rows.select("doc", "candidate", (F.col("candidate") % 5 * 100).alias("priority"), kind.alias("kind"), role.alias("role"), "text"))
 
 
 ASSETS = "SELECT s_suppkey, s_name, concat('k', CAST(s_suppkey AS STRING)) AS map_key, concat('f', CAST(s_suppkey % 40 AS STRING)) AS file_uuid, CASE s_suppkey % 3 WHEN 0 THEN concat('https://a.example.com/', CAST(s_suppkey AS STRING)) ELSE '' END AS url FROM {supplier}"

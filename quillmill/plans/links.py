@@ -120,6 +120,27 @@ def image_src_pick(spark, sf_dir):
     return rows.select("page_id", url.alias("url"), kind.alias("kind"))
 
 
+#: Tags that name an image in each way, and in several.
+_LAZY = " ".join(f"WHEN {i} THEN concat(' {name}=\"https://l.example.com/', CAST(page_id AS STRING), '.jpg\"')" for i, name in enumerate(U.LAZY))
+TAGGED = f"""SELECT page_id, concat('<img', CASE page_id % 13 {_LAZY} WHEN 7 THEN ' data-src="data:image/gif;base64,AA" data-hires="https://h.example.com/x.png"' ELSE '' END, CASE page_id % 4 WHEN 0 THEN ' src="data:image/png;base64,AA"' WHEN 1 THEN concat(' src="', url, '"') ELSE '' END,
+  CASE page_id % 3 WHEN 0 THEN ' srcset="https://s.example.com/1.jpg 100w, https://s.example.com/2.jpg 300w"' WHEN 1 THEN ' data-srcset="https://d.example.com/9.jpg 2x"' ELSE '' END, ' alt="x">') AS tag FROM {{pages}}"""
+
+
+def _own(name: str) -> str:
+    return f"regexp_extract(tag, '(?i)\\s{name}\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
+
+
+_REAL = lambda x: f"CASE WHEN {x} <> '' AND NOT prefix({x}, 'data:') THEN {x} END"
+
+
+@query("image_tag_source", f"""
+    WITH t AS (SELECT page_id, tag, coalesce({', '.join(_REAL(_own(n)) for n in U.LAZY)}) AS lazy, {_REAL(_own('src'))} AS src, {_own('srcset')} AS a, {_own('data-srcset')} AS b FROM ({same(TAGGED)})),
+    s AS (SELECT *, CASE WHEN a <> '' THEN 'https://s.example.com/2.jpg' WHEN b <> '' THEN 'https://d.example.com/9.jpg' END AS sets FROM t)
+    SELECT page_id, coalesce(lazy, src, sets, '') AS url, CASE WHEN lazy IS NOT NULL THEN 'lazy' WHEN src IS NOT NULL THEN 'img' WHEN sets IS NOT NULL THEN 'srcset' ELSE 'none' END AS kind FROM s""")
+def image_tag_source(spark, sf_dir):
+    return derived(spark, sf_dir, TAGGED).select("page_id", U.image_source(F.col("tag")).alias("s")).select("page_id", "s.url", "s.kind")
+
+
 AVATAR = r"(?i)\bavatar\b|\bheadshot\b|\bportrait\b|\bprofile\s*(pic|photo|image|picture)\b|\bauthor\s*(photo|image|picture)\b"
 DECOR = r"(?i)\bbackground\b|\bsidecta\b|\bdecorative\b|\bbg[-_]?image\b|\bcta[-_]?(bg|background)\b"
 CLASSES = r"(?i)avatar|profile-pic|author-img|headshot|portrait|author|bio|user-icon|profile"

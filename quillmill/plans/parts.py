@@ -75,13 +75,19 @@ def html_safe_subset(spark, sf_dir):
     return derived(spark, sf_dir, MARKUP).select("page_id", P.safe_html(F.col("html")).alias("html"))
 
 
+#: Whole pages after markup with attributes of every kind.
+PRUNABLE = """SELECT page_id, concat('<div class="x" id="y" data-mowen-uid="u', CAST(page_id AS STRING), '"><img src="a.png" class="big" data-mowen-caption="c" alt="An image"/><pre class="p" id="q"><code class="language-js" data-lang="js" translate="no" data-x="1">x</code></pre><codex class="n"></codex></div>', html) AS html FROM {pages}"""
+
+
 @query("attr_prune", f"""
-    WITH t AS (SELECT page_id, regexp_extract_all(html, '<[^>]+>|[^<]+') AS a FROM (SELECT page_id, html FROM ({same(MARKUP)}))), x AS (SELECT page_id, unnest(a) AS t, unnest(generate_series(1, len(a))) AS i FROM t)
-    SELECT page_id, string_agg(CASE WHEN regexp_matches(t, '^<[a-zA-Z]') THEN concat(regexp_extract(t, '^<[a-zA-Z][a-zA-Z0-9]*'),
-      array_to_string(list_transform(list_filter(regexp_extract_all(t, '[a-zA-Z][a-zA-Z0-9-]*="[^"]*"'), lambda k: regexp_matches(k, '^({"|".join(P.KEPT_ATTRIBUTES)})=')), lambda k: ' ' || k), ''), CASE WHEN suffix(t, '/>') THEN '/>' ELSE '>' END) ELSE t END, '' ORDER BY i) AS html
-    FROM x GROUP BY page_id""")
+    WITH p AS ({same(PRUNABLE)}), t AS (SELECT page_id, regexp_extract_all(html, '<[^>]+>|[^<]+') AS a FROM p), x AS (SELECT page_id, unnest(a) AS t, unnest(generate_series(1, len(a))) AS i FROM t),
+    k AS (SELECT *, regexp_matches(t, '(?i)^<(pre|code)\\b') AS code FROM x),
+    o AS (SELECT page_id, string_agg(CASE WHEN regexp_matches(t, '^<[a-zA-Z]') THEN concat(regexp_extract(t, '^<[a-zA-Z][a-zA-Z0-9]*'), array_to_string(list_transform(list_filter(regexp_extract_all(t, '[a-zA-Z][a-zA-Z0-9-]*="[^"]*"'),
+        lambda k: regexp_matches(k, '^({"|".join(P.KEPT_ATTRIBUTES)})=') OR (code AND regexp_matches(k, '^({"|".join(P.CODE_ATTRIBUTES)})='))), lambda k: ' ' || k), ''), CASE WHEN suffix(t, '/>') THEN '/>' ELSE '>' END) ELSE t END, '' ORDER BY i) AS html FROM k GROUP BY page_id)
+    SELECT page_id, md5(o.html) AS html_md5, CAST(strlen(p.html) - strlen(o.html) AS BIGINT) AS bytes_saved FROM p JOIN o USING (page_id)""")
 def attr_prune(spark, sf_dir):
-    return derived(spark, sf_dir, MARKUP).select("page_id", P.prune_attributes(F.col("html")).alias("html"))
+    rows = derived(spark, sf_dir, PRUNABLE).withColumn("pruned", P.prune_attributes(F.col("html")))
+    return rows.select("page_id", F.md5("pruned").alias("html_md5"), (F.octet_length("html") - F.octet_length("pruned")).cast("long").alias("bytes_saved"))
 
 
 CLASSED = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'ads wide' WHEN 1 THEN 'body text' WHEN 2 THEN 'user-comment-list' WHEN 3 THEN 'ad' WHEN 4 THEN 'banner' ELSE 'adsense' END AS classes FROM {pages}"
