@@ -198,3 +198,17 @@ def image_source(tag: Column) -> Column:
     sets = F.coalesce(*[real(F.when(own(name) != "", srcset_best(own(name)))) for name in ("srcset", "data-srcset")])
     kind = F.when(lazy.isNotNull(), "lazy").when(src.isNotNull(), "img").when(sets.isNotNull(), "srcset").otherwise("none")
     return F.struct(F.coalesce(lazy, src, sets, F.lit("")).alias("url"), kind.alias("kind"))
+
+
+def match_keys(url: Column) -> Column:
+    """array<struct(tier, key)>: what two addresses of one image may have in common; any equal key of one tier makes them match.
+
+    The address, that without query and part, that without a width at its end, an id with a star, the longest part of the path
+    of over ten characters (the first of equally long ones), the file name of over five.
+    """
+    bare, path = F.regexp_replace(url, r"[?#].*$", ""), F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1)
+    star = F.regexp_extract(path, r"(\d\*[A-Za-z0-9_-]+)", 1)
+    long = F.aggregate(F.split(path, "/"), F.lit(""), lambda a, s: F.when((F.length(s) > 10) & (F.length(s) > F.length(a)), s).otherwise(a))
+    last = F.element_at(F.split(bare, "/"), -1)
+    keys = [url, bare, F.regexp_replace(bare, r"/\d{1,4}$", ""), star, long, F.when(F.length(last) > 5, last)]
+    return F.filter(F.array(*[F.struct(F.lit(i).alias("tier"), F.nullif(k, F.lit("")).alias("key")) for i, k in enumerate(keys)]), lambda k: k["key"].isNotNull())

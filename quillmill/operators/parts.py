@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import hard_end, heading_like, language, trimmed
+from quillmill.functions.urls import match_keys
 from quillmill.operators.sequences import first_of_each
 
 #: Attributes that markup keeps, and those that code keeps besides. Fixed values.
@@ -102,22 +103,22 @@ def merge_continued(segments: DataFrame) -> DataFrame:
 def image_actions(tags: DataFrame, results: DataFrame) -> DataFrame:
     """(page_id, ord, action, target) for tags (page_id, ord, image_id, url) and results (rank, image_id, url, uid).
 
-    A tag with an id takes the result of that id; another takes the first result that matches its address, exactly or
-    without query and fragment. Successes (rank 0) come before failures (1) and extras (2). Each way of matching is an
-    equi-join of its own; the best match is picked afterwards. A tag without a match stays as it is.
+    A tag with an id takes the result of that id; another takes the first result that matches its address in any way of
+    ``match_keys``. Successes (rank 0) come before failures (1) and extras (2), then smaller ids. A tag without a match stays.
+    Of the results of one key only the first can be taken, so each key keeps one before the join: a file name that many
+    images share makes no more rows than there are tags.
     """
-    bare = lambda c: F.regexp_replace(c, r"[?#].*$", "")
-    r = results.select(F.col("rank"), F.col("image_id").alias("r_id"), F.col("url").alias("r_url"), F.col("uid"))
-    named, other = tags.where("image_id is not null"), tags.where("image_id is null")
-    found = named.join(r, F.col("image_id") == F.col("r_id")).select("page_id", "ord", "rank", F.lit(0).alias("tier"), "r_id", "r_url", "uid")
-    for tier, key in ((1, lambda c: c), (2, bare)):
-        keyed = other.withColumn("_k", key(F.col("url")))
-        part = keyed.join(r.withColumn("_rk", key(F.col("r_url"))), F.col("_k") == F.col("_rk"))
-        found = found.unionByName(part.select("page_id", "ord", "rank", F.lit(tier).alias("tier"), "r_id", "r_url", "uid"))
-    best = first_of_each(found, ["page_id", "ord"], ["rank", "tier", "r_id"]).select(F.col("page_id").alias("_p"), F.col("ord").alias("_o"), "rank", "r_url", "uid")
+    r = results.select("rank", F.col("image_id").alias("r_id"), F.col("url").alias("r_url"), "uid")
+    by_id = r.select(F.lit(-1).alias("r_tier"), F.col("r_id").alias("r_key"), "rank", "r_id", "r_url", "uid")
+    by_url = r.select(F.inline(match_keys(F.col("r_url"))).alias("r_tier", "r_key"), "rank", "r_id", "r_url", "uid")
+    firsts = first_of_each(by_id.unionByName(by_url), ["r_tier", "r_key"], ["rank", "r_id"])
+    own = F.array(F.struct(F.lit(-1).alias("tier"), F.col("image_id").alias("key")))
+    asked = tags.select("page_id", "ord", F.inline(F.when(F.col("image_id").isNotNull(), own).otherwise(match_keys(F.col("url")))))
+    found = asked.join(firsts, (F.col("tier") == F.col("r_tier")) & (F.col("key") == F.col("r_key")))
+    best = found.groupBy(F.col("page_id").alias("_p"), F.col("ord").alias("_o")).agg(F.min(F.struct("rank", "r_id", "r_url", "uid")).alias("b"))
     out = tags.join(best, (F.col("page_id") == F.col("_p")) & (F.col("ord") == F.col("_o")), "left")
-    action = F.when(F.col("rank").isNull(), "keep").when(F.col("rank") == 0, "inject").otherwise("link")
-    return out.select("page_id", "ord", action.alias("action"), F.coalesce(F.when(F.col("rank") == 0, F.col("uid")), "r_url", F.col("url")).alias("target"))
+    action = F.when(F.col("b").isNull(), "keep").when(F.col("b.rank") == 0, "inject").otherwise("link")
+    return out.select("page_id", "ord", action.alias("action"), F.coalesce(F.when(F.col("b.rank") == 0, F.col("b.uid")), "b.r_url", F.col("url")).alias("target"))
 
 
 def safe_html(c: Column) -> Column:

@@ -49,17 +49,25 @@ def continuation_merge(spark, sf_dir):
     return P.merge_continued(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), "text"))
 
 
-TAGS = """SELECT o_custkey AS page_id, o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN concat('i', CAST(o_orderkey % 25000 AS STRING)) END AS image_id,
-  concat('https://i.example.com/', CAST(o_orderkey % 30000 AS STRING), '.jpg', CASE WHEN o_orderkey % 2 = 0 THEN '?w=1' ELSE '' END) AS url FROM {orders}"""
-RESULTS = """SELECT p_partkey % 3 AS rank, concat('i', CAST(p_partkey AS STRING)) AS image_id, concat('https://i.example.com/', CAST(p_partkey AS STRING), '.jpg') AS url, concat('u', CAST(p_partkey AS STRING)) AS uid FROM {part}"""
+TAGS = """SELECT page_id, ord, image_id, CASE k % 4 WHEN 0 THEN concat(host, '/', CAST(k AS STRING), '.jpg', query) WHEN 1 THEN concat('https://i.example.com/a/', CAST(k AS STRING), '/640', query) WHEN 2 THEN concat(host, '/v2/resize/1*', CAST(k AS STRING), 'xyz.png')
+  ELSE concat(host, '/a-photo-of-something-', CAST(k AS STRING), '/y.png', query) END AS url FROM (SELECT o_custkey AS page_id, o_orderkey AS ord, CASE WHEN o_orderkey % 5 = 0 THEN concat('i', CAST(o_orderkey % 25000 AS STRING)) END AS image_id, o_orderkey % 30000 AS k,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'https://j.example.com' ELSE 'https://i.example.com' END AS host, CASE WHEN o_orderkey % 2 = 0 THEN '?w=1#x' ELSE '' END AS query FROM {orders})"""
+RESULTS = """SELECT p_partkey % 3 AS rank, concat('i', CAST(p_partkey AS STRING)) AS image_id, CASE k % 4 WHEN 0 THEN concat('https://i.example.com/', CAST(k AS STRING), '.jpg') WHEN 1 THEN concat('https://i.example.com/a/', CAST(k AS STRING), '/320') WHEN 2 THEN concat('https://i.example.com/v2/1*', CAST(k AS STRING), 'xyz.png')
+  ELSE concat('https://i.example.com/a-photo-of-something-', CAST(k AS STRING), '/x.png') END AS url, concat('u', CAST(p_partkey AS STRING)) AS uid FROM (SELECT p_partkey, p_partkey - p_partkey % 9 % 2 AS k FROM {part})"""
+
+
+def _keys(rows: str, url: str, columns: str) -> str:
+    bare, path = f"regexp_replace({url}, '[?#].*$', '')", f"regexp_extract({url}, '^https?://[^/?#]*([^?#]*)', 1)"
+    star, last = f"regexp_extract({path}, '(\\d\\*[A-Za-z0-9_-]+)', 1)", f"string_split({bare}, '/')[-1]"
+    long = f"list_reduce(list_prepend('', string_split({path}, '/')), lambda a, x: CASE WHEN length(x) > 10 AND length(x) > length(a) THEN x ELSE a END)"
+    keys = [url, bare, f"regexp_replace({bare}, '/\\d{{1,4}}$', '')", star, long, f"CASE WHEN length({last}) > 5 THEN {last} ELSE '' END"]
+    return " UNION ALL ".join(f"SELECT {columns}, {i} AS tier, {k} AS key FROM {rows}" for i, k in enumerate(keys))
 
 
 @query("image_result_join", f"""
-    WITH t AS ({same(TAGS)}), r AS ({same(RESULTS)}),
-    m AS (SELECT t.page_id, t.ord, r.rank, 0 AS tier, r.image_id, r.url, r.uid FROM t JOIN r ON t.image_id = r.image_id
-      UNION ALL SELECT t.page_id, t.ord, r.rank, 1, r.image_id, r.url, r.uid FROM t JOIN r ON t.image_id IS NULL AND t.url = r.url
-      UNION ALL SELECT t.page_id, t.ord, r.rank, 2, r.image_id, r.url, r.uid FROM t JOIN r ON t.image_id IS NULL AND regexp_replace(t.url, '[?#].*$', '') = regexp_replace(r.url, '[?#].*$', '')),
-    b AS (SELECT *, row_number() OVER (PARTITION BY page_id, ord ORDER BY rank, tier, image_id) AS n FROM m)
+    WITH t AS ({same(TAGS)}), r AS ({same(RESULTS)}), rk AS ({_keys('r', 'url', 'rank, image_id, url, uid')}), tk AS ({_keys('(SELECT * FROM t WHERE image_id IS NULL)', 'url', 'page_id, ord')}),
+    m AS (SELECT t.page_id, t.ord, r.rank, r.image_id, r.url, r.uid FROM t JOIN r ON t.image_id = r.image_id UNION ALL SELECT tk.page_id, tk.ord, rk.rank, rk.image_id, rk.url, rk.uid FROM tk JOIN rk ON tk.tier = rk.tier AND tk.key = rk.key AND tk.key <> ''),
+    b AS (SELECT *, row_number() OVER (PARTITION BY page_id, ord ORDER BY rank, image_id) AS n FROM m)
     SELECT t.page_id, t.ord, CASE WHEN b.rank IS NULL THEN 'keep' WHEN b.rank = 0 THEN 'inject' ELSE 'link' END AS action, coalesce(CASE WHEN b.rank = 0 THEN b.uid END, b.url, t.url) AS target
     FROM t LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON t.page_id = b.page_id AND t.ord = b.ord""")
 def image_result_join(spark, sf_dir):
