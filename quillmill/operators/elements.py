@@ -40,6 +40,10 @@ JUNK = [
     ".video_speed", ".video_share", ".video_replay", ".video_attention", ".profile_info_area", ".profile_meta", ".wx_follow_btn", ".js_share_content",
     '[class*="follow"]', '[class*="subscribe"]', 'iframe:not([src*="mp.weixin"])',
 ]
+#: Who wrote a page, and when; best first.
+#: Fixed values.
+AUTHORS = ['[rel="author"]', ".author", ".byline", '[itemprop="author"]', ".post-author"]
+TIMES = ["time[datetime]", '[itemprop="datePublished"]', ".published", ".post-date", ".date"]
 #: Text from which a region is taken for the article. Fixed value.
 ENOUGH = 200
 
@@ -144,3 +148,28 @@ def main_region(pages: DataFrame, key: str, html: str, selectors: list[str] | No
     rows = rows.join(chosen, F.col(key) == F.col("of"), "left").where(F.col("c").isNull() | F.col("pos").between(F.col("c.pos"), F.col("c.until")))
     region = rows.groupBy(key).agg(F.first("c.rank").alias("rank"), _html().alias("html"))
     return pages.select(key).join(region, key, "left").select(key, "rank", F.coalesce("html", F.lit("")).alias("html"))
+
+
+def first_elements(pages: DataFrame, key: str, html: str, selectors: list[str]) -> DataFrame:
+    """(key, rank, tag, text): the first element of each selector that a page has one of, with its trimmed text."""
+    rows = elements(tokens(pages, key, html), key)
+    opening = (F.col("name") != "") & ~F.col("closing")
+    ranks = F.array_compact(F.array(*[F.when(matches(s, F.col("token"), F.col("name")), F.lit(i)) for i, s in enumerate(selectors)]))
+    found = rows.where(opening).withColumn("rank", F.explode(ranks)).groupBy(key, "rank").agg(F.min_by(F.struct("pos", "until", "token"), "pos").alias("e"))
+    texts = rows.where("name = ''").select(F.col(key).alias("of"), "pos", "token")
+    inside = found.join(texts, (F.col(key) == F.col("of")) & F.col("pos").between(F.col("e.pos"), F.col("e.until")), "left")
+    out = inside.groupBy(key, "rank").agg(F.first("e.token").alias("tag"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: F.coalesce(x["token"], F.lit(""))), "").alias("text"))
+    return out.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+
+
+def author_and_time(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, author, published): the text of the first of ``AUTHORS`` that has any; of the first of ``TIMES`` that there is, its
+    datetime, else its text. '' if there is none."""
+    found = first_elements(pages, key, html, [*AUTHORS, *TIMES])
+    n = len(AUTHORS)
+    said = F.coalesce(F.nullif(attribute(F.col("tag"), "datetime"), F.lit("")), F.col("text"))
+    picked = found.groupBy(key).agg(
+        F.min_by("text", F.when((F.col("rank") < n) & (F.col("text") != ""), F.col("rank"))).alias("author"),
+        F.min_by(said, F.when(F.col("rank") >= n, F.col("rank"))).alias("published"),
+    )
+    return pages.select(key).join(picked, key, "left").select(key, F.coalesce("author", F.lit("")).alias("author"), F.coalesce("published", F.lit("")).alias("published"))

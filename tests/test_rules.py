@@ -53,7 +53,7 @@ def test_packing_is_greedy(spark):
 
 def test_slots_keep_their_distance(spark):
     rows = spark.createDataFrame([(1, i, a) for i, a in enumerate([0, 100, 5000, 5001, 5002])], "k int, i int, at long")
-    assert [r["start"] for r in S.slots(rows, "k", ["i"], "at", 1100).orderBy("i").collect()] == [0, 1100, 5000, 6100, 7200]
+    assert [r["start"] for r in S.slots(rows, ["at", "i"], "at", 1100, block=1000).orderBy("i").collect()] == [0, 1100, 5000, 6100, 7200]
 
 
 def test_throttle(spark):
