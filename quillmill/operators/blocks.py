@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import title_key, trimmed
-from quillmill.functions.urls import absolute
+from quillmill.functions.urls import absolute, then
 
 #: Tags at which a block begins or ends. Fixed values.
 BLOCK_TAGS = "p div section article main aside header footer figure figcaption tr td th ul ol li blockquote pre h1 h2 h3 h4 h5 h6 hr".split()
@@ -167,15 +167,18 @@ def marker_units(text: Column) -> Column:
     are set off at once, and those places stay that qualify.
     """
     line = trimmed(text)
-    parts = F.split(F.regexp_replace(line, f"{INLINE_MARKER}\\s+", "\x01$0"), "\x01")
-    hard = F.transform(parts, lambda p, i: (i < F.size(parts) - 1) & (p != "") & p.rlike(HARD_STOP))
-    first = F.when(line.rlike(f"^{INLINE_MARKER}"), 0).otherwise(F.array_position(hard, True))  # 0: none, or from the start
-    listed = line.rlike(f"^{INLINE_MARKER}") | (F.array_position(hard, True) > 0)
-    opens = lambda i: F.when(i == 0, False).otherwise(
-        F.get(hard, i - 1) | (listed & (i > first) & F.coalesce(F.get(parts, i - 1).rlike(r"\s$"), F.lit(False)))
-    )
-    units = F.split(F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(opens(i), "\x02").otherwise(""), p)), ""), "\x02")
-    return F.filter(F.transform(units, trimmed), lambda u: u != "")
+    split = F.split(F.regexp_replace(line, f"{INLINE_MARKER}\\s+", "\x01$0"), "\x01")
+    hard = lambda parts: F.transform(parts, lambda p, i: (i < F.size(parts) - 1) & (p != "") & p.rlike(HARD_STOP))
+    # from which place on white space is enough: from the start, or after the first cut
+    first = lambda stops: F.when(line.rlike(f"^{INLINE_MARKER}"), 0).otherwise(F.nullif(F.array_position(stops, True), F.lit(0)))
+
+    def units(parts: Column, stops: Column, listed: Column) -> Column:
+        opens = lambda i: F.get(stops, i - 1) | F.coalesce((i > listed) & F.get(parts, i - 1).rlike(r"\s$"), F.lit(False))
+        marked = F.transform(parts, lambda p, i: F.concat(F.when((i > 0) & opens(i), "\x02").otherwise(""), p))
+        return F.split(F.array_join(marked, ""), "\x02")
+
+    cut = then(split, lambda parts: then(hard(parts), lambda stops: then(first(stops), lambda listed: units(parts, stops, listed))))
+    return F.filter(F.transform(cut, trimmed), lambda u: u != "")
 
 
 #: Warnings of an import in the order they are told, with their levels. Fixed values.
