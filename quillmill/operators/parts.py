@@ -126,6 +126,30 @@ def safe_html(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?i)javascript:", ""), r"(?i)\s+on\w+\s*=", " data-removed=")
 
 
+#: Tags and attributes that imported html may have. Fixed values.
+SAFE_TAGS = (
+    "a blockquote br code del div em figcaption figure h1 h2 h3 h4 h5 h6 hr img li ol p pre mark span strong sub sup ul"
+).split()
+SAFE_ATTRIBUTES = ["alt", "class", "data-mowen-caption", "data-mowen-id", "href", "rel", "src", "target", "title"]
+#: What goes with all that is in it or to it, and how an attribute looks. Fixed values.
+UNSAFE = [r"(?is)<script\b.*?</script>|<style\b.*?</style>", r"(?i)\son[a-z]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", r"(?i)\s(?:href|src)\s*=\s*(?:\"\s*javascript:[^\"]*\"|'\s*javascript:[^']*')"]
+ATTRIBUTE = r"\s([A-Za-z:-]+)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
+
+
+def allowed_html(c: Column) -> Column:
+    """Html with the tags and attributes of an import alone: scripts and styles go whole, other tags leave their content."""
+    for pattern in UNSAFE:
+        c = F.regexp_replace(c, pattern, "")
+    others = rf"(?i)(?!\s(?:{'|'.join(SAFE_ATTRIBUTES)})\s*=){ATTRIBUTE}"
+
+    def kept(token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z0-9-]+)", 1))
+        closing = F.concat(F.lit("</"), name, F.lit(">"))
+        return F.when(name == "", token).when(~name.isin(SAFE_TAGS), "").when(token.startswith("</"), closing).otherwise(F.regexp_replace(token, others, ""))
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(</?[A-Za-z0-9-]+(?:\s[^>]*)?>|<|[^<]+)"), F.lit(1)), lambda t: F.when(t.startswith("<"), kept(t)).otherwise(t)), "")
+
+
 def prune_attributes(c: Column) -> Column:
     """Markup without attributes but those that are kept, more of them on pre and code; what counts is name=\"value\" inside tags."""
     tags = F.regexp_extract_all(c, F.lit(r"(<[^>]+>|[^<]+)"), F.lit(1))

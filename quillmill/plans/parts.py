@@ -155,3 +155,19 @@ def title_resolve(spark, sf_dir):
     front = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Front "), F.col("page_id").cast("string"))).otherwise("")
     candidates = [front, F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>([^<]*)", 1))]
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], F.lit("Untitled")).alias("title"))
+
+
+IMPORTABLE = """SELECT page_id, CASE page_id % 4 WHEN 3 THEN concat('<p class="plain">plain ', CAST(page_id AS STRING), '</p>') ELSE concat('<DIV class="x" id="y" ONCLICK="go()" data-mowen-id=7><a href="javascript:go()" target="_blank" data-x="1">l</a><a href=''https://example.com'' rel="r">m</a><section><p style="color:red" title=t>1 < 2</p></section><input disabled value="v"/></DIV><style>p {{ }}</style>', html) END AS html FROM {pages}"""
+_SAFE = "regexp_replace(" * len(P.UNSAFE) + "html" + "".join(", '{}', '', 'g')".format(p.replace("'", "''")) for p in P.UNSAFE)
+_ATTRIBUTE = P.ATTRIBUTE.replace("'", "''")
+
+
+@query("html_allow_list", f"""
+    WITH p AS ({same(IMPORTABLE)}), a AS (SELECT page_id, regexp_extract_all({_SAFE}, '</?[A-Za-z0-9-]+(?:\\s[^>]*)?>|<|[^<]+') AS a FROM p), u AS (SELECT page_id, unnest(a) AS t, unnest(generate_series(1, len(a))) AS i FROM a),
+    n AS (SELECT *, CASE WHEN prefix(t, '<') THEN lower(regexp_extract(t, '^</?([A-Za-z0-9-]+)', 1)) ELSE '' END AS name FROM u),
+    k AS (SELECT page_id, i, CASE WHEN name = '' THEN t WHEN name NOT IN ({', '.join(f"'{t}'" for t in P.SAFE_TAGS)}) THEN '' WHEN prefix(t, '</') THEN concat('</', name, '>')
+      ELSE list_reduce(list_prepend(t, list_filter(regexp_extract_all(t, '{_ATTRIBUTE}', 0), lambda m: lower(regexp_extract(m, '^\\s([A-Za-z:-]+)', 1)) NOT IN ({', '.join(f"'{t}'" for t in P.SAFE_ATTRIBUTES)}))), lambda x, m: replace(x, m, '')) END AS t FROM n),
+    o AS (SELECT page_id, string_agg(t, '' ORDER BY i) AS safe FROM k GROUP BY page_id) SELECT page_id, md5(safe) AS html_md5, safe <> html AS sanitized FROM p JOIN o USING (page_id)""")
+def html_allow_list(spark, sf_dir):
+    rows = derived(spark, sf_dir, IMPORTABLE).withColumn("safe", P.allowed_html(F.col("html")))
+    return rows.select("page_id", F.md5("safe").alias("html_md5"), (F.col("safe") != F.col("html")).alias("sanitized"))
