@@ -112,12 +112,16 @@ def list_votes(items: DataFrame) -> DataFrame:
 
 
 def longform(segments: DataFrame) -> DataFrame:
-    """(doc, kind) of posts (doc, pos, role, text): tweet or tweet-longform."""
-    rows = segments.where((F.col("role") != "spacer") & (trimmed(F.col("text")) != ""))
-    long = F.length(title_candidate(F.col("text"))) >= 40
-    counted = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("long"), F.sum(F.length("text") + 2).alias("chars"), F.countDistinct("role").alias("roles"))
+    """(doc, kind) of posts (doc, pos, role, text, draft): x-article if any row says that it is a draft of one, else
+    tweet-longform or tweet by what isn't blank or a spacer. Without a column draft no post is one."""
+    draft = F.coalesce(F.max("draft"), F.lit(False)) if "draft" in segments.columns else F.lit(False)
+    said = F.coalesce((F.col("role") != "spacer") & (trimmed(F.col("text")) != ""), F.lit(False))
+    long = said & (F.length(title_candidate(F.col("text"))) >= 40)
+    counted = segments.groupBy("doc").agg(
+        F.count_if(said).alias("n"), F.count_if(long).alias("long"), F.sum(F.when(said, F.length("text") + 2)).alias("chars"), F.countDistinct(F.when(said, F.col("role"))).alias("roles"), draft.alias("draft")
+    )
     shape = (F.col("n") >= 4) & (F.col("long") >= 4) & ((F.col("roles") >= 2) | (F.col("chars") - 2 >= 500) | (F.col("long") >= 6))
-    return counted.select("doc", F.when(shape, "tweet-longform").otherwise("tweet").alias("kind"))
+    return counted.select("doc", F.when(F.col("draft"), "x-article").when(shape, "tweet-longform").otherwise("tweet").alias("kind"))
 
 
 def space_groups(segments: DataFrame) -> DataFrame:

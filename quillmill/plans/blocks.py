@@ -159,14 +159,16 @@ def keyword_split(spark, sf_dir):
     return parts.select("page_id", "pos", trimmed(F.col("p")).alias("part")).where("part <> ''")
 
 
-LINKED = "SELECT page_id, concat('See ', url, ' and (https://example.com/a?b=', CAST(page_id AS STRING), ') or ', url, '.') AS line FROM {pages}"
+LINKED = """SELECT page_id, concat('See ', url, ' and (https://example.com/a?b=', CAST(page_id AS STRING), ') or <A class="l" href="', url, '">', url, ' <b>b</b></a>', CASE page_id % 3 WHEN 0 THEN ' <a href="x">https://in.example.com' WHEN 1 THEN '<abbr>https://abbr.example.com</abbr>' ELSE '' END, url, '.') AS line FROM {pages}"""
 
 
 @query("inline_links", f"""
-    WITH s AS (SELECT page_id, regexp_extract_all(line, 'https?://[^\\s<>"'')\\]]+') AS a FROM ({same(LINKED)}))
+    WITH s AS (SELECT page_id, regexp_extract_all(regexp_replace(line, '(?is)<a(?:\\s[^>]*)?>.*?</a>', ' ', 'g'), 'https?://[^\\s<>"'')\\]]+') AS a FROM ({same(LINKED)}))
     SELECT page_id, unnest(generate_series(0, len(a) - 1)) AS ord, unnest(a) AS url FROM s""")
 def inline_links(spark, sf_dir):
-    return derived(spark, sf_dir, LINKED).select("page_id", F.posexplode(F.regexp_extract_all("line", F.lit(r"(https?://[^\s<>\"')\]]+)"), F.lit(1))).alias("ord", "url"))
+    """Addresses in a text, but for those inside links."""
+    free = F.regexp_replace("line", r"(?is)<a(?:\s[^>]*)?>.*?</a>", " ")
+    return derived(spark, sf_dir, LINKED).select("page_id", F.posexplode(F.regexp_extract_all(free, F.lit(r"(https?://[^\s<>\"')\]]+)"), F.lit(1))).alias("ord", "url"))
 
 
 FRONT = """SELECT page_id, concat('---', chr(10), 'title: Page ', CAST(page_id AS STRING), chr(10), 'tags: a, b', chr(10), CASE WHEN page_id % 2 = 0 THEN concat('draft: yes', chr(10)) ELSE '' END,

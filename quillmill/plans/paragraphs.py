@@ -105,10 +105,13 @@ def list_is_technical(spark, sf_dir):
 
 
 @query("longform_class", f"""
-    WITH c AS (SELECT conv_id AS doc, count(*) AS n, count_if(length({candidate('text')}) >= 40) AS long, sum(length(text) + 2) - 2 AS chars, count(DISTINCT role) AS roles FROM conversations WHERE {ws('text')} <> '' GROUP BY conv_id)
-    SELECT doc, CASE WHEN n >= 4 AND long >= 4 AND (roles >= 2 OR chars >= 500 OR long >= 6) THEN 'tweet-longform' ELSE 'tweet' END AS kind FROM c""")
+    WITH t AS (SELECT conv_id AS doc, CASE WHEN (conv_id + turn) % 6 = 0 THEN 'spacer' ELSE role END AS role, text, conv_id % 7 = 3 AND turn % 2 = 1 AS draft FROM conversations), k AS (SELECT *, role <> 'spacer' AND {ws('text')} <> '' AS said FROM t),
+    c AS (SELECT doc, count_if(said) AS n, count_if(said AND length({candidate('text')}) >= 40) AS long, sum(CASE WHEN said THEN length(text) + 2 ELSE 0 END) - 2 AS chars, count(DISTINCT CASE WHEN said THEN role END) AS roles, bool_or(draft) AS draft FROM k GROUP BY doc)
+    SELECT doc, CASE WHEN draft THEN 'x-article' WHEN n >= 4 AND long >= 4 AND (roles >= 2 OR chars >= 500 OR long >= 6) THEN 'tweet-longform' ELSE 'tweet' END AS kind FROM c""")
 def longform_class(spark, sf_dir):
-    return P.longform(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), "role", "text"))
+    rows = table(spark, sf_dir, "conversations").withColumn("role", F.when((F.col("conv_id") + F.col("turn")) % 6 == 0, "spacer").otherwise(F.col("role")))
+    draft = (F.col("conv_id") % 7 == 3) & (F.col("turn") % 2 == 1)
+    return P.longform(rows.select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), "role", "text", draft.alias("draft")))
 
 
 @query("han_latin_spacing", f"""
