@@ -8,6 +8,7 @@ from quillmill.functions import text as T
 from quillmill.operators import paragraphs as G
 from quillmill.operators import parts as P
 from quillmill.plans.registry import Registry, derived, same, table
+from quillmill.plans.texts import HAN, LATIN, count, kind, ws
 
 registry = Registry()
 query = registry.add
@@ -44,9 +45,24 @@ def split_oversize_code(spark, sf_dir):
     return P.split_code(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", CODE_LIMIT)
 
 
-@query("continuation_merge")
+SEGMENTS = """SELECT conv_id AS doc, turn AS pos, CASE (conv_id + turn) % 9 WHEN 0 THEN concat('- ', text) WHEN 1 THEN '中文句子没有结束但是还有很多字在这里' WHEN 2 THEN '继续写下去，' WHEN 3 THEN concat(text, '!') WHEN 4 THEN 'A Heading Here' WHEN 5 THEN ' ' ELSE text END AS text FROM {conversations}"""
+
+
+def _continued_sql() -> str:
+    heading = f"""((kb = 'english' AND {count('cur', LATIN)} BETWEEN 1 AND 8 AND regexp_matches(cur, '^[A-Z0-9]')) OR (kb = 'chinese' AND {count('cur', HAN)} BETWEEN 1 AND 10 AND NOT regexp_matches(cur, '[，,]')))"""
+    hard = "regexp_matches(cur, '[。！？!?；;:：]$')"
+    return f"""
+    WITH RECURSIVE t AS (SELECT doc, pos, {ws('text')} AS text FROM ({same(SEGMENTS)})), s AS (SELECT doc, text, row_number() OVER (PARTITION BY doc ORDER BY pos, text) AS i FROM t WHERE text <> ''),
+    walk AS (SELECT doc, i, 0 AS part, text AS cur FROM s WHERE i = 1 UNION ALL
+      SELECT doc, i, CASE WHEN goes THEN part ELSE part + 1 END, CASE WHEN goes THEN concat(cur, CASE WHEN kb = 'english' OR (regexp_matches(cur, '[A-Za-z0-9]$') AND regexp_matches(text, '^[A-Za-z0-9]')) THEN ' ' ELSE '' END, text) ELSE text END
+      FROM (SELECT *, kb <> 'other' AND kb = {kind('text')} AND NOT {hard} AND NOT regexp_matches(text, '^([→➜•\\-–—*]|\\d+\\s*[-.:：)]|[A-Za-z]\\)|[A-Za-z]\\.)') AND NOT {heading} AS goes
+        FROM (SELECT s.doc, s.i, s.text, w.part, w.cur, {kind('w.cur')} AS kb FROM walk w JOIN s ON s.doc = w.doc AND s.i = w.i + 1)))
+    SELECT doc, part, arg_max(cur, i) AS text FROM walk GROUP BY doc, part"""
+
+
+@query("continuation_merge", _continued_sql())
 def continuation_merge(spark, sf_dir):
-    return P.merge_continued(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), "text"))
+    return P.merge_continued(derived(spark, sf_dir, SEGMENTS))
 
 
 TAGS = """SELECT page_id, ord, image_id, CASE k % 4 WHEN 0 THEN concat(host, '/', CAST(k AS STRING), '.jpg', query) WHEN 1 THEN concat('https://i.example.com/a/', CAST(k AS STRING), '/640', query) WHEN 2 THEN concat(host, '/v2/resize/1*', CAST(k AS STRING), 'xyz.png')
