@@ -129,3 +129,17 @@ def best_candidates(blocks: DataFrame) -> DataFrame:
     scored = blocks.groupBy("doc", "candidate").agg(score.alias("score"))
     best = F.max_by(F.struct("candidate", "score"), F.struct("score", -F.col("candidate"))).alias("b")
     return scored.groupBy("doc").agg(best).select("doc", "b.candidate", F.col("b.score").cast("long").alias("score"))
+
+
+def resolve_assets(wanted: DataFrame, assets: DataFrame, base: str) -> DataFrame:
+    """The rows of ``wanted`` (ref, ...) whose ref is an asset's, with asset and url instead of ref.
+
+    ``assets``: asset, map_key, file_uuid, uuid, url, wide. A ref is looked up as a map key, else a file's, else an asset's own
+    id, smaller assets first. The wide form's address is taken if it is one of the web, else the plain one's, else ``base`` and
+    the asset. Of the assets of one key only the first is joined, so a key that many share makes no more rows.
+    """
+    keys = assets.select("asset", "url", "wide", F.posexplode(F.array("map_key", "file_uuid", "uuid")).alias("rank", "key")).where("key is not null")
+    keys = first_of_each(keys, ["key"], ["rank", "asset"])
+    web = lambda c: F.when(F.col(c).rlike("^https?://"), F.col(c))
+    found = wanted.join(keys, F.col("ref") == F.col("key"))
+    return found.select(*[c for c in wanted.columns if c != "ref"], "asset", F.coalesce(web("wide"), web("url"), F.concat(F.lit(base), F.col("asset").cast("string"))).alias("url"))

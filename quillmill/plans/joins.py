@@ -153,20 +153,17 @@ def quote_candidate_pick(spark, sf_dir):
     return N.best_candidates(rows.select("doc", "candidate", (F.col("candidate") % 5 * 100).alias("priority"), kind.alias("kind"), role.alias("role"), "text"))
 
 
-ASSETS = "SELECT s_suppkey, s_name, concat('k', CAST(s_suppkey AS STRING)) AS map_key, concat('f', CAST(s_suppkey % 40 AS STRING)) AS file_uuid, CASE s_suppkey % 3 WHEN 0 THEN concat('https://a.example.com/', CAST(s_suppkey AS STRING)) ELSE '' END AS url FROM {supplier}"
-WANTED = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat('k', CAST(p_partkey % 150 AS STRING)) WHEN 1 THEN concat('f', CAST(p_partkey % 60 AS STRING)) ELSE 'none' END AS ref FROM {part}"
+ASSETS = """SELECT s_suppkey AS asset, concat('k', CAST(s_suppkey AS STRING)) AS map_key, concat('f', CAST(s_suppkey % 40 AS STRING)) AS file_uuid, concat('u', CAST(s_suppkey AS STRING)) AS uuid,
+  CASE s_suppkey % 3 WHEN 0 THEN concat('https://a.example.com/', CAST(s_suppkey AS STRING)) WHEN 1 THEN 'ftp://a.example.com/x' ELSE '' END AS url, CASE s_suppkey % 4 WHEN 0 THEN concat('http://w.example.com/', CAST(s_suppkey AS STRING)) WHEN 1 THEN 'relative.png' END AS wide FROM {supplier}"""
+WANTED = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('k', CAST(p_partkey % 150 AS STRING)) WHEN 1 THEN concat('f', CAST(p_partkey % 60 AS STRING)) WHEN 2 THEN concat('u', CAST(p_partkey % 130 AS STRING)) ELSE 'none' END AS ref FROM {part}"
 
 
 @query("asset_resolve", f"""
-    WITH k AS (SELECT map_key AS key, 0 AS rank, s_suppkey, url FROM ({same(ASSETS)}) UNION ALL SELECT file_uuid, 1, s_suppkey, url FROM ({same(ASSETS)})),
-    n AS (SELECT p_partkey, s_suppkey, url, row_number() OVER (PARTITION BY p_partkey ORDER BY rank, s_suppkey) AS n FROM ({same(WANTED)}) JOIN k ON ref = key)
-    SELECT p_partkey, s_suppkey, CASE WHEN prefix(url, 'http') THEN url ELSE concat('https://assets.example.com/', s_suppkey) END AS url FROM n WHERE n = 1""")
+    WITH a AS ({same(ASSETS)}), k AS (SELECT map_key AS key, 0 AS rank, * FROM a UNION ALL SELECT file_uuid, 1, * FROM a UNION ALL SELECT uuid, 2, * FROM a),
+    n AS (SELECT p_partkey, asset, url, wide, row_number() OVER (PARTITION BY p_partkey ORDER BY rank, asset) AS n FROM ({same(WANTED)}) JOIN k ON ref = key)
+    SELECT p_partkey, asset, CASE WHEN regexp_matches(wide, '^https?://') THEN wide WHEN regexp_matches(url, '^https?://') THEN url ELSE concat('https://assets.example.com/', asset) END AS url FROM n WHERE n = 1""")
 def asset_resolve(spark, sf_dir):
-    from quillmill.operators.sequences import first_of_each
-
-    keys = derived(spark, sf_dir, ASSETS).select("s_suppkey", "url", F.posexplode(F.array("map_key", "file_uuid")).alias("rank", "key"))
-    found = first_of_each(derived(spark, sf_dir, WANTED).join(keys, F.col("ref") == F.col("key")), ["p_partkey"], ["rank", "s_suppkey"])
-    return found.select("p_partkey", "s_suppkey", F.when(F.col("url").startswith("http"), F.col("url")).otherwise(F.concat(F.lit("https://assets.example.com/"), F.col("s_suppkey").cast("string"))).alias("url"))
+    return N.resolve_assets(derived(spark, sf_dir, WANTED), derived(spark, sf_dir, ASSETS), "https://assets.example.com/")
 
 
 NODES = """SELECT o_orderkey AS note, concat('<q cite="https://notes.example.com/detail/cite', CAST(o_orderkey % 100 AS STRING), '?a" uuid="quote', CAST(o_custkey AS STRING), '"></q><p data-note-uuid="data-', CAST(o_orderkey AS STRING), '"></p><note id="1" uuid="abc', CAST(o_orderkey AS STRING), '"></note>',
