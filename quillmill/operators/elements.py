@@ -44,6 +44,9 @@ JUNK = [
 #: Fixed values.
 AUTHORS = ['[rel="author"]', ".author", ".byline", '[itemprop="author"]', ".post-author"]
 TIMES = ["time[datetime]", '[itemprop="datePublished"]', ".published", ".post-date", ".date"]
+#: Inline marks by tag, and by what a style says. Fixed values.
+MARKS = {"strong": "bold", "b": "bold", "em": "italic", "i": "italic", "mark": "highlight", "a": "link", "code": "code"}
+STYLES = {"bold": r"(?i)font-weight\s*:\s*(bold|[7-9]00)", "italic": r"(?i)font-style\s*:\s*italic"}
 #: Text from which a region is taken for the article. Fixed value.
 ENOUGH = 200
 
@@ -173,3 +176,17 @@ def author_and_time(pages: DataFrame, key: str, html: str) -> DataFrame:
         F.min_by(said, F.when(F.col("rank") >= n, F.col("rank"))).alias("published"),
     )
     return pages.select(key).join(picked, key, "left").select(key, F.coalesce("author", F.lit("")).alias("author"), F.coalesce("published", F.lit("")).alias("published"))
+
+
+def mark_spans(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, text, marks): texts of a page that have inline marks, with each mark once, sorted.
+
+    A text has the marks of all elements that it is in: those of their tags and of their styles. Blank texts are left out.
+    """
+    rows = elements(tokens(pages, key, html), key)
+    of_tag = F.coalesce(*[F.when(F.col("name") == tag, F.lit(mark)) for tag, mark in MARKS.items()])
+    styled = [F.when(attribute(F.col("token"), "style").rlike(pattern), F.lit(mark)) for mark, pattern in STYLES.items()]
+    marked = rows.where((F.col("name") != "") & ~F.col("closing")).select(F.col(key).alias("of"), F.col("pos").alias("begin"), "until", F.explode(F.array_compact(F.array(of_tag, *styled))).alias("mark"))
+    texts = rows.where("name = '' AND trim(token) <> ''").select(key, "pos", F.col("token").alias("text"))
+    found = texts.join(marked, (F.col(key) == F.col("of")) & F.col("pos").between(F.col("begin"), F.col("until")))
+    return found.groupBy(key, "pos").agg(F.first("text").alias("text"), F.array_sort(F.collect_set("mark")).alias("marks"))

@@ -89,3 +89,19 @@ SIGNED = """SELECT page_id, concat(CASE page_id % 11 WHEN 0 THEN '<a href="/u" r
     SELECT page_id, coalesce(author, '') AS author, coalesce(published, '') AS published FROM p LEFT JOIN who USING (page_id) LEFT JOIN times USING (page_id)""")
 def byline_pick(spark, sf_dir):
     return E.author_and_time(derived(spark, sf_dir, SIGNED), "page_id", "html")
+
+
+#: Pages after marks inside marks, by tags and by styles.
+STYLED = """SELECT page_id, concat('<p>plain <b>bold <i>both</i> <strong>once</strong></b> tail <a href="u"><code>x = ', CAST(page_id AS STRING), '</code></a>', CASE page_id % 3 WHEN 0 THEN '<span style="color:red; font-weight: 700">heavy <em>slanted</em></span>'
+  WHEN 1 THEN '<span style="FONT-STYLE:italic;font-weight:bold">two <mark>lit</mark></span><span style="font-weight: 400">normal</span>' ELSE '<b> </b><i>never closed' END, '</p>', html) AS html FROM {pages}"""
+_MARKED = " UNION ALL ".join(
+    [f"SELECT page_id, pos, until, '{mark}' AS mark FROM e WHERE name = '{tag}'" for tag, mark in E.MARKS.items()]
+    + [f"SELECT page_id, pos, until, '{mark}' FROM e WHERE regexp_matches({attribute('style')}, '{pattern}')" for mark, pattern in E.STYLES.items()]
+)
+
+
+@query("styled_spans", f"""
+    WITH {tokens_sql(STYLED)}, m AS ({_MARKED}), d2 AS (SELECT DISTINCT t.page_id, t.pos, t.token, m.mark FROM t JOIN m ON m.page_id = t.page_id AND t.pos BETWEEN m.pos AND m.until WHERE t.name = '' AND trim(t.token) <> '')
+    SELECT page_id, pos, token AS text, string_agg(mark, ',' ORDER BY mark) AS marks FROM d2 GROUP BY page_id, pos, token""")
+def styled_spans(spark, sf_dir):
+    return E.mark_spans(derived(spark, sf_dir, STYLED), "page_id", "html").select("page_id", "pos", "text", F.array_join("marks", ",").alias("marks"))
