@@ -97,7 +97,7 @@ def zip_languages(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 #: Where a note's html names other notes, in this order. Fixed values.
-NOTE_REFERENCES = [r'<note\b[^>]*uuid="([^"]+)"', r'data-note-uuid="([^"]+)"', r'data-mowen-note-uuid="([^"]+)"', r'<q\b[^>]*uuid="([^"]+)"', r'\bcite="(?:https?://[^/"?#]+)?/detail/([^"?#/]+)"']
+NOTE_REFERENCES = [r'<note\b[^>]*uuid="([^"]+)"', r'data-note-uuid="([^"]+)"', r'data-[a-z]+-note-uuid="([^"]+)"', r'<q\b[^>]*uuid="([^"]+)"', r'\bcite="(?:https?://[^/"?#]+)?/detail/([^"?#/]+)"']
 #: Note nodes in a note's tree as JSON: an object that has the type and, right after or before it, its attributes.
 NOTE_NODES = r'"type"\s*:\s*"note"\s*,\s*"attrs"\s*:\s*\{[^{}]*"uuid"\s*:\s*"([^"]*)"|"attrs"\s*:\s*\{[^{}]*"uuid"\s*:\s*"([^"]*)"[^{}]*\}\s*,\s*"type"\s*:\s*"note"'
 

@@ -14,8 +14,10 @@ from quillmill.functions.urls import match_keys
 from quillmill.operators.sequences import first_of_each
 
 #: Attributes that markup keeps, and those that code keeps besides. Fixed values.
-KEPT_ATTRIBUTES = ["href", "src", "alt", "data-mowen-uid", "data-mowen-caption", "width", "height", "target", "rel", "srcset", "data-src", "data-original", "style"]
+KEPT_ATTRIBUTES = ["href", "src", "alt", "width", "height", "target", "rel", "srcset", "data-src", "data-original", "style"]
 CODE_ATTRIBUTES = ["class", "data-language", "data-lang", "translate"]
+#: What an application names its own attributes with: data-own-uid, data-own-caption and data-own-id are kept with this one.
+OWN = "data-own"
 #: Class names of adverts, comments, sharing, players and page tools. Fixed values.
 JUNK_CLASSES = (
     "advertisement ads social-share comments related-posts post-ufi like-button-container share-dialog subscription-widget-wrap post-header banner post-footer comment-section"
@@ -130,17 +132,20 @@ def safe_html(c: Column) -> Column:
 SAFE_TAGS = (
     "a blockquote br code del div em figcaption figure h1 h2 h3 h4 h5 h6 hr img li ol p pre mark span strong sub sup ul"
 ).split()
-SAFE_ATTRIBUTES = ["alt", "class", "data-mowen-caption", "data-mowen-id", "href", "rel", "src", "target", "title"]
+SAFE_ATTRIBUTES = ["alt", "class", "href", "rel", "src", "target", "title"]
 #: What goes with all that is in it or to it, and how an attribute looks. Fixed values.
 UNSAFE = [r"(?is)<script\b.*?</script>|<style\b.*?</style>", r"(?i)\son[a-z]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", r"(?i)\s(?:href|src)\s*=\s*(?:\"\s*javascript:[^\"]*\"|'\s*javascript:[^']*')"]
 ATTRIBUTE = r"\s([A-Za-z:-]+)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
 
 
-def allowed_html(c: Column) -> Column:
-    """Html with the tags and attributes of an import alone: scripts and styles go whole, other tags leave their content."""
+def allowed_html(c: Column, own: str = OWN) -> Column:
+    """Html with the tags and attributes of an import alone: scripts and styles go whole, other tags leave their content.
+
+    ``own`` caption and id are allowed besides.
+    """
     for pattern in UNSAFE:
         c = F.regexp_replace(c, pattern, "")
-    others = rf"(?i)(?!\s(?:{'|'.join(SAFE_ATTRIBUTES)})\s*=){ATTRIBUTE}"
+    others = rf"(?i)(?!\s(?:{'|'.join([*SAFE_ATTRIBUTES, f'{own}-caption', f'{own}-id'])})\s*=){ATTRIBUTE}"
 
     def kept(token: Column) -> Column:
         name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z0-9-]+)", 1))
@@ -150,10 +155,11 @@ def allowed_html(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(</?[A-Za-z0-9-]+(?:\s[^>]*)?>|<|[^<]+)"), F.lit(1)), lambda t: F.when(t.startswith("<"), kept(t)).otherwise(t)), "")
 
 
-def prune_attributes(c: Column) -> Column:
-    """Markup without attributes but those that are kept, more of them on pre and code; what counts is name=\"value\" inside tags."""
+def prune_attributes(c: Column, own: str = OWN) -> Column:
+    """Markup without attributes but those that are kept, more of them on pre and code, and ``own`` uid and caption; what counts is name=\"value\" inside tags."""
     tags = F.regexp_extract_all(c, F.lit(r"(<[^>]+>|[^<]+)"), F.lit(1))
-    keep, on_code = rf"^({'|'.join(KEPT_ATTRIBUTES)})=", rf"^({'|'.join([*KEPT_ATTRIBUTES, *CODE_ATTRIBUTES])})="
+    kept = [*KEPT_ATTRIBUTES, f"{own}-uid", f"{own}-caption"]
+    keep, on_code = rf"^({'|'.join(kept)})=", rf"^({'|'.join([*kept, *CODE_ATTRIBUTES])})="
     pruned = F.transform(
         tags,
         lambda t: F.when(

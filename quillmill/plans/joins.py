@@ -167,7 +167,7 @@ def asset_resolve(spark, sf_dir):
 
 
 NODES = """SELECT o_orderkey AS note, concat('<q cite="https://notes.example.com/detail/cite', CAST(o_orderkey % 100 AS STRING), '?a" uuid="quote', CAST(o_custkey AS STRING), '"></q><p data-note-uuid="data-', CAST(o_orderkey AS STRING), '"></p><note id="1" uuid="abc', CAST(o_orderkey AS STRING), '"></note>',
-    CASE o_orderkey % 3 WHEN 0 THEN '<note uuid="a!"></note><note uuid="short"></note>' WHEN 1 THEN concat('<b data-mowen-note-uuid="tree', CAST(o_custkey AS STRING), '"></b><blockquote cite="/detail/local', CAST(o_custkey AS STRING), '"></blockquote>') ELSE '' END) AS html,
+    CASE o_orderkey % 3 WHEN 0 THEN '<note uuid="a!"></note><note uuid="short"></note>' WHEN 1 THEN concat('<b data-own-note-uuid="tree', CAST(o_custkey AS STRING), '"></b><blockquote cite="/detail/local', CAST(o_custkey AS STRING), '"></blockquote>') ELSE '' END) AS html,
   CASE o_orderkey % 4 WHEN 0 THEN concat('{{"type":"doc","content":[{{"type":"note","attrs":{{"uuid":"tree', CAST(o_custkey AS STRING), '"}}}},{{"type":"text"}},{{"attrs":{{"k":1,"uuid":"after', CAST(o_orderkey AS STRING), '"}},"type":"note"}}]}}') WHEN 1 THEN '{{"type":"doc"}}' END AS tree FROM {orders}"""
 _NODE = "\"type\"\\s*:\\s*\"note\"\\s*,\\s*\"attrs\"\\s*:\\s*\\{[^{}]*\"uuid\"\\s*:\\s*\"([^\"]*)\"|\"attrs\"\\s*:\\s*\\{[^{}]*\"uuid\"\\s*:\\s*\"([^\"]*)\"[^{}]*\\}\\s*,\\s*\"type\"\\s*:\\s*\"note\""
 

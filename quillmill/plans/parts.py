@@ -100,14 +100,14 @@ def html_safe_subset(spark, sf_dir):
 
 
 #: Whole pages after markup with attributes of every kind.
-PRUNABLE = """SELECT page_id, concat('<div class="x" id="y" data-mowen-uid="u', CAST(page_id AS STRING), '"><img src="a.png" class="big" data-mowen-caption="c" alt="An image"/><pre class="p" id="q"><code class="language-js" data-lang="js" translate="no" data-x="1">x</code></pre><codex class="n"></codex></div>', html) AS html FROM {pages}"""
+PRUNABLE = """SELECT page_id, concat('<div class="x" id="y" data-own-uid="u', CAST(page_id AS STRING), '"><img src="a.png" class="big" data-own-caption="c" alt="An image"/><pre class="p" id="q"><code class="language-js" data-lang="js" translate="no" data-x="1">x</code></pre><codex class="n"></codex></div>', html) AS html FROM {pages}"""
 
 
 @query("attr_prune", f"""
     WITH p AS ({same(PRUNABLE)}), t AS (SELECT page_id, regexp_extract_all(html, '<[^>]+>|[^<]+') AS a FROM p), x AS (SELECT page_id, unnest(a) AS t, unnest(generate_series(1, len(a))) AS i FROM t),
     k AS (SELECT *, regexp_matches(t, '(?i)^<(pre|code)\\b') AS code FROM x),
     o AS (SELECT page_id, string_agg(CASE WHEN regexp_matches(t, '^<[a-zA-Z]') THEN concat(regexp_extract(t, '^<[a-zA-Z][a-zA-Z0-9]*'), array_to_string(list_transform(list_filter(regexp_extract_all(t, '[a-zA-Z][a-zA-Z0-9-]*="[^"]*"'),
-        lambda k: regexp_matches(k, '^({"|".join(P.KEPT_ATTRIBUTES)})=') OR (code AND regexp_matches(k, '^({"|".join(P.CODE_ATTRIBUTES)})='))), lambda k: ' ' || k), ''), CASE WHEN suffix(t, '/>') THEN '/>' ELSE '>' END) ELSE t END, '' ORDER BY i) AS html FROM k GROUP BY page_id)
+        lambda k: regexp_matches(k, '^({"|".join([*P.KEPT_ATTRIBUTES, P.OWN + "-uid", P.OWN + "-caption"])})=') OR (code AND regexp_matches(k, '^({"|".join(P.CODE_ATTRIBUTES)})='))), lambda k: ' ' || k), ''), CASE WHEN suffix(t, '/>') THEN '/>' ELSE '>' END) ELSE t END, '' ORDER BY i) AS html FROM k GROUP BY page_id)
     SELECT page_id, md5(o.html) AS html_md5, CAST(strlen(p.html) - strlen(o.html) AS BIGINT) AS bytes_saved FROM p JOIN o USING (page_id)""")
 def attr_prune(spark, sf_dir):
     rows = derived(spark, sf_dir, PRUNABLE).withColumn("pruned", P.prune_attributes(F.col("html")))
@@ -173,7 +173,7 @@ def title_resolve(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], F.lit("Untitled")).alias("title"))
 
 
-IMPORTABLE = """SELECT page_id, CASE page_id % 4 WHEN 3 THEN concat('<p class="plain">plain ', CAST(page_id AS STRING), '</p>') ELSE concat('<DIV class="x" id="y" ONCLICK="go()" data-mowen-id=7><a href="javascript:go()" target="_blank" data-x="1">l</a><a href=''https://example.com'' rel="r">m</a><section><p style="color:red" title=t>1 < 2</p></section><input disabled value="v"/></DIV><style>p {{ }}</style>', html) END AS html FROM {pages}"""
+IMPORTABLE = """SELECT page_id, CASE page_id % 4 WHEN 3 THEN concat('<p class="plain">plain ', CAST(page_id AS STRING), '</p>') ELSE concat('<DIV class="x" id="y" ONCLICK="go()" data-own-id=7><a href="javascript:go()" target="_blank" data-x="1">l</a><a href=''https://example.com'' rel="r">m</a><section><p style="color:red" title=t>1 < 2</p></section><input disabled value="v"/></DIV><style>p {{ }}</style>', html) END AS html FROM {pages}"""
 _SAFE = "regexp_replace(" * len(P.UNSAFE) + "html" + "".join(", '{}', '', 'g')".format(p.replace("'", "''")) for p in P.UNSAFE)
 _ATTRIBUTE = P.ATTRIBUTE.replace("'", "''")
 
@@ -182,7 +182,7 @@ _ATTRIBUTE = P.ATTRIBUTE.replace("'", "''")
     WITH p AS ({same(IMPORTABLE)}), a AS (SELECT page_id, regexp_extract_all({_SAFE}, '</?[A-Za-z0-9-]+(?:\\s[^>]*)?>|<|[^<]+') AS a FROM p), u AS (SELECT page_id, unnest(a) AS t, unnest(generate_series(1, len(a))) AS i FROM a),
     n AS (SELECT *, CASE WHEN prefix(t, '<') THEN lower(regexp_extract(t, '^</?([A-Za-z0-9-]+)', 1)) ELSE '' END AS name FROM u),
     k AS (SELECT page_id, i, CASE WHEN name = '' THEN t WHEN name NOT IN ({', '.join(f"'{t}'" for t in P.SAFE_TAGS)}) THEN '' WHEN prefix(t, '</') THEN concat('</', name, '>')
-      ELSE list_reduce(list_prepend(t, list_filter(regexp_extract_all(t, '{_ATTRIBUTE}', 0), lambda m: lower(regexp_extract(m, '^\\s([A-Za-z:-]+)', 1)) NOT IN ({', '.join(f"'{t}'" for t in P.SAFE_ATTRIBUTES)}))), lambda x, m: replace(x, m, '')) END AS t FROM n),
+      ELSE list_reduce(list_prepend(t, list_filter(regexp_extract_all(t, '{_ATTRIBUTE}', 0), lambda m: lower(regexp_extract(m, '^\\s([A-Za-z:-]+)', 1)) NOT IN ({', '.join(f"'{t}'" for t in [*P.SAFE_ATTRIBUTES, P.OWN + '-caption', P.OWN + '-id'])}))), lambda x, m: replace(x, m, '')) END AS t FROM n),
     o AS (SELECT page_id, string_agg(t, '' ORDER BY i) AS safe FROM k GROUP BY page_id) SELECT page_id, md5(safe) AS html_md5, safe <> html AS sanitized FROM p JOIN o USING (page_id)""")
 def html_allow_list(spark, sf_dir):
     rows = derived(spark, sf_dir, IMPORTABLE).withColumn("safe", P.allowed_html(F.col("html")))
