@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, each in a module of its own.
+"""Training-data operators: thirteen corpus operators, each in a module of its own.
 
 Nothing outside this package imports it; ``queries`` holds what is registered for the driver.
 """
