@@ -18,17 +18,14 @@ from .cases import documents
 
 def brute(words: list) -> list[tuple[int, int, int]]:
     """start, length, smallest period, by stretches of words that equal the word q later, for each q."""
-    n, found = len(words), set()
-    for q in range(1, n // 4 + 1):
-        i = 0
-        while i + q < n:
-            j = i
-            while j + q < n and words[j] == words[j + q]:
-                j += 1
+    found = set()
+    ids = np.unique(np.array(words, dtype=object if words and isinstance(words[0], str) else np.int64), return_inverse=True)[1] if words else np.zeros(0)
+    for q in range(1, len(words) // 4 + 1):
+        turns = np.diff(np.concatenate([[0], (ids[:-q] == ids[q:]).astype(np.int8), [0]]))
+        for i, j in zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist(), strict=True):
             length = j - i + q
-            if j > i and length >= max(6, 4 * q) and not any(s <= i and i + length <= s + m and q % p == 0 for s, m, p in found):
+            if length >= max(6, 4 * q) and not any(s <= i and i + length <= s + m and q % p == 0 for s, m, p in found):
                 found.add((i, length, q))
-            i = j + 1
     return sorted(found)
 
 
