@@ -60,13 +60,14 @@ def _walked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
         yield pd.Series(found, index=first.index, dtype=object)
 
 
-def reached(rows: DataFrame, key: str, at: str, to: str) -> DataFrame:
+def reached(rows: DataFrame, key: str, at: str, to: str, source: DataFrame) -> DataFrame:
     """Adds opens: whether a row is reached from its key's first row by pointers to later rows.
 
     ``at`` numbers the rows of a key from 1 without gaps; ``to`` is the number a row points to (null: none). A key is followed
     in stretches of 1024 rows, none of which depends on another: of each row of a stretch it is known where the pointers leave
     it. Keys of more than one stretch go through these exits by pointer doubling, as many joins as their number of stretches has
     binary digits; where all keys are shorter there is none. So no key is ever one row or one array. Keys are not null.
+    ``source`` has the same keys as often, without what the rows were given by windows, and so counts them at little cost.
     """
     others = [c for c in rows.columns if c != key]
     rows = rows.withColumn(to, F.coalesce(to, F.lit(0)).cast("int")).withColumn(at, F.col(at).cast("int"))
@@ -74,7 +75,7 @@ def reached(rows: DataFrame, key: str, at: str, to: str) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.struct(at, *[c for c in others if c != at])))
     blocks = rows.groupBy(key, block(at).alias("_block")).agg(steps.alias("_steps"))
     blocks = blocks.select(key, "_block", "_steps", F.col("_steps")[0][at].alias("_first"), F.transform("_steps", lambda s: s[to]).alias("_to"))
-    long = blocks.where("_block > 0").select(key).distinct()
+    long = source.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > STRETCH).select(key)
     if long.isEmpty():
         blocks = blocks.withColumn("_entry", F.lit(1))
     else:
@@ -101,6 +102,7 @@ def pack(rows: DataFrame, key: str, order: list[str], size: str, limit: int) ->
     reached by these pointers.
     """
     w = Window.partitionBy(key).orderBy(*order)
+    source = rows.select(key)
     rows = rows.select(key, *order, size, F.greatest(F.col(size), F.lit(1)).cast("long").alias("_size"), F.row_number().over(w).alias("_at"))
     rows = rows.withColumn("_before", F.sum("_size").over(w) - F.col("_size"))
     near = Window.partitionBy(key).orderBy("_before").rangeBetween(Window.unboundedPreceding, limit)
@@ -109,7 +111,7 @@ def pack(rows: DataFrame, key: str, order: list[str], size: str, limit: int) ->
     rows = rows.withColumn("_to", F.when(F.col("_end") > F.col("_before") + limit, F.greatest("_last", F.col("_at") + 1)))
     more = F.lead("_at").over(w).isNull() & (F.col("_to") > F.col("_at"))
     rows = rows.withColumn("_to", F.when(~more, F.col("_to"))).drop("_before", "_last", "_end", "_size")
-    out = reached(rows, key, "_at", "_to")
+    out = reached(rows, key, "_at", "_to", source)
     part = F.sum(F.col("opens").cast("int")).over(Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)) - 1
     return out.select(key, *order, size, part.cast("int").alias("part"))
 
@@ -151,11 +153,12 @@ def throttle(rows: DataFrame, key: str, time: str, order: str, window: int) -> D
     open; those reached from the first row are the ones that do.
     """
     w = Window.partitionBy(key).orderBy(time, order)
+    source = rows.select(key)
     rows = rows.select(key, time, order, F.row_number().over(w).alias("_at"))
     inside = F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(time).rangeBetween(Window.unboundedPreceding, window))
     total = F.count(F.lit(1)).over(Window.partitionBy(key))
     rows = rows.withColumn("_next", inside + 1).withColumn("_to", F.when(F.col("_next") <= total, F.col("_next"))).drop("_next")
-    out = reached(rows, key, "_at", "_to")
+    out = reached(rows, key, "_at", "_to", source)
     opened = F.last(F.when(F.col("opens"), F.col(time)), ignorenulls=True).over(Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
     out = out.withColumn("opened", opened).groupBy(key, "opened").agg(F.count_if(~F.col("opens")).alias("absorbed"))
     return out.select(key, "opened", (F.col("opened") + window).alias("fires"), "absorbed")
