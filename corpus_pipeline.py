@@ -25,7 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more stays: the one of smallest doc_id."""
+    """One document of each group of near copies stays, the one of smallest doc_id: SimHash fingerprints of five-word shingles pair documents,
+    whole sets confirm a Jaccard similarity of 0.8 or more, and an exact join adds the links that fingerprints are too far apart for."""
     return keep_one(docs, words=5, similarity=(4, 5))
 
 

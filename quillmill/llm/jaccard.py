@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: a set-similarity join with prefix filters."""
+"""Near-duplicates by the SimHash fingerprints of word shingles, checked and completed by exact Jaccard similarity (prefix filters)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm._util import cut, forget, stored
 from quillmill.llm.components import components
-from quillmill.llm.simhash import LOWER, grouped, keep_least
+from quillmill.llm.simhash import LOWER, grouped, keep_least, links, majority
 
 #: Which shingles are frequent is estimated from one in so many documents; it decides the order of shingles, never which pairs are found.
 ORDER_SAMPLE = 32
@@ -23,6 +23,8 @@ HUBS, PAIRS_A_ROW = 2, 8
 #: Min-hashes that tell which hubs are worth a look, how many must agree, and the hubs that a set is held against in a turn.
 SKETCH, AGREE, TRIES = 8, 5, 2
 _TURNS = np.random.default_rng(3).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
+#: Bits in which fingerprints differ at most that name a pair at once.
+RADIUS = 2
 #: Words whose hashes a worker remembers.
 WORDS_AT_ONCE = 1 << 18
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -112,7 +114,7 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int, similarity: tuple[int, int], last: np.ndarray) -> DataFrame:
-    """doc_id, fp, sk, bits, n and first of every document: name, sketch, parities and size of its shingle set, and the shingles that come
+    """doc_id, fp, sim, sk, bits, n and first of every document: name, SimHash, sketch, parities and size of its shingle set, and the shingles that come
     first in an order with ``last`` after all others. Copies of a set that a task has told already have no ``first``."""
     values, rank = np.sort(last), np.argsort(last, kind="stable")
 
@@ -134,21 +136,22 @@ def described(docs: DataFrame, words: int, similarity: tuple[int, int], last: np
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                names, sketches, bits, sizes, firsts = [], [], [], [], []
+                names, sims, sketches, bits, sizes, firsts = [], [], [], [], [], []
                 for text in part.column(1):
                     hashes = shingle_set(text.as_py(), words)
                     name = set_name(hashes)
                     names.append(name)
+                    sims.append(majority(hashes))
                     sizes.append(len(hashes))
                     sketches.append(sketch(hashes))
                     bits.append(parities(hashes))
                     firsts.append(none if name in told else first_of(hashes))
                     if len(told) < ROWS_AT_ONCE:
                         told.add(name)
-                columns = [part.column(0), pa.array(names, pa.int64()), lists(sketches, np.int32), lists(bits, np.int64), pa.array(sizes, pa.int32()), lists(firsts, np.int64)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sk", "bits", "n", "first"])
+                columns = [part.column(0), pa.array(names, pa.int64()), pa.array(np.array(sims, dtype=np.uint64).view(np.int64)), lists(sketches, np.int32), lists(bits, np.int64), pa.array(sizes, pa.int32()), lists(firsts, np.int64)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sim", "sk", "bits", "n", "first"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, fp long, sk array<int>, bits array<long>, n int, first array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, fp long, sim long, sk array<int>, bits array<long>, n int, first array<long>")
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -165,6 +168,34 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp long, hashes array<long>")
 
 
+#: The bits in which the parities of sets a and b differ.
+APART = " + ".join(f"bit_count(a_bits[{i}] ^ b_bits[{i}])" for i in range(PARITIES))
+
+
+def alike(similarity: tuple[int, int]) -> str:
+    """Whether sets a and b may be so similar, by the bits in which their parities differ."""
+    num, den = similarity
+    return f"(a_n + b_n - ({APART})) * {num + den} >= (a_n + b_n) * {2 * num}"
+
+
+def by_fingerprint(nodes: DataFrame, similarity: tuple[int, int], radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of sets whose SimHash fingerprints are at most ``radius`` apart, by the covering hashing of ``simhash.links``.
+
+    ``nodes``: fp, sim, n and bits, one row a set. The least set of a fingerprint stands for it: the others of it are paired with it, and
+    it with those of near fingerprints. Pairs that sizes or parities rule out go; of the rest each set has its TRIES likest.
+    """
+    num, den = similarity
+    faces = nodes.groupBy("sim").agg(F.min("fp").alias("face"))
+    same = nodes.select("fp", "sim").join(faces, "sim").where("fp != face").select(F.col("fp").alias("a"), F.col("face").alias("b"))
+    a, b = (faces.select(F.col("sim").alias(f"{x}_sim"), F.col("face").alias(x)) for x in "ab")
+    close = links(faces.select(F.col("sim").alias("fp")), radius).toDF("a_sim", "b_sim")
+    pairs = same.union(close.join(a, "a_sim").join(b, "b_sim").select("a", "b"))
+    a, b = (nodes.select(F.col("fp").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    fit = pairs.join(a, "a").join(b, "b").where(F.expr(f"a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num} and {alike(similarity)}"))
+    likest = fit.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.expr(APART).alias("d"), "b"))), 1, TRIES).alias("found"))
+    return likest.select("a", F.explode("found.b").alias("b"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``docs`` (all columns) that ``similar`` names: of each component the one of smallest doc_id.
 
@@ -180,9 +211,11 @@ def similar(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5
     denominator) are linked; component_id is the smallest doc_id that links reach. Equal sets are one node; texts
     without words have the empty set. Shingles are their 64-bit hashes.
 
-    Two sets so similar share one of their first few shingles in any fixed order (Chaudhuri et al., 2006), so every such
-    pair meets under a key; frequent shingles come last in the order, and so are seldom keys. Each set that meets another is
-    first held against hubs: under each key the set whose min-hashes most others share, as far as sketches tell that it is like
+    First the sets whose SimHash fingerprints are at most RADIUS bits apart are paired by covering hashing (``simhash.links``), and those that
+    whole sets confirm are joined. Fingerprints can't promise a similarity, so the links between what they left apart are found exactly:
+    two sets so similar share one of their first few shingles in any fixed order (Chaudhuri et al., 2006), so every such
+    pair meets under a key; frequent shingles come last in the order, and so are seldom keys. Each set that meets another one apart is
+    held against hubs: under each key the set whose min-hashes most others share, as far as sketches tell that it is like
     it. That joins a group of near copies without listing its pairs; hubs picked by a hash follow if many pairs would be left. Then all pairs
     that meet and aren't joined yet are compared, if the places and the number of their common keys and the parity bits in which
     they differ leave room for the similarity. Every link
@@ -221,16 +254,18 @@ def similar(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5
             a, b = (sets.select(F.col("fp").alias(f"{x}_fp"), F.col("hashes").alias(f"{x}_hashes")) for x in "ab")
             both = pairs.join(a, F.col("a") == F.col("a_fp")).join(b, F.col("b") == F.col("b_fp"))
             enough = F.size(F.array_intersect("a_hashes", "b_hashes")) * (num + den) >= (F.size("a_hashes") + F.size("b_hashes")) * num
-            links = cut(both.where(enough).select("a", "b"))
+            similar_ones = cut(both.where(enough).select("a", "b"))
             forget(spark, sets_path)
-            return links
+            return similar_ones
 
         def apart(roots: DataFrame) -> tuple[DataFrame, str]:
             """What meets under keys with several components, as a table."""
             rest = meeting.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
             return stored(rest.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group)}).where("least != most").drop("least", "most"))
 
-        links, rest, paths = None, meeting.withColumn("root", F.col("fp")), [path]
+        linked, paths = verified(by_fingerprint(nodes, similarity)), [path]
+        rest, path = apart(components(linked).withColumnRenamed("node", "fp"))
+        paths.append(path)
         for turn in range(HUBS):
             best = F.xxhash64("fp", "key", F.lit(turn)) if turn else F.struct(-F.col("known"), "fp")
             hub = F.min_by(F.struct("fp", "n", "root", "sk"), best).over(group)
@@ -238,9 +273,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5
             agree = F.aggregate(F.zip_with("sk", "h.sk", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
             tried = tried.select(F.col("fp").alias("a"), F.col("h.fp").alias("b"), agree.alias("c")).where(F.col("c") >= AGREE)
             tried = tried.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("c", "b")), asc=False), 1, TRIES).alias("hubs"))
-            found = verified(tried.select("a", F.explode("hubs.b").alias("b")))
-            links = found if links is None else links.union(found)
-            rest, path = apart(components(links).withColumnRenamed("node", "fp"))
+            linked = linked.union(verified(tried.select("a", F.explode("hubs.b").alias("b"))))
+            rest, path = apart(components(linked).withColumnRenamed("node", "fp"))
             paths.append(path)
             # pairs left under all keys: those of all rows less those of one component
             left = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("p"))
@@ -249,17 +283,15 @@ def similar(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5
         rest, path = stored(rest.select("key", "fp", "n", "at", "root").join(nodes.select("fp", "bits"), "fp"))
         paths.append(path)
         a, b = (rest.select(F.col("key").alias(f"{x}_key"), F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "at", "root", "bits")]) for x in "ab")
-        apart_by = " + ".join(f"bit_count(a_bits[{i}] ^ b_bits[{i}])" for i in range(PARITIES))
-        near = F.expr(f"(a_n + b_n - ({apart_by})) * {num + den} >= (a_n + b_n) * {2 * num}")
-        met = a.join(b, (F.col("a_key") == F.col("b_key")) & F.expr("a < b and a_root != b_root") & fits("a", "b") & near)
+        met = a.join(b, (F.col("a_key") == F.col("b_key")) & F.expr("a < b and a_root != b_root") & fits("a", "b") & F.expr(alike(similarity)))
         # both prefixes hold all common shingles up to where the first of them ends, and one set has no more than its rest beyond
         beyond = [f"({n} * {num} + {den - 1}) div {den} - 1" for n in ("a_n", "b_n")]
         met = met.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("c"))
         far = verified(met.where(F.expr(f"(c + greatest({beyond[0]}, {beyond[1]})) * {num + den} >= (a_n + b_n) * {num}")).select("a", "b"))
         for path in paths:
             forget(spark, path)
-        return links.union(far)
+        return linked.union(far)
 
-    out = cut(grouped(told.select("doc_id", "fp", "sk", "bits"), link))
+    out = cut(grouped(told.select("doc_id", "fp", "sim", "sk", "bits", "n"), link))
     forget(spark, told_path)
     return out

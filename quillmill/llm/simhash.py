@@ -36,18 +36,18 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
     return [digest(line[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes; 0 without any."""
+    bits = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        part = hashes[at : at + SHINGLES_AT_ONCE]
+        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprint_texts(texts: list[str | None], words: int) -> np.ndarray:
     """The 64-bit fingerprint of each text: bits that are set in over half the shingles' hashes; 0 without words."""
-    out = np.zeros(len(texts), dtype=np.uint64)
-    for i, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, words), dtype=np.uint64)
-        if len(hashes):
-            bits = np.zeros(64, dtype=np.int64)
-            for at in range(0, len(hashes), SHINGLES_AT_ONCE):
-                part = hashes[at : at + SHINGLES_AT_ONCE]
-                bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out
+    return np.array([majority(np.array(shingle_hashes(text, words), dtype=np.uint64)) for text in texts], dtype=np.uint64)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import collections
 import random
 
 import numpy as np
 
 import corpus_pipeline
-from quillmill.llm import jaccard
+from quillmill.llm import jaccard, simhash
 from quillmill.llm.jaccard import PARITIES, keep_one, parities, prefix_length, shingle_set, similar
 from tests.llm.cases import documents
 
@@ -87,3 +88,22 @@ def test_shingles_are_those_of_words():
     assert list(shingle_set("A b\tc", 5)) == list(shingle_set(" a B  C ", 5)) and len(shingle_set("a b c", 5)) == 1
     assert len(shingle_set("a b c d e f", 5)) == 2 and not len(shingle_set(" \n", 5)) and not len(shingle_set(None, 5))
     assert list(shingle_set("a b c d e", 5)) != list(shingle_set("b a c d e", 5))
+
+
+def test_fingerprints_pair_first(spark, monkeypatch):
+    rows = planted()
+    named = {jaccard.set_name(shingle_set(t, 5)): simhash.majority(shingle_set(t, 5)) for _, t, *_ in rows}
+    calls = []
+
+    def recorded(nodes, similarity):
+        pairs = jaccard.cut(real(nodes, similarity))
+        calls.extend((r["a"], r["b"]) for r in pairs.collect())
+        return pairs
+
+    real = jaccard.by_fingerprint
+    monkeypatch.setattr(jaccard, "by_fingerprint", recorded)
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    assert {r["doc_id"] for r in stage(spark, documents(spark, rows), "").collect()} == set(brute(rows)[0].values())
+    assert calls and all(a != b and int(named[a] ^ named[b]).bit_count() <= jaccard.RADIUS for a, b in calls)
+    # a set has a pair for every near fingerprint, as far as sizes and parities allow; here two of them at most are kept
+    assert max(collections.Counter(a for a, _ in calls).values()) <= jaccard.TRIES
