@@ -8,7 +8,9 @@ event-time timer. What waits is bounded by the delay of the watermark.
 
 from __future__ import annotations
 
+import bisect
 import json
+import pickle
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -18,6 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: State rows that the keys of a stream share; a stream keeps this number for as long as its checkpoint lives.
+BUCKETS = 1024
+#: Rows that a bucket hands on at a time.
+ROWS_AT_ONCE = 1 << 16
+
+
 class Rule(Protocol):
     """What a key does with its messages. States are of what JSON knows."""
 
@@ -39,43 +47,53 @@ def in_order(messages: DataFrame, key: str, rule: Rule, delay: str) -> DataFrame
 
     ``messages`` is a stream with ts (timestamp), seq (long, orders messages of equal time) and what the rule reads. Messages
     later than ``delay`` after what was seen are dropped by the watermark. A null key is left out.
+
+    Keys are dealt to BUCKETS by hash, and the keys of a bucket share a state row and a call, as a call for each key costs more
+    than its messages do. Waiting messages stay JSON texts until they are due.
     """
     names = [c for c in messages.columns if c not in (key, "ts", "seq")]
     kind = dict(messages.dtypes)[key]
-    rows = messages.where(F.col(key).isNotNull()).withWatermark("ts", delay).withColumn("at", F.unix_millis("ts"))
-
-    def settle(state: GroupState, own: dict) -> list[tuple]:
-        """Everything that is due up to the watermark, in order."""
-        now, out = state.getCurrentWatermarkMs(), []
-        waiting = sorted(own["waiting"], key=lambda m: (m[0], m[1]))
-        ready = [m for m in waiting if m[0] <= now]
-        own["waiting"] = waiting[len(ready) :]
-        for at, _, values in ready:
-            while (due := rule.due(own["state"])) is not None and due < at:
-                out.extend(rule.expire(own["state"]))
-            out.extend(rule.take(own["state"], at, dict(zip(names, values, strict=True))))
-        while (due := rule.due(own["state"])) is not None and due < now:
-            out.extend(rule.expire(own["state"]))
-        times = [t for t in (rule.due(own["state"]), own["waiting"][0][0] if own["waiting"] else None) if t is not None]
-        if times:
-            state.update((json.dumps(own),))
-            state.setTimeoutTimestamp(max(min(times) + 1, now + 1))
-        elif state.exists:
-            state.remove()
-        return out
-
-    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = json.loads(state.get[0]) if state.exists else {"waiting": [], "state": {}}
-        if not state.hasTimedOut:
+    columns = [key, *[part.split()[0] for part in rule.schema.split(", ")]]
+    rows = messages.where(F.col(key).isNotNull()).withWatermark("ts", delay)
+    values = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit("{}")
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    rows = rows.select(bucket.alias("_bucket"), F.col(key).alias("_key"), "ts", F.unix_millis("ts").alias("_at"), F.col("seq").alias("_seq"), values.alias("_values"))
+
+    def settle(now: int, waiting: list, state: dict) -> Iterator[tuple]:
+        """Everything of a key that is due up to the watermark, in order; it leaves ``waiting``."""
+        waiting.sort(key=lambda m: m[:2])
+        ready = bisect.bisect_right(waiting, now, key=lambda m: m[0])
+        for at, _, text in waiting[:ready]:
+            while (due := rule.due(state)) is not None and due < at:
+                yield from rule.expire(state)
+            yield from rule.take(state, at, json.loads(text))
+        del waiting[:ready]
+        while (due := rule.due(state)) is not None and due < now:
+            yield from rule.expire(state)
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        own = pickle.loads(held.get[0]) if held.exists else {}
+        if not held.hasTimedOut:
             for batch in batches:
-                values = batch[names].astype(object).where(batch[names].notna(), None).values.tolist()
-                own["waiting"] += [[int(at), int(seq), [v.item() if hasattr(v, "item") else v for v in row]] for at, seq, row in zip(batch["at"], batch["seq"], values, strict=True)]
-        out = settle(state, own)
-        if out:
-            columns = [key, *[part.split()[0] for part in rule.schema.split(", ")]]
-            yield pd.DataFrame([(group[0], *row) for row in out], columns=columns)
-
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {rule.schema}", "own string", "append", GroupStateTimeout.EventTimeTimeout)
+                for of, at, seq, text in zip(*(batch[c].tolist() for c in ("_key", "_at", "_seq", "_values")), strict=True):
+                    own.setdefault(of, ([], {}))[0].append((int(at), int(seq), text))
+        now, out, times = held.getCurrentWatermarkMs(), [], []
+        for of, (waiting, state) in list(own.items()):
+            out.extend((of, *row) for row in settle(now, waiting, state))
+            due = [t for t in (rule.due(state), waiting[0][0] if waiting else None) if t is not None]
+            if due:
+                times.append(min(due))
+            else:
+                del own[of]
+        if own:
+            held.update((pickle.dumps(own),))
+            held.setTimeoutTimestamp(max(min(times) + 1, now + 1))
+        elif held.exists:
+            held.remove()
+        for at in range(0, len(out), ROWS_AT_ONCE):
+            yield pd.DataFrame(out[at : at + ROWS_AT_ONCE], columns=columns)
+
+    return rows.groupBy("_bucket").applyInPandasWithState(run, f"{key} {kind}, {rule.schema}", "own binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Throttle:

@@ -73,6 +73,21 @@ def test_streams_equal_batches_however_they_are_cut(spark, tmp_path):
     assert fired == sorted(tuple(r) for r in throttle(table, "tab", "ms", "seq", 90_000).collect())
 
 
+def test_keys_share_state_rows_and_keep_whole_longs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "BUCKETS", 2)
+    far = 2**53 + 1  # not a double
+    schema = "tab long, task long, ts timestamp, seq long, kind string, done long, total long, message long"
+    rows = [(tab, far, at(tab), tab, kind, n, None, 2 * tab + i) for tab in range(40) for i, (kind, n) in enumerate((("init", None), ("progress", far)))]
+    rows = [(tab, task, t, seq + i % 2, *rest) for i, (tab, task, t, seq, *rest) in enumerate(rows)]
+    spark.createDataFrame([*rows, (0, None, at(50), 90, "progress", 1, None, 99)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = O.task_states(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 30 * 60_000, "1 second")
+    run = stream.writeStream.format("memory").queryName("shared").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(300)
+    assert max(op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]) <= 2
+    expected = [(tab, far, "processing", n, 0, 2 * tab + i) for tab in range(40) for i, n in enumerate((0, far))]
+    assert sorted(tuple(r) for r in spark.table("shared").collect()) == expected
+
+
 def test_parts_are_written_once(spark, tmp_path):
     spark.createDataFrame([(i, "x" * i) for i in range(20)], "clip_id long, html string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("clip_id long, html string").parquet(str(tmp_path / "in"))
