@@ -73,19 +73,20 @@ def align_runs(rows: DataFrame, by_weight: bool = True) -> DataFrame:
     stop, comma or space. Whatever then still differs is joined: each side becomes one paragraph, unless one has no text.
     A paragraph with links or marks in its html is never cut. pos counts from 0 on. Null text or html is ''.
 
-    Only documents whose sides differ are gathered, one row for each side; the rest stays in windows.
+    Only documents whose sides differ are gathered, both sides in one grouping; the rest stays in windows.
     """
     side = Window.partitionBy("doc", "side")
     rows = rows.select("doc", "side", "pos", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("pos", F.row_number().over(side.orderBy("pos", "text", "html")) - 1)
     counts = [F.count(F.when(F.col("side") == s, 1)).over(Window.partitionBy("doc")) for s in (ORIGINAL, TRANSLATION)]
     rows = rows.withColumn("n", F.when(F.col("side") == ORIGINAL, counts[0]).otherwise(counts[1])).withColumn("m", counts[0] + counts[1] - F.col("n"))
+    rows = rows.withColumn("pos", F.row_number().over(side.orderBy("pos", "text", "html")) - 1)  # after the counts: rows dealt by doc serve both windows
     done = (F.col("m") == 0) | (F.col("n") == F.col("m"))
     kept = rows.where(done).select("doc", "side", "pos", "text", "html")
 
-    gathered = F.array_sort(F.collect_list(F.struct("pos", "text", "html")))
-    sides = rows.where(~done).groupBy("doc", "side", "n", "m").agg(gathered.alias("own"))
-    both = sides.join(sides.select("doc", F.col("side").alias("that"), F.col("own").alias("other")), "doc").where("side <> that")
+    gathered = [F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "text", "html")))) for s in (ORIGINAL, TRANSLATION)]
+    pairs = rows.where(~done & F.col("doc").isNotNull()).groupBy("doc").agg(gathered[0].alias("a"), gathered[1].alias("b"))
+    turns = [F.struct(F.lit(s).alias("side"), F.col(own).alias("own"), F.col(other).alias("other")) for s, own, other in ((ORIGINAL, "a", "b"), (TRANSLATION, "b", "a"))]
+    both = pairs.select("doc", F.explode(F.array(*turns)).alias("x")).select("doc", "x.*").withColumn("n", F.size("own")).withColumn("m", F.size("other"))
     # the lone paragraph and what it may be cut into
     lone = (F.col("n") == 1) & (F.col("m") > 1)
     bare = _edged(F.regexp_replace(F.col("own")[0]["text"], r"\r\n?", "\n"))

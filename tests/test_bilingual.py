@@ -97,6 +97,13 @@ def test_runs_of_unequal_length(spark):
     assert aligned(spark, same(["a", "b"]), same(["", " ", ""])) == [["a", "b"], ["", " ", ""]]
 
 
+def test_rows_are_dealt_by_document_once(spark):
+    rows = spark.createDataFrame([("d", "original", 0, "a", "a"), ("d", "translation", 0, "b", "b"), ("d", "translation", 1, "c", "c")], "doc string, side string, pos int, text string, html string")
+    plan = align_runs(rows)._jdf.queryExecution().sparkPlan().toString() + align_runs(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(doc" in plan
+    assert not any("hashpartitioning(doc" in line and "side" in line for line in plan.splitlines())
+
+
 def test_breaks():
     assert nearest_breaks("one. two. three.", [4, 4, 6]) == [5, 10]
     assert nearest_breaks("abcdefghij", [1, 1]) == [5]
