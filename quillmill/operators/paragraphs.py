@@ -86,9 +86,10 @@ def drop_repeated_captions(blocks: DataFrame) -> DataFrame:
 def inherit_code_language(blocks: DataFrame) -> DataFrame:
     """A code block without a language has that of the code block right before it, through any number of them."""
     new = (F.col("kind") != "code") | F.coalesce(F.lag("kind").over(by_doc()) != "code", F.lit(True))
-    rows = blocks.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(by_doc()))
-    known = F.last(F.when(F.col("lang") != "", F.col("lang")), ignorenulls=True).over(Window.partitionBy("doc", "_run").orderBy("pos"))
-    return rows.withColumn("lang", F.when(F.col("kind") == "code", F.coalesce(known, F.lit(""))).otherwise(F.col("lang"))).drop("_new", "_run")
+    # the start of a run tells '' at least, so nothing from before it is seen, and one order serves both windows
+    rows = blocks.withColumn("_told", F.when(F.col("lang") != "", F.col("lang")).when(new, ""))
+    known = F.last("_told", ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("lang", F.when(F.col("kind") == "code", F.coalesce(known, F.lit(""))).otherwise(F.col("lang"))).drop("_told")
 
 
 def prune_leading_metadata(blocks: DataFrame, tokens: list[str]) -> DataFrame:

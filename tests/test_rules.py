@@ -73,3 +73,14 @@ def test_blocklist_prefixes(spark):
     rows = spark.createDataFrame([(1, "https://a.example/x/1"), (2, "https://b.example/"), (3, "https://c.example/")], "id int, url string")
     hosts, prefixes = spark.createDataFrame([("b.example",)], "host string"), spark.createDataFrame([("https://a.example/x",), (None,)], "prefix string")
     assert [r["id"] for r in not_blocked(rows, hosts, prefixes).collect()] == [3]
+
+
+def test_code_languages_need_one_sort(spark):
+    from quillmill.operators.paragraphs import inherit_code_language
+
+    rows = [("code", "sql"), ("code", ""), ("text", "x"), ("code", None), ("code", "py"), ("code", None), ("text", None), ("code", "")]
+    blocks = spark.createDataFrame([(1, i, kind, lang) for i, (kind, lang) in enumerate(rows)] + [(2, 0, "code", "")], "doc int, pos int, kind string, lang string")
+    out = inherit_code_language(blocks)
+    assert [r["lang"] for r in sorted(out.collect(), key=lambda r: (r["doc"], r["pos"]))] == ["sql", "sql", "x", "", "py", "py", None, "", ""]
+    out = inherit_code_language(blocks)
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count(" Sort [") == 1
