@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -52,6 +53,21 @@ def forget(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Short rows (a few numbers) that are worth a task, and the tasks that few of them are dealt to.
+ROWS_A_TASK, LEAST_TASKS = 1 << 16, 8
+
+
+def pieces(rows: int) -> int:
+    """How many tasks so many short rows need."""
+    return max(LEAST_TASKS, -(-rows // ROWS_A_TASK))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def apart(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column], list[Column]]:
     """``df`` with columns in_0, in_1, ..., which meet no name that an operator uses inside; a function that finds a column by
     its own name; and the columns that bring all own names back."""

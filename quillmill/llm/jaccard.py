@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm._util import cut, forget, stored
+from quillmill.llm._util import cut, forget, pieces, stored, tidy
 from quillmill.llm.components import components
 from quillmill.llm.simhash import LOWER, grouped, keep_least, links, majority
 
@@ -227,8 +227,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5
 
     spark = docs.sparkSession
     told, told_path = stored(described(docs, words, similarity, frequent(docs, words)))
+    # what has a few short rows a document takes no more tasks than that needs
+    few = pieces(TRIES * told.count())
 
     def link(nodes: DataFrame) -> DataFrame:
+        nodes, nodes_path = stored(nodes.coalesce(few))
+        paths = [nodes_path]
         group = Window.partitionBy("key")
         spots = told.select("fp", "n", F.posexplode("first").alias("at", "key")).repartition("key")
         shared = spots.withColumns({"least": F.min("fp").over(group), "most": F.max("fp").over(group)}).where("least != most")
@@ -238,6 +242,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5
         common = faces.groupBy("i", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("i").alias("of_i"), F.col("v").alias("of_v"), "m")
         known = faces.join(common, F.expr("i = of_i and v = of_v")).groupBy("fp").agg(F.sum("m").alias("known"))
         meeting, path = stored(met.join(nodes.select("fp", "sk"), "fp").join(known, "fp", "left").fillna(0, ["known"]))
+        paths.append(path)
+        tidy(spark)
 
         def fits(a: str, b: str) -> Column:
             # what lies before and after a shared shingle bounds the shingles that both sets have
@@ -245,17 +251,18 @@ def similar(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5
             return F.expr(f"{a}_n * {den} >= {b}_n * {num} and {b}_n * {den} >= {a}_n * {num} and ({most}) * {num + den} >= ({a}_n + {b}_n) * {num}")
 
         def verified(pairs: DataFrame) -> DataFrame:
-            pairs = cut(pairs)
-            named = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-            ids = cut(nodes.join(named, "fp", "left_semi").select(F.col("least_id").alias("of_id")).distinct())
-            small = F.broadcast if ids.count() <= IDS_AT_ONCE else lambda df: df
+            pairs = cut(pairs.coalesce(few))
+            named = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")), "fp", "left_semi").select("fp", F.col("least_id").alias("of_id")).coalesce(few))
+            ids = named.select("of_id").distinct()
+            small = F.broadcast if named.count() <= IDS_AT_ONCE else lambda df: df
             held = _texts(docs).join(small(ids), F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi")
-            sets, sets_path = stored(sets_of(held, words).join(named, "fp", "left_semi").dropDuplicates(["fp"]))
+            sets, sets_path = stored(sets_of(held, words).join(small(named.select("fp")), "fp", "left_semi").dropDuplicates(["fp"]))
             a, b = (sets.select(F.col("fp").alias(f"{x}_fp"), F.col("hashes").alias(f"{x}_hashes")) for x in "ab")
             both = pairs.join(a, F.col("a") == F.col("a_fp")).join(b, F.col("b") == F.col("b_fp"))
             enough = F.size(F.array_intersect("a_hashes", "b_hashes")) * (num + den) >= (F.size("a_hashes") + F.size("b_hashes")) * num
             similar_ones = cut(both.where(enough).select("a", "b"))
             forget(spark, sets_path)
+            tidy(spark)
             return similar_ones
 
         def apart(roots: DataFrame) -> tuple[DataFrame, str]:
@@ -263,7 +270,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (4, 5
             rest = meeting.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
             return stored(rest.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group)}).where("least != most").drop("least", "most"))
 
-        linked, paths = verified(by_fingerprint(nodes, similarity)), [path]
+        linked = verified(by_fingerprint(nodes, similarity))
         rest, path = apart(components(linked).withColumnRenamed("node", "fp"))
         paths.append(path)
         for turn in range(HUBS):

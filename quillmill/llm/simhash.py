@@ -114,16 +114,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     doc_id belong to components but don't name them (null if no other member does). Repeated rows come out as often as
     they came in; an empty table gives no rows; other columns are ignored.
     """
-    out = grouped(fingerprints(docs, words), lambda nodes: links(nodes.select("fp"), radius))
+    out = grouped(cut(fingerprints(docs, words)), lambda nodes: links(nodes.select("fp"), radius))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def grouped(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id, fp and component_id of the rows of ``prints``; ``link`` gives the edges between the distinct ``fp``.
 
-    Other columns of ``prints`` follow from fp, and ``link`` has them too.
+    Other columns of ``prints`` follow from fp, and ``link`` has them too. ``prints`` is read several times.
     """
-    prints = cut(prints)
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *[F.min(c).alias(c) for c in prints.columns if c not in ("doc_id", "fp")])
     roots = components(link(nodes))
     named = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "least_id")

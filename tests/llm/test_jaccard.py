@@ -7,6 +7,7 @@ import numpy as np
 
 import corpus_pipeline
 from quillmill.llm import jaccard, simhash
+from quillmill.llm.components import components
 from quillmill.llm.jaccard import PARITIES, keep_one, parities, prefix_length, shingle_set, similar
 from tests.llm.cases import documents
 
@@ -107,3 +108,24 @@ def test_fingerprints_pair_first(spark, monkeypatch):
     assert calls and all(a != b and int(named[a] ^ named[b]).bit_count() <= jaccard.RADIUS for a, b in calls)
     # a set has a pair for every near fingerprint, as far as sizes and parities allow; here two of them at most are kept
     assert max(collections.Counter(a for a, _ in calls).values()) <= jaccard.TRIES
+
+
+def test_small_tables_take_few_tasks(spark):
+    """However many shuffle partitions there are, a round over a few edges has a few tasks, and so leaves a few files."""
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 200)], "a long, b long").coalesce(1)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few tasks", "")
+        roots = {(r["node"], r["root"]) for r in components(edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert roots == {(i, 0) for i in range(200)}
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds}
+    sizes = [x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s))]
+    assert sizes and sum(sizes) <= 16 * len(sizes)
