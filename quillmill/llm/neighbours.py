@@ -9,7 +9,7 @@ queries, whose real neighbours are found first, so that the wanted share of neig
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm._util import cut
+from quillmill.llm._util import cut, tidy
 
 #: Norms that differ by a smaller share than this count as equal.
 SAME_NORM = 1e-3
@@ -26,6 +26,8 @@ SAME_NORM = 1e-3
 MOST_BANDS = 64
 #: Queries whose real neighbours are found to fit how far to probe, and rows that give each query a first bound.
 SAMPLE_QUERIES, SAMPLE_ROWS = 96, 2048
+#: Rows for each wanted neighbour that a query's nearest cells hand on, over all tables, to bound what the rest hands on.
+FIRST_LOOK = 6
 #: Up to so many dimensions a rotation is applied as a matrix.
 MATRIX = 256
 #: Pairs that are scored at a time.
@@ -85,14 +87,14 @@ class Tables:
             least = np.minimum(least, gap)
         return least
 
-    def probes(self, x: np.ndarray, reach: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def probes(self, x: np.ndarray, reach: float, near: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each table: its number; the rows and the first codes to look under; and the other codes of each, with offsets.
 
-        Every cell is given whose gap is at most ``reach``.
+        Every cell is given whose gap is at most ``reach``; of ``near`` ones only those under the nearest first code.
         """
         for t, turned in enumerate(self.turned(x)):
             gaps = [y.max(axis=1, keepdims=True) - y for y in turned]
-            row, first = np.nonzero(gaps[0] <= reach)
+            row, first = np.nonzero(gaps[0] <= (0 if near else reach))
             rests, counts = [], []
             ends = np.searchsorted(row, np.arange(len(x) + 1))
             for i in range(len(x)):
@@ -192,7 +194,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
 
     The reach is fitted: for SAMPLE_QUERIES queries the real neighbours are found by scoring all rows, and the reach is
     the least that finds a share of ``recall`` of them. All rows are in the tables; the sample only sets the reach.
-    SAMPLE_ROWS rows give each query a bound that all its neighbours reach, so what is below it is never handed on.
+    SAMPLE_ROWS rows give each query a bound that all its neighbours reach, so what is below it is never handed on. That bound gets weaker as rows
+    grow, so queries look twice: first only under their nearest first code in each table, whose best few rows (FIRST_LOOK times k over all
+    tables) give a bound that grows with the rows; then into all cells within reach, which hand on what reaches it. What is found doesn't change by that.
 
     Equal vectors are told apart only by vec_id, so of each vector the k + 1 least ids are stored, equal queries are asked
     once, and a vector that a third of the rows share makes no quadratic work. A query that finds fewer than k rows is
@@ -282,19 +286,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
                 for t, (first, rest) in enumerate(index.cells(longer(x, bands))):
                     yield pa.RecordBatch.from_arrays([pa.array((bands * tables + t).astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(rest), batch.column(0), blob(x)], ["t", "code", "rest", "vec_id", "v"])
 
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x = matrix(part.column(1))
-                bound = x @ shared.value[1].T
-                bound = np.partition(bound, -k - 1, axis=1)[:, -k - 1] if bound.shape[1] > k else np.full(len(x), -np.inf)
-                blobs = blob(x)
-                for t, row, first, rests, offsets in index.probes(longer(x), reach):
-                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rests))
-                    for b in tops:
-                        taken = pa.array(row)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), b * tables + t, dtype=np.int32)), pa.array(first.astype(np.int32)), lists, part.column(0).take(taken), blobs.take(taken), pa.array(bound[row])], ["t", "code", "rests", "vec_id", "v", "least"])
+    def probing(near: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    x = matrix(part.column(1))
+                    bound = x @ shared.value[1].T
+                    bound = np.partition(bound, -k - 1, axis=1)[:, -k - 1] if bound.shape[1] > k else np.full(len(x), -np.inf)
+                    bound = np.maximum(bound - _slack(x, shared.value[1]), part.column(2).to_numpy(zero_copy_only=False))
+                    blobs = blob(x)
+                    for t, row, first, rests, offsets in index.probes(longer(x), reach, near):
+                        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rests))
+                        for b in tops:
+                            taken = pa.array(row)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), b * tables + t, dtype=np.int32)), pa.array(first.astype(np.int32)), lists, part.column(0).take(taken), blobs.take(taken), pa.array(bound[row])], ["t", "code", "rests", "vec_id", "v", "least"])
+
+        return run
 
     def counted(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for t, codes in parts:
@@ -308,39 +316,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
                 for t, (first, _) in enumerate(index.cells(longer(matrix(batch.column(1)), bands))):
                     yield from counted((b * tables + t, first[bands == b]) for b in np.unique(bands))
 
-    def count_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for t, turned in enumerate(index.turned(longer(matrix(batch.column(1))))):
-                    first = np.nonzero(turned[0].max(axis=1, keepdims=True) - turned[0] <= reach)[1]
-                    yield from counted((b * tables + t, first) for b in tops)
+    def count_probes(near: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    for t, turned in enumerate(index.turned(longer(matrix(batch.column(1))))):
+                        first = np.nonzero(turned[0].max(axis=1, keepdims=True) - turned[0] <= (0 if near else reach))[1]
+                        yield from counted((b * tables + t, first) for b in tops)
+
+        return run
 
     def sizes(df: DataFrame, name: str) -> DataFrame:
         count = df.groupBy("t", "code").agg(F.ceil(F.sum("n") / block_rows).cast("int").alias(name))
         return count.select(F.col("t").alias(f"{name}_t"), F.col("code").alias(f"{name}_code"), name)
 
     candidates = rows.mapInArrow(placed, "t int, code int, rest long, vec_id long, v binary")
-    wanted = classes.mapInArrow(probing, "t int, code int, rests array<long>, vec_id long, v binary, least double")
     shape = "t int, code int, n long"
-    grid = sizes(rows.mapInArrow(count_rows, shape), "c_blocks").join(sizes(classes.mapInArrow(count_probes, shape), "q_blocks"), F.expr("c_blocks_t = q_blocks_t and c_blocks_code = q_blocks_code"))
-    grid = F.broadcast(grid.select(F.col("c_blocks_t").alias("g_t"), F.col("c_blocks_code").alias("g_code"), "c_blocks", "q_blocks"))
+    c_sizes = cut(sizes(rows.mapInArrow(count_rows, shape), "c_blocks"))
     here = F.expr("t = g_t and code = g_code")
     block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    c = candidates.join(grid, here).select("t", "code", block("c_blocks", "c").alias("cb"), every("q_blocks").alias("qb"), "rest", "vec_id", "v")
-    q = wanted.join(grid, here).select("t", "code", every("c_blocks").alias("cb"), block("q_blocks", "q").alias("qb"), "rests", "vec_id", "v", "least")
+
+    def meeting(asking: DataFrame, near: bool) -> tuple[DataFrame, DataFrame]:
+        """Rows and queries (vec_id, embedding and the bound ``least``) by the groups that they meet in. ``most``: what a group hands on for a query."""
+        wanted = asking.mapInArrow(probing(near), "t int, code int, rests array<long>, vec_id long, v binary, least double")
+        grid = c_sizes.join(sizes(asking.mapInArrow(count_probes(near), shape), "q_blocks"), F.expr("c_blocks_t = q_blocks_t and c_blocks_code = q_blocks_code"))
+        grid = F.broadcast(grid.select(F.col("c_blocks_t").alias("g_t"), F.col("c_blocks_code").alias("g_code"), "c_blocks", "q_blocks"))
+        c = candidates.join(grid, here).select("t", "code", block("c_blocks", "c").alias("cb"), every("q_blocks").alias("qb"), "rest", "vec_id", "v")
+        most = F.ceil(F.lit(-(-FIRST_LOOK * (k + 1) // tables)) / F.col("c_blocks")) if near else F.lit(k + 1)
+        q = wanted.join(grid, here).select("t", "code", every("c_blocks").alias("cb"), block("q_blocks", "q").alias("qb"), "rests", "vec_id", "v", "least", most.cast("int").alias("most"))
+        return c, q
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         names, types = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
         (c_ids, c), (q_ids, q) = [(t["vec_id"].to_numpy(), np.frombuffer(b"".join(t["v"].to_pylist()), dtype=dtype).reshape(-1, dims).astype(np.float64)) for t in (left, right)]
+        most = k + 1
         if "rest" in left.column_names:
+            most = right["most"][0].as_py()
             lists = right["rests"].combine_chunks()
             pairs = _met(q, right["least"].to_numpy(), c, left["rest"].to_numpy(), lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_numpy()]))
         else:
             pairs = _all(q, c, k + 1)
-        row, ids, score = best_of(q, c_ids, c, pairs, k + 1)
+        row, ids, score = best_of(q, c_ids, c, pairs, most)
         return pa.Table.from_arrays([pa.array(q_ids[row]), pa.array(ids), pa.array(score)], names)
 
     def best(c: DataFrame, q: DataFrame, key: list[str]) -> DataFrame:
@@ -349,7 +368,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 1
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return once.withColumn("rank", rank).where(F.col("rank") <= k + 1)
 
-    found = cut(best(c, q, ["t", "code", "cb", "qb"]))
+    group = ["t", "code", "cb", "qb"]
+    first = best(*meeting(classes.withColumn("least", F.lit(float("-inf"))), near=True), group)
+    bounds = cut(first.where(F.col("rank") == k + 1).select(F.col("query_id").alias("of_id"), F.col("score").alias("least")))
+    tidy(spark)
+    bounded = classes.join(bounds, F.col("vec_id") == F.col("of_id"), "left").select("vec_id", "embedding", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    found = cut(best(*meeting(cut(bounded), near=False), group))
     full = found.where(F.col("rank") == min(k + 1, n_rows)).select(F.col("query_id").alias("full_id"))
     short = cut(classes.join(full, F.col("vec_id") == F.col("full_id"), "left_anti"))
     n_short = short.count()

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 
+from quillmill.llm import neighbours
 from quillmill.llm.neighbours import Tables, nearest, rotate
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, t int"
@@ -144,3 +145,35 @@ def test_no_cell_is_met():
 
     q, c = np.ones((2, 3)), np.ones((4, 3))
     assert list(_met(q, np.zeros(2), c, np.array([1, 1, 5, 5]), np.array([2, 3, 7]), np.array([0, 2, 3]))) == []
+
+
+def handed_on(spark, since):
+    """Rows that co-grouped tasks have made in the queries from number ``since`` on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    made, of, executions = 0, since - 1, store.executionsList()
+    for i in range(executions.size()):
+        of = executions.apply(i).executionId()
+        if of < since:
+            continue
+        values, nodes = store.executionMetrics(of), store.planGraph(of).allNodes()
+        for j in range(nodes.size()):
+            if "CoGroup" in nodes.apply(j).name():
+                metrics = nodes.apply(j).metrics()
+                for m in (metrics.apply(x) for x in range(metrics.size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made, of
+
+
+def test_what_is_handed_on_grows_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 64)  # a weak bound, as of a large table
+    made = []
+    for n in (1000, 5000):
+        x = np.random.default_rng(7).normal(size=(n, 32))
+        df = table(spark, list(enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))))
+        since = handed_on(spark, 0)[1] + 1
+        assert nearest(df, df.where("vec_id % 20 = 0"), k=5, tables=8, functions=2).count() == n // 20 * 5
+        made.append(handed_on(spark, since)[0])
+    print(made)
+    assert 0 < made[1] <= 7 * made[0]
