@@ -38,6 +38,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BETWEEN = np.array([b for b in range(128) if re.match(BETWEEN.encode(), bytes([b]))], dtype=np.uint8)
 _IS_WORD = np.array([bool(WORD.fullmatch(bytes([b]))) for b in range(256)])
+#: As words stand in texts, A-Z included.
+_IS_ANY = _IS_WORD[_LOWER]
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,6 +115,26 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(at, len(known) - 1)] == values
 
 
+def count_words(texts: pa.Array) -> pa.Array:
+    """How many words each text has: places where one begins, after a byte of none or with its text. None for null."""
+    texts = texts.cast(pa.large_binary())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends or bytes(8), dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", dtype=np.uint8)
+    counts = np.zeros(len(texts), dtype=np.int64)
+    for at in range(int(ends[0]), int(ends[-1]), BYTES_AT_ONCE):
+        stop = min(at + BYTES_AT_ONCE, int(ends[-1]))
+        word = _IS_ANY[data[at:stop]]
+        begin = word.copy()
+        begin[1:] &= ~word[:-1]
+        begin[0] &= at == ends[0] or not _IS_ANY[data[at - 1]]
+        firsts = ends[np.searchsorted(ends, at) : np.searchsorted(ends, stop)] - at
+        begin[firsts] = word[firsts]
+        counts += np.diff(np.searchsorted(np.flatnonzero(begin) + at, ends))
+    counts[texts.is_null().to_numpy(zero_copy_only=False)] = 0
+    return pa.array(counts)
+
+
 def pieces(data: bytes, words: int) -> Iterator[tuple[int, bytes]]:
     """Parts of a long text of about BYTES_AT_ONCE, with the number of their first word; ``words`` - 1 words overlap."""
     at, first, size = 0, 0, BYTES_AT_ONCE
@@ -321,8 +343,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, words: int = 10) -> DataFrame:
     rows, of, back = apart(docs)
     found, few = _found(rows.select(of("text").alias("text")), benchmark, words)
     k1, k2 = _key(F.coalesce(of("text"), F.lit("")))
-    n_words = F.coalesce(F.regexp_count(of("text"), F.lit(BETWEEN.replace("[", "[^", 1) + "+")), F.lit(0)).cast("long")
-    rows = rows.withColumns({"own_1": k1, "own_2": k2, "n_words": n_words})
+    n_words = F.arrow_udf(count_words, "long")
+    rows = rows.withColumns({"own_1": k1, "own_2": k2, "n_words": n_words(of("text"))})
     out = rows.join(F.broadcast(found) if few else found, F.expr("own_1 = k1 and own_2 = k2"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     clean = F.lit(hashlib.sha256(b"").hexdigest())

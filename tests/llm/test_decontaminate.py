@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from quillmill.llm import decontaminate
 from quillmill.llm.decontaminate import keep_clean, mark, winnow
@@ -91,6 +92,21 @@ def test_long_texts_in_pieces(monkeypatch):
         assert seen >= set(range(len(whole) - 3))
 
 
+def test_words_are_counted_in_arrow(spark, monkeypatch):
+    """Counting by a regular expression in the JVM took over half of the query's CPU seconds."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["ab", "X9", "Straße", "漢", " ", ", ", "\x7f", "\n", "\0"]) for _ in range(rng.randrange(30))) for _ in range(200)]
+    texts += [None, "", "a", " ", None, "Z" * 100, "a b", "b"]
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(decontaminate, "BYTES_AT_ONCE", size)
+        assert decontaminate.count_words(pa.array(texts)).to_pylist() == [len(words(t)) for t in texts]
+        assert decontaminate.count_words(pa.array(texts).slice(3, 90)).to_pylist() == [len(words(t)) for t in texts[3:93]]
+    assert decontaminate.count_words(pa.array([], pa.string())).to_pylist() == []
+    docs = spark.createDataFrame([(1, "one Two")], "doc_id long, text string")
+    plan = mark(docs, spark.createDataFrame([(1, "x")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "ArrowEvalPython" in plan
+
+
 def test_clean_rows_keep_all_columns(spark):
     docs, items = cases(spark)
     bench = spark.createDataFrame(items, "item_id long, text string")
