@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm._util import forget, read, shared_dir
+from quillmill.llm._util import forget, read, shared_dir, small_batches
 from quillmill.llm.decontaminate import keep_clean
 from quillmill.llm.jaccard import keep_one
 from quillmill.llm.langid import held_out
@@ -19,6 +19,7 @@ from quillmill.llm.sharding import shard_stored
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It learns from the labels as in op7, not from held-out ones."""
+    small_batches(spark)
     labels = read(spark, sf_dir, "labels")
     model = train(read(spark, sf_dir, "documents"), labels.where(~held_out(F.col("doc_id"), 5, 0)))
     return keep_good(docs, model, threshold=0.3)
@@ -27,11 +28,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of smallest doc_id: SimHash fingerprints of five-word shingles pair documents,
     whole sets confirm a Jaccard similarity of 0.8 or more, and an exact join adds the links that fingerprints are too far apart for."""
+    small_batches(spark)
     return keep_one(docs, words=5, similarity=(4, 5))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item, or all words of a shorter one, go."""
+    small_batches(spark)
     return keep_clean(docs, read(spark, sf_dir, "benchmark"), words=10)
 
 

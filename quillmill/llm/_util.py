@@ -62,6 +62,19 @@ def pieces(rows: int) -> int:
     return max(LEAST_TASKS, -(-rows // ROWS_A_TASK))
 
 
+#: Bytes of rows that go to Python at a time, and the setting that says so (64 MB by default).
+BYTES_A_BATCH, BATCH_SETTING = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python about BYTES_A_BATCH at a time, unless it has a setting of its own.
+
+    Buffers for tens of megabytes of text lie outside an executor's heap, in the JVM and in each Python worker.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BYTES_A_BATCH))
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
     gc.collect()

@@ -26,7 +26,7 @@ _TURNS = np.random.default_rng(3).integers(1, 1 << 63, SKETCH, dtype=np.uint64)
 #: Bits in which fingerprints differ at most that name a pair at once.
 RADIUS = 2
 #: Words whose hashes a worker remembers.
-WORDS_AT_ONCE = 1 << 18
+WORDS_AT_ONCE = 1 << 16
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Longs of the parity bits of a set.
 PARITIES = 8

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
+from quillmill.llm import _util
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,6 +30,26 @@ def test_each_stage_keeps_columns_and_clean_rows(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(i)))
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    """Buffers for up to 64 MB of text lay outside the executors' heap, in the JVM and in each Python worker."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("words "), 2000).alias("text"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        spark.conf.unset(_util.BATCH_SETTING)
+        stage(spark, docs, SF)
+        most, n = long.mapInArrow(sizes, "size long").agg(F.max("size"), F.count("size")).first()
+        assert most < 2 * _util.BYTES_A_BATCH and n > 4
+    spark.conf.set(_util.BATCH_SETTING, "1000000")
+    _util.small_batches(spark)
+    assert spark.conf.get(_util.BATCH_SETTING) == "1000000"
+    spark.conf.unset(_util.BATCH_SETTING)
+
+
 def test_entry_without_the_corpus_part(monkeypatch):
     import __spark_entry__
 
