@@ -38,12 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """As ``cut``, but as a compressed Parquet table in the shared folder, whose path comes along for ``forget``."""
+#: Bytes of a row group of long rows, as stored.
+LONG_ROWS = 1 << 22
+
+
+def stored(df: DataFrame, long_rows: bool = False) -> tuple[DataFrame, str]:
+    """As ``cut``, but as a compressed Parquet table in the shared folder, whose path comes along for ``forget``.
+
+    ``long_rows`` says that a row holds arrays of many thousand values. Spark unpacks up to 4096 rows of a row group at once, several times
+    their stored size; so row groups are kept small, and are measured after each row instead of every hundred.
+    """
     spark = df.sparkSession
     shared_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    checks = {"parquet.block.size": LONG_ROWS, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    df.write.options(**checks if long_rows else {}).parquet(path)
     return spark.read.parquet(path), path
 
 

@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,12 @@ from quillmill.llm.tokens import WHITE_SPACE, byte_alphabet
 
 #: The stand-in for a space in pieces. Fixed value.
 MARK = "▁"
-#: Text of a block in characters; a longer text is a block of its own.
+#: Text of a block in UTF-8 bytes, so in characters of one byte; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 21
-#: Units, and characters of them, that a worker remembers before it starts anew.
-KNOWN, KNOWN_CHARS = 400_000, 1 << 24
+#: Units, characters and linked id pairs of them, that a worker remembers before it starts anew.
+KNOWN, KNOWN_CHARS, KNOWN_PAIRS = 200_000, 1 << 24, 1 << 21
+#: Characters of new units that are aligned at once; a longer unit is aligned alone.
+LEARN_CHARS = 1 << 18
 #: Longer units are encoded each apart.
 SHORT_CHARS = 256
 #: Characters of new units that are encoded in one call.
@@ -184,9 +187,18 @@ class Aligner:
 
     def find(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The places of each text's units, which are all known afterwards."""
-        if len(self.groups) > KNOWN or self.chars > KNOWN_CHARS:
+        if len(self.groups) > KNOWN or self.chars > KNOWN_CHARS or len(self.pairs) > KNOWN_PAIRS:
             self.forget()
-        if new := [u for u in dict.fromkeys(u for units in texts for u in units) if u not in self.places]:
+        new, size = [], 0
+        for unit in dict.fromkeys(u for units in texts for u in units):
+            if unit in self.places:
+                continue
+            if new and size + len(unit) > LEARN_CHARS:
+                self.learn(new)
+                new, size = [], 0
+            new.append(unit)
+            size += len(unit)
+        if new:
             self.learn(new)
         return [np.fromiter(map(self.places.__getitem__, units), dtype=np.int64, count=len(units)) for units in texts]
 
@@ -278,10 +290,10 @@ def _blocks(docs: DataFrame, byte_level: str, pieces: str, whole: bool) -> DataF
 
         ids, texts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, n in zip(batch.column(0).to_pylist(), batch.column(1), pc.binary_length(batch.column(1)).to_pylist(), strict=True):
                 ids.append(doc_id)
                 texts.append(text.as_py())
-                size += len(texts[-1]) + 1
+                size += n + 1
                 if size > BLOCK_CHARS:
                     yield row(ids, texts)
                     ids, texts, size, number = [], [], 0, number + 1
@@ -309,10 +321,11 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = {name: columns[name][r].values for name in [*names, "groups", "until", "pair", "times"]}
             until, pair, times = (one[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("until", "pair", "times"))
             found = columns["found"][r].values
-            count, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-            if found is not None and len(found):
-                count = found.field("count").to_numpy(zero_copy_only=False).astype(np.int64)
-                best = found.field("best").to_numpy(zero_copy_only=False).astype(np.int64)
+            count = best = np.zeros(0, dtype=np.int64)
+            if found is not None and len(found):  # in no order
+                count, best = np.zeros((2, len(found)), dtype=np.int64)
+                pos = found.field("pos").to_numpy(zero_copy_only=False)
+                count[pos], best[pos] = (found.field(c).to_numpy(zero_copy_only=False) for c in ("count", "best"))
             run = lambda x: np.concatenate([[0], np.cumsum(x)])
             first = np.concatenate([[0], until[:-1]]).astype(np.int64)
             sums = [run(times * x[pair])[until] - run(times * x[pair])[first] for x in (best, count)]
@@ -331,13 +344,13 @@ def align(docs: DataFrame, byte_level: str, pieces: str, whole: bool = False) ->
     the lowercase hex SHA-256 of that. Texts null, empty or not spelled by the tokens of both have zeros and ''. Rows that
     repeat count as documents of their own, a null doc_id stays null, other columns are ignored, an empty table gives no rows.
     """
-    table, path = stored(_blocks(docs, byte_level, pieces, whole))
+    table, path = stored(_blocks(docs, byte_level, pieces, whole), long_rows=True)
     pairs = _pairs(table)
     counts = pairs.groupBy("a", "b").agg(F.sum("docs").alias("count"))
     # an id has no more partners than the other vocabulary has tokens
     counts = counts.withColumn("best", (F.col("count") == F.max("count").over(Window.partitionBy("a"))).cast("int"))
     found = pairs.select("block", "pos", "a", "b").join(counts, ["a", "b"])
-    found = found.groupBy(F.col("block").alias("of")).agg(F.array_sort(F.collect_list(F.struct("pos", "count", "best"))).alias("found"))
+    found = found.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("pos", "count", "best")).alias("found"))
     rows = table.drop("a", "b", "docs").join(found, F.col("block") == F.col("of"), "left").drop("of", "block")
     out, _ = stored(rows.mapInArrow(_totals, _DOC_SCHEMA))
     forget(docs.sparkSession, path)

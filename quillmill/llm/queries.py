@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm._util import read
+from quillmill.llm._util import read, small_batches
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from quillmill.llm.alignment import align
 
+    small_batches(spark)
     out = align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.withColumnRenamed("groups", "groups_sha256")
 

@@ -2,16 +2,20 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import quillmill.llm.alignment as module
+from quillmill.llm import _util, queries
 from quillmill.llm.alignment import Aligner, align, pair_counts, terminals, units_of
 from quillmill.llm.tokens import byte_alphabet
 
@@ -130,3 +134,45 @@ def test_units_can_be_forgotten(monkeypatch):
     for most in (module.KNOWN, 1):
         monkeypatch.setattr(module, "KNOWN", most)
         assert [module._block(0, [1], ["some words here\nand there"], both, whole=True)["groups"] for _ in range(3)] == [[spelled(plain("some words here\nand there")[2])]] * 3
+
+
+def test_long_rows_are_stored_in_small_row_groups(spark, monkeypatch):
+    """Else a task unpacks the arrays of all its blocks at once."""
+    stored = []
+    monkeypatch.setattr(module, "BLOCK_CHARS", 1000)
+    monkeypatch.setattr(_util, "LONG_ROWS", 1 << 14, raising=False)
+    monkeypatch.setattr(module, "forget", lambda spark, path: stored.append(path.removeprefix("file:")))
+    texts = [" ".join(f"word{i * 7 % 101}x{j}" for j in range(200)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted((r["doc_id"], tuple(r)[1:]) for r in align(docs, A, B).collect()) == list(enumerate(brute(texts)))
+    (file,) = Path(stored[0]).glob("*.parquet")
+    found = pq.ParquetFile(file).metadata
+    assert found.num_rows == 40
+    assert max(found.row_group(i).num_rows for i in range(found.num_row_groups)) <= 8
+
+
+def test_blocks_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK_CHARS", 300)
+    docs = spark.createDataFrame([(i, "漢字" * 60) for i in range(6)], "doc_id long, text string").coalesce(1)
+    assert [len(r["doc_id"]) for r in module._blocks(docs, A, B, whole=False).collect()] == [1] * 6
+
+
+def test_what_is_known_is_bounded_by_links(monkeypatch):
+    both = Aligner(A, B)
+    monkeypatch.setattr(module, "KNOWN_PAIRS", 5000, raising=False)
+    monkeypatch.setattr(module, "LEARN_CHARS", 500, raising=False)
+    for i in range(6):
+        texts = ["".join(chr(0x4E00 + (i * 997 + j * 31) % 9000) for j in range(k, k + 300)) for k in (0, 300, 600)]
+        assert module._block(0, [1, 2, 3], texts, both, whole=True)["groups"] == [spelled(plain(t)[2]) for t in texts]
+        assert len(both.groups) <= 6
+
+
+def test_long_rows_go_to_python_in_small_batches(spark, monkeypatch):
+    said = []
+    monkeypatch.setattr(module, "align", lambda docs, *paths: said.append(spark.conf.get(_util.BATCH_SETTING)) or docs.withColumn("groups", F.lit("")))
+    spark.conf.unset(_util.BATCH_SETTING)
+    try:
+        queries.op13_alignment(spark, "/root/testdata/sf0.001")
+        assert said == [str(_util.BYTES_A_BATCH)]
+    finally:
+        spark.conf.unset(_util.BATCH_SETTING)
